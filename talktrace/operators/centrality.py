@@ -28,14 +28,22 @@ def eigenvector_centrality(
     is small and splits hot nodes when it is not.
     """
     ensure_checkpoint_dir(totals.sparkSession)
-    links = totals.where("weight > 0").select("x", "y", F.col("weight").cast("double").alias("w")).checkpoint()
-    nodes = links.select(F.col("x").alias("entity")).distinct()
-    peak, = links.agg(F.max("w")).first()
+    # Each node gets an edge to itself in the same pass, so the graph is computed and stored once.
+    edge = F.struct("x", "y", F.col("weight").cast("double").alias("w"))
+    loop = F.struct("x", F.col("x").alias("y"), F.lit(0.0).alias("w"))
+    stored = (
+        totals.where("weight > 0")
+        .select(F.inline(F.array(edge, loop)))
+        .groupBy("x", "y")
+        .agg(F.max("w").alias("w"))
+        .checkpoint()
+    )
+    nodes = stored.where("x = y").select(F.col("x").alias("entity"))
+    peak, = stored.agg(F.max("w")).first()
     if peak is None:
-        vector = nodes.select("entity", F.lit(0.0).alias("centrality"))
-        return _with_isolated(vector, entities)
-    loops = nodes.select(F.col("entity").alias("x"), F.col("entity").alias("y"), F.lit(1.0).alias("w"))
-    links = links.unionByName(loops).withColumn("w", F.col("w") / peak).checkpoint()
+        return _with_isolated(nodes.withColumn("centrality", F.lit(0.0)), entities)
+    weight = F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(F.col("w") / peak)
+    links = stored.select("x", "y", weight.alias("w"))
     vector = nodes.withColumn("v", F.lit(1.0))
     previous, done = None, 0
     while True:

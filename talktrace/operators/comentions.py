@@ -22,6 +22,11 @@ def _team(sets: DataFrame, exclude: str | None) -> Column:
     return names if exclude is None else F.filter(names, lambda e: e != exclude)
 
 
+def _if_any(pairs: Column) -> Column:
+    """Pairs as input of a generator, in a form that Spark does not evaluate once more as a filter."""
+    return F.when(F.size("team") > 1, pairs)
+
+
 def comention_pairs(sets: DataFrame, exclude: str | None = None) -> DataFrame:
     """Each ordered pair of the entities of a message once, however often they are mentioned."""
     teams = sets.select("message_id", "day", _team(sets, exclude).alias("team"))
@@ -33,7 +38,7 @@ def comention_pairs(sets: DataFrame, exclude: str | None = None) -> DataFrame:
             ),
         )
     )
-    return teams.select("message_id", "day", F.inline(pairs))
+    return teams.select("message_id", "day", F.inline(_if_any(pairs)))
 
 
 def edges_daily(sets: DataFrame, exclude: str | None = None) -> DataFrame:
@@ -53,7 +58,7 @@ def edges_daily(sets: DataFrame, exclude: str | None = None) -> DataFrame:
         )
     )
     one_way = (
-        counted.select("day", "k", F.inline(pairs)).groupBy("day", "x", "y").agg(F.sum("k").alias("weight"))
+        counted.select("day", "k", F.inline(_if_any(pairs))).groupBy("day", "x", "y").agg(F.sum("k").alias("weight"))
     )
     both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
     return one_way.select("day", "weight", F.inline(both)).select("day", "x", "y", "weight")

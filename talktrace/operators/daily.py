@@ -21,29 +21,29 @@ def daily_mentions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("day", "entity").agg(F.sum("n").alias("n"))
 
 
-def spread(present: DataFrame, key: str, value: str, population: Column | int) -> DataFrame:
-    """Mean and sample deviation per key over `population` members; the absent ones are zeros.
+def _moments(value: str) -> list[Column]:
+    """Count, mean and variance of the present values."""
+    return [F.count(value).alias("k"), F.avg(value).alias("m"), F.var_pop(value).alias("v")]
+
+
+def _mean_and_std(population: Column | int) -> tuple[Column, Column]:
+    """Mean and sample deviation over `population` members from k, m, v; the absent ones are zeros.
 
     Combines the moments of the present values with those of the zeros, which stays accurate where
     a plain sum of squares would cancel, and needs no row for any zero.
     """
-    moments = present.groupBy(key).agg(
-        F.count(value).alias("k"), F.avg(value).alias("m"), F.var_pop(value).alias("v")
-    )
-    total = F.lit(population) if isinstance(population, int) else population
-    return _combine(moments.withColumn("total", total.cast("double")), key)
-
-
-def _combine(moments: DataFrame, key: str) -> DataFrame:
-    """Columns k, m, v of the present values and `total` to mean and std."""
-    k, total = F.coalesce(F.col("k"), F.lit(0)).cast("double"), F.col("total")
+    total = F.lit(population).cast("double")
+    k = F.col("k").cast("double")
     m, v = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("m", "v"))
     squares = v * k + m * m * k * (total - k) / total
-    return moments.select(
-        key,
-        (m * k / total).alias("mean"),
-        F.when(total > 1, F.sqrt(squares / (total - 1))).alias("std"),
-    )
+    return m * k / total, F.when(total > 1, F.sqrt(squares / (total - 1)))
+
+
+def spread(present: DataFrame, key: str, value: str, population: Column | int) -> DataFrame:
+    """Mean and sample deviation per key across a population of which only some have a row."""
+    mean, std = _mean_and_std(population)
+    moments = present.groupBy(key).agg(*_moments(value))
+    return moments.select(key, mean.alias("mean"), std.alias("std"))
 
 
 def daily_spread(
@@ -67,28 +67,40 @@ def band(stats: DataFrame, multiple: float = BAND_DEFAULT) -> DataFrame:
     return stats.withColumns({"lower": F.col("mean") - reach, "upper": F.col("mean") + reach})
 
 
-def active_days(daily: DataFrame) -> Column:
-    """The active days as one array, a scalar subquery: bounded by the calendar, not by the data."""
-    return daily.agg(F.sort_array(F.collect_set("day")).alias("days")).scalar()
-
-
 def dense_series(
-    daily: DataFrame, picked: DataFrame, first: int | None = None, last: int | None = None, value: str = "n"
+    daily: DataFrame,
+    picked: DataFrame,
+    first: int | None = None,
+    last: int | None = None,
+    value: str = "n",
+    population: Column | int | None = None,
 ) -> DataFrame:
-    """(day, entity, value) for every picked entity on every active day of the range, zeros included."""
-    in_range = within_days(daily, first, last)
-    spine = picked.select("entity", active_days(in_range).alias("days")).select(
-        "entity", F.explode("days").alias("day")
-    )
-    kind = daily.schema[value].dataType
-    filled = F.coalesce(F.col(value), F.lit(0).cast(kind)).alias("value")
-    return spine.join(in_range.select("day", "entity", value), ["day", "entity"], "left").select(
-        "day", "entity", filled
+    """(day, entity, value) for every picked entity on every active day of the range, zeros included.
+
+    With `population` the cross-entity mean follows as one more entity, as a double series.
+
+    The missing entities are added inside one row per day, of the size of the selection. Joining
+    the series with its own days instead would read and scan all texts a second time.
+    """
+    kind = "double" if population is not None else daily.schema[value].dataType.simpleString()
+    cell = F.struct("entity", F.col(value).cast(kind).alias("value"))
+    marked = _mark_picked(within_days(daily, first, last), picked)
+    per_day = marked.groupBy("day").agg(
+        F.collect_list(F.when(F.col("is_picked"), cell)).alias("own"), *_moments(value)
     )
+    wanted = picked.agg(F.collect_set("entity")).scalar()
+    missing = F.array_except(wanted, F.col("own.entity"))
+    zeros = F.array_repeat(F.lit(0).cast(kind), F.size(missing))
+    cells = F.concat("own", F.arrays_zip(missing.alias("entity"), zeros.alias("value")))
+    if population is not None:
+        mean = F.struct(F.lit(AVERAGE).alias("entity"), _mean_and_std(population)[0].alias("value"))
+        cells = F.concat(cells, F.array(mean))
+    return per_day.select("day", cells.alias("cells")).select("day", F.inline("cells"))
 
 
 def with_average(series: DataFrame, stats: DataFrame) -> DataFrame:
-    """Append the cross-entity mean, matched by day, as one more entity."""
+    """Append the cross-entity mean, matched by day, as one more entity. For stored series and stats;
+    `dense_series` adds the mean in the same pass."""
     average = stats.select("day", F.lit(AVERAGE).alias("entity"), F.col("mean").alias("value"))
     return series.withColumn("value", F.col("value").cast("double")).unionByName(average)
 

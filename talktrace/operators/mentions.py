@@ -148,11 +148,8 @@ def count_whole_tokens(
             F.transform(F.filter("tokens", lambda t: t.isin(known)), lambda t: lookup[t]).alias("names"),
         )
         nothing = F.array(F.struct(F.lit(None).cast("string").alias("entity"), F.lit(0).cast("bigint").alias("n")))
-        rows = names.select(
-            *keys,
-            F.when(F.size("names") > 0, _tally("names")).when(F.col("n_tokens") > 0, nothing).alias("rows"),
-        )
-        return rows.select(*keys, F.inline("rows"))
+        rows = F.when(F.size("names") > 0, _tally("names")).when(F.col("n_tokens") > 0, nothing)
+        return names.select(*keys, F.inline(rows))
     hits = (
         tokens.select(*keys, F.explode("tokens").alias("alias"))
         .join(aliases.select("alias", "entity"), "alias")

@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.calendar import within_days
 from ..functions.labels import AVERAGE
-from .daily import _combine, active_days, dense_series
+from .daily import dense_series
 from .roster import keep_entities
 
 # Fixed value: the default number of days considered.
 MAX_OFFSET = 7
 
 
+def offset_cells(
+    daily: DataFrame, exits: DataFrame, first: int | None = None, last: int | None = None
+) -> DataFrame:
+    """(entity, offset, value) of every entity that left, on every active day, zeros included."""
+    series = dense_series(daily, exits.select("entity"), first, last)
+    offset = (F.col("day") - F.col("leave_day")).alias("offset")
+    return series.join(exits, "entity").select("entity", offset, "value")
+
+
 def post_exit_daily(
     daily: DataFrame,
     exits: DataFrame,
@@ -21,11 +29,9 @@ def post_exit_daily(
     last: int | None = None,
     max_offset: int = MAX_OFFSET,
 ) -> DataFrame:
-    """(offset, entity, value) of the picked entities for 1..max_offset days after their exit."""
-    gone = keep_entities(exits, picked)
-    series = dense_series(daily, gone, first, last).join(gone, "entity")
-    offset = (F.col("day") - F.col("leave_day")).alias("offset")
-    return series.select("entity", offset, "value").where(F.col("offset").between(1, max_offset))
+    """(entity, offset, value) of the picked entities for 1..max_offset days after their exit."""
+    cells = offset_cells(daily, keep_entities(exits, picked), first, last)
+    return cells.where(F.col("offset").between(1, max_offset))
 
 
 def post_exit_spread(
@@ -37,37 +43,42 @@ def post_exit_spread(
     max_offset: int | None = MAX_OFFSET,
     extra_days: int = 0,
 ) -> DataFrame:
-    """Mean and std per offset over all entities of the dictionary that left, quiet days being zeros.
-
-    How many (entity, day) cells an offset has follows from how many entities left on each day, so
-    the cells themselves are never built.
-    """
-    in_range = within_days(daily, first, None if last is None else last + extra_days)
-    gone = keep_entities(exits, entities)
-    leavers = gone.groupBy("leave_day").agg(F.count("*").alias("leavers"))
-    cells = (
-        leavers.select("leave_day", "leavers", active_days(in_range).alias("days"))
-        .select("leavers", "leave_day", F.explode("days").alias("day"))
-        .groupBy((F.col("day") - F.col("leave_day")).alias("offset"))
-        .agg(F.sum("leavers").cast("double").alias("total"))
-    )
-    present = (
-        in_range.join(gone, "entity")
-        .groupBy((F.col("day") - F.col("leave_day")).alias("offset"))
-        .agg(F.count("n").alias("k"), F.avg("n").alias("m"), F.var_pop("n").alias("v"))
+    """Mean and std per offset over all entities of the dictionary that left, quiet days being zeros."""
+    end = None if last is None else last + extra_days
+    cells = offset_cells(daily, keep_entities(exits, entities), first, end)
+    if max_offset is not None:
+        cells = cells.where(F.col("offset").between(1, max_offset))
+    return cells.groupBy("offset").agg(
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
     )
-    stats = _combine(cells.join(present, "offset", "left"), "offset")
-    return stats if max_offset is None else stats.where(F.col("offset").between(1, max_offset))
 
 
-def post_exit_with_average(series: DataFrame, stats: DataFrame) -> DataFrame:
-    """Append the mean over all entities; only it has a std."""
-    average = stats.select(
-        "offset", F.lit(AVERAGE).alias("entity"), F.col("mean").alias("value"), "std"
-    )
-    return series.withColumn("value", F.col("value").cast("double")).unionByName(
-        average, allowMissingColumns=True
+def post_exit_with_average(
+    daily: DataFrame,
+    exits: DataFrame,
+    picked: DataFrame,
+    entities: DataFrame,
+    first: int | None = None,
+    last: int | None = None,
+    max_offset: int = MAX_OFFSET,
+) -> DataFrame:
+    """The picked series followed by the mean over all entities; only the mean has a std.
+
+    Both come from one pass: an offset's row holds its picked cells, at most as many as are picked.
+    """
+    marks = picked.select("entity").distinct().withColumn("is_picked", F.lit(True))
+    cells = offset_cells(daily, keep_entities(exits, entities), first, last)
+    cells = cells.where(F.col("offset").between(1, max_offset)).join(marks, "entity", "left")
+    nothing = F.lit(None).cast("double")
+    own = F.struct("entity", F.col("value").cast("double").alias("value"), nothing.alias("std"))
+    per_offset = cells.groupBy("offset").agg(
+        F.collect_list(F.when(F.col("is_picked"), own)).alias("own"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
     )
+    average = F.struct(F.lit(AVERAGE).alias("entity"), F.col("mean").alias("value"), "std")
+    rows = F.concat("own", F.array(average)).alias("rows")
+    return per_offset.select("offset", rows).select("offset", F.inline("rows"))
 
 
 def post_exit_totals(series: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.calendar import within_days
-from .daily import _mark_picked
+from .daily import _mark_picked, dense_series
 
 # Fixed values of the published scoring rule: normalisation, negation factor, damping by distance.
 NORMALISATION = 15.0
@@ -45,14 +45,8 @@ def mean_sentiment(
     daily: DataFrame, picked: DataFrame, first: int | None = None, last: int | None = None
 ) -> DataFrame:
     """Unweighted mean of the daily means over all active days of the range, quiet days being 0."""
-    in_range = within_days(daily, first, last)
-    days = in_range.agg(F.count_distinct("day")).scalar()
-    sums = in_range.groupBy("entity").agg(F.sum("sentiment").alias("total"))
-    return (
-        picked.select("entity")
-        .join(sums, "entity", "left")
-        .select("entity", (F.coalesce("total", F.lit(0.0)) / days).alias("sentiment"))
-    )
+    cells = dense_series(daily, picked, first, last, value="sentiment")
+    return cells.groupBy("entity").agg(F.avg("value").alias("sentiment"))
 
 
 def day_mean_sentiment(
@@ -87,13 +81,9 @@ def lexicon_sentiment(
     tokens = messages.select(
         "message_id", F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}\p{N}_']+"), F.lit(0)).alias("tokens")
     )
-    context = F.transform(
-        "tokens",
-        lambda t, i: F.struct(
-            t.alias("token"),
-            *[F.get("tokens", i - d).alias(f"before_{d}") for d in (1, 2, 3)],
-        ),
-    )
+    # Shifted copies, zipped: the surplus rows at the end of each message have no token.
+    shifted = [F.concat(F.array(*[F.lit("")] * d), "tokens").alias(f"before_{d}") for d in (1, 2, 3)]
+    context = F.arrays_zip(F.col("tokens").alias("token"), *shifted)
     placed = tokens.select("message_id", F.explode_outer(context).alias("at")).select("message_id", "at.*")
     known = placed.join(lexicon.select("token", "valence"), "token", "left")
 

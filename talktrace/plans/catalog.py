@@ -524,10 +524,10 @@ def daily_mention_stats(spark, sf_dir):
     SELECT day, entity, CAST(n AS DOUBLE) AS value FROM dense WHERE entity IN (SELECT entity FROM picked)
     UNION ALL SELECT day, 'Average', round(avg(n), 6) FROM dense GROUP BY day"""))
 def daily_mentions_with_average(spark, sf_dir):
-    series = _daily(spark, sf_dir)
-    dense = daily.dense_series(series, views.picked(spark), FIRST, LAST)
-    stats = daily.daily_spread(series, POPULATION, FIRST, LAST)
-    return daily.with_average(dense, stats).withColumns(_round("value"))
+    series = daily.dense_series(
+        _daily(spark, sf_dir), views.picked(spark), FIRST, LAST, population=POPULATION
+    )
+    return series.withColumns(_round("value"))
 
 
 @query(sql("picked aliases messages mentions daily", """
@@ -588,10 +588,10 @@ def daily_sentiment_stats(spark, sf_dir):
     WHERE entity IN (SELECT entity FROM picked)
     UNION ALL SELECT day, 'Average', round(avg(sentiment), 6) FROM dense_sentiment GROUP BY day"""))
 def daily_sentiment_with_average(spark, sf_dir):
-    series = _sentiment(spark, sf_dir)
-    dense = daily.dense_series(series, views.picked(spark), FIRST, LAST, value="sentiment")
-    stats = daily.daily_spread(series, POPULATION, FIRST, LAST, value="sentiment")
-    return daily.with_average(dense, stats).withColumns(_round("value"))
+    series = daily.dense_series(
+        _sentiment(spark, sf_dir), views.picked(spark), FIRST, LAST, "sentiment", POPULATION
+    )
+    return series.withColumns(_round("value"))
 
 
 @query(sql(_SENTIMENT + " picked", """
@@ -780,10 +780,11 @@ def post_exit_stats(spark, sf_dir):
     UNION ALL SELECT 'Average', "offset", round(avg(n), 6), round(stddev_samp(n), 6) FROM offsets
     WHERE "offset" BETWEEN 1 AND 7 GROUP BY "offset" """))
 def post_exit_with_average(spark, sf_dir):
-    exits, series = roster.last_exits(views.roster(spark)), _daily(spark, sf_dir)
-    own = postexit.post_exit_daily(series, exits, views.picked(spark), FIRST, LAST)
-    stats = postexit.post_exit_spread(series, exits, views.entities(spark), FIRST, LAST)
-    return postexit.post_exit_with_average(own, stats).withColumns(_round("value", "std"))
+    exits = roster.last_exits(views.roster(spark))
+    series = postexit.post_exit_with_average(
+        _daily(spark, sf_dir), exits, views.picked(spark), views.entities(spark), FIRST, LAST
+    )
+    return series.withColumns(_round("value", "std"))
 
 
 @query(sql(_POST_EXIT, _OFFSETS + """
