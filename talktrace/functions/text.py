@@ -23,9 +23,11 @@ def _is_word(char: str) -> bool:
     return char.isalnum() or char == "_"
 
 
-def prefix_tree(words: Iterable[str]) -> str:
+def prefix_tree(words: Iterable[str], after_each: str = "") -> str:
     """One expression for all words that prefers the longest, branching once per shared prefix.
 
+    `after_each` is an expression that may follow every character.
+
     The cost per text position then depends on how many letters match, not on how many words
     there are, which is what keeps one scan affordable with a large dictionary.
     """
@@ -38,11 +40,15 @@ def prefix_tree(words: Iterable[str]) -> str:
 
     def render(node: dict) -> str:
         leaves = [c for c, child in node.items() if c and child.keys() == {""}]
-        parts = [re.escape(c) + render(child) for c, child in node.items() if c and c not in leaves]
+        parts = [
+            re.escape(c) + after_each + render(child)
+            for c, child in node.items()
+            if c and c not in leaves
+        ]
         if len(leaves) == 1:
-            parts.append(re.escape(leaves[0]))
+            parts.append(re.escape(leaves[0]) + after_each)
         elif leaves:
-            parts.append("[" + "".join(map(re.escape, leaves)) + "]")
+            parts.append("[" + "".join(map(re.escape, leaves)) + "]" + after_each)
         if not parts:
             return ""
         body = parts[0] if len(parts) == 1 and "" not in node else "(?:" + "|".join(parts) + ")"
@@ -100,10 +106,34 @@ def outer_edge_pattern(groups: Sequence[Sequence[str]]) -> str:
     return _starts_with_any(everything) + "(?:" + "|".join(options) + ")"
 
 
+def scattered_token_pattern(words: Sequence[str]) -> str:
+    """White-space separated tokens that are one of the words once their punctuation is taken out.
+
+    Finds in one pass what `plain_tokens` and a comparison find by rewriting and splitting the whole
+    text. The punctuation run is possessive: it has nothing in common with what follows it.
+    """
+    punctuation = f"[^{WORD_CLASS}{SPACE_CLASS}]*+"
+    edge = f"[^{SPACE_CLASS}]"
+    return f"(?<!{edge}){punctuation}{prefix_tree(words, punctuation)}(?!{edge})"
+
+
+def without_punctuation(token: Column) -> Column:
+    return F.regexp_replace(token, f"[^{WORD_CLASS}{SPACE_CLASS}]", "")
+
+
+def is_plain_word(word: str) -> bool:
+    """Whether a word can be a token of punctuation-free text at all."""
+    return bool(word) and all(map(_is_word, word))
+
+
+def has_token(body: Column) -> Column:
+    """Whether anything is left after punctuation is taken out."""
+    return F.coalesce(F.regexp_like(body, F.lit(_WORD)), F.lit(False))
+
+
 def plain_tokens(body: Column) -> Column:
     """White-space separated tokens after all punctuation is taken out."""
-    cleaned = F.regexp_replace(body, f"[^{WORD_CLASS}{SPACE_CLASS}]", "")
-    return F.filter(F.split(cleaned, f"[{SPACE_CLASS}]+"), lambda t: t != "")
+    return F.filter(F.split(without_punctuation(body), f"[{SPACE_CLASS}]+"), lambda t: t != "")
 
 
 def words(body: Column) -> Column:

@@ -23,9 +23,9 @@ def eigenvector_centrality(
     Iterates v <- (A + I) v; the identity makes it converge on bipartite graphs too. Weights are
     scaled by the largest, which leaves the eigenvector as it is. A stride of steps is one job:
     join on the source node, sum per target, folded before the shuffle. After it the vector is
-    written to the checkpoint folder, which cuts the lineage, and only two scalars (its norm and
-    its change) reach the driver. The join is left to Spark, which broadcasts the vector while it
-    is small and splits hot nodes when it is not.
+    written to the checkpoint folder, which cuts the lineage, and only scalars (norms and the change
+    of the last step) reach the driver. The join is left to Spark, which broadcasts the vector while it
+    is small; a node has no more edges than there are entities.
     """
     ensure_checkpoint_dir(totals.sparkSession)
     # Each node gets an edge to itself in the same pass, so the graph is computed and stored once.
@@ -44,28 +44,27 @@ def eigenvector_centrality(
         return _with_isolated(nodes.withColumn("centrality", F.lit(0.0)), entities)
     weight = F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(F.col("w") / peak)
     links = stored.select("x", "y", weight.alias("w"))
-    vector = nodes.withColumn("v", F.lit(1.0))
-    previous, done = None, 0
+    vector, done = nodes.withColumn("v", F.lit(1.0)), 0
     while True:
-        for _ in range(min(stride, max_iterations - done)):
+        steps = min(stride, max_iterations - done)
+        if not steps:
+            raise NoConvergence(f"no convergence within {max_iterations} iterations")
+        for _ in range(steps):
             reached = links.join(vector, links["y"] == vector["entity"])
-            vector = reached.groupBy("x").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-            vector = vector.withColumnRenamed("x", "entity")
-        done += min(stride, max_iterations - done)
-        vector = vector.checkpoint()
-        norm, size = vector.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))), F.count("*")).first()
-        vector = vector.withColumn("v", F.col("v") / norm)
-        if previous is not None:
-            change, = (
-                vector.join(previous.withColumnRenamed("v", "before"), "entity")
-                .agg(F.sum(F.abs(F.col("v") - F.col("before"))))
-                .first()
+            vector = reached.groupBy(F.col("x").alias("entity")).agg(
+                F.sum(F.col("w") * F.col("v")).alias("v"),
+                # A node's edge to itself brings along its value of the step before.
+                F.max(F.when(F.col("x") == F.col("y"), F.col("v"))).alias("before"),
             )
-            if change < size * tolerance:
-                break
-        if done >= max_iterations:
-            raise NoConvergence(f"no convergence within {max_iterations} iterations")
-        previous = vector
+        done += steps
+        vector = vector.checkpoint()
+        size, norm, norm_before = vector.agg(
+            F.count("*"), *[F.sqrt(F.sum(F.col(c) * F.col(c))) for c in ("v", "before")]
+        ).first()
+        change, = vector.agg(F.sum(F.abs(F.col("v") / norm - F.col("before") / norm_before))).first()
+        vector = vector.select("entity", (F.col("v") / norm).alias("v"))
+        if change < size * tolerance:
+            break
     return _with_isolated(vector.withColumnRenamed("v", "centrality"), entities)
 
 

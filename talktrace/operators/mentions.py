@@ -137,19 +137,25 @@ def count_whole_tokens(
     entity and n = 0. A dictionary of any size works; a large one is joined instead of looked up.
     """
     keys = ["message_id", *carry]
-    tokens = messages.select(*keys, text.plain_tokens(F.col("body")).alias("tokens"))
     if isinstance(aliases, AliasBook) or _fits_in_row(aliases):
         book = AliasBook.of(aliases)
         lookup = book.lookup()
-        known = [alias for alias, _ in book.entries]
-        names = tokens.select(
+        known = [alias for alias, _ in book.entries if text.is_plain_word(alias)]
+        pattern = F.lit(text.scattered_token_pattern(known))
+        hits = messages.select(
+            *keys,
+            text.has_token(F.col("body")).alias("has_token"),
+            F.regexp_extract_all("body", pattern, F.lit(0)).alias("hits"),
+        )
+        names = hits.select(
             *keys,
-            F.size("tokens").alias("n_tokens"),
-            F.transform(F.filter("tokens", lambda t: t.isin(known)), lambda t: lookup[t]).alias("names"),
+            "has_token",
+            F.transform("hits", lambda h: lookup[text.without_punctuation(h)]).alias("names"),
         )
         nothing = F.array(F.struct(F.lit(None).cast("string").alias("entity"), F.lit(0).cast("bigint").alias("n")))
-        rows = F.when(F.size("names") > 0, _tally("names")).when(F.col("n_tokens") > 0, nothing)
+        rows = F.when(F.size("names") > 0, _tally("names")).when(F.col("has_token"), nothing)
         return names.select(*keys, F.inline(rows))
+    tokens = messages.select(*keys, text.plain_tokens(F.col("body")).alias("tokens"))
     hits = (
         tokens.select(*keys, F.explode("tokens").alias("alias"))
         .join(aliases.select("alias", "entity"), "alias")

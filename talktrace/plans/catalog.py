@@ -21,6 +21,7 @@ from ..operators import (
     timeline,
 )
 from ..schemas import ColumnSpec, MESSAGE_COLUMNS, TableSpec, project_to
+from ..session import ensure_checkpoint_dir
 from ..sources import files, quality, store, submissions
 from . import views
 from .views import CREATED_SQL, FIRST, LAST, NOW, ORIGIN, TITLE_SQL, sql
@@ -852,8 +853,10 @@ def _power_sql(rounds: int = 40) -> str:
 
 
 def _centrality(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    totals = _totals(spark, sf_dir)
-    return totals, centrality.eigenvector_centrality(totals, views.entities(spark), tolerance=1e-11)
+    # Used by several jobs, so the texts are scanned once and the edges stored.
+    ensure_checkpoint_dir(spark)
+    totals = _totals(spark, sf_dir).checkpoint()
+    return totals, centrality.eigenvector_centrality(totals, views.entities(spark), tolerance=1e-9)
 
 
 @query(sql("entities " + _EDGES, _power_sql() + "SELECT entity, round(centrality, 6) AS centrality FROM scores"))
