@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 @dataclass(frozen=True)
@@ -83,10 +83,6 @@ class TableSpec:
             f"{c.name} {c.type}{' NOT NULL' if c.name == self.key else ''}" for c in self.columns
         )
 
-    @property
-    def struct(self) -> T.StructType:
-        return T.StructType.fromDDL(self.ddl)
-
 
 # Table names and primary keys.
 THREADS = TableSpec("Post", "PostID", THREAD_COLUMNS)
@@ -95,24 +91,24 @@ POLLS = TableSpec("Poll", "PostID", POLL_COLUMNS)
 POLL_OPTIONS = TableSpec("PollOption", "PollOptionID", POLL_OPTION_COLUMNS)
 ALL_TABLES = (THREADS, MESSAGES, POLLS, POLL_OPTIONS)
 
-# The headers of the delimited inputs.
-MESSAGE_CSV = T.StructType.fromDDL(
+# The headers of the delimited inputs, and the shape of a submission.
+MESSAGE_CSV = (
     "CommentID string, PostID string, permalink string, AuthorID string, AuthorName string, "
     "createdDate bigint, body string, score bigint, parentID string, insertionTimestamp bigint, "
     "compound double"
 )
-THREAD_CSV = T.StructType.fromDDL(", ".join(f"{c.name} {c.type}" for c in THREAD_COLUMNS[:-1]))
-ROSTER_CSV = T.StructType.fromDDL(
+THREAD_CSV = ", ".join(f"{c.name} {c.type}" for c in THREAD_COLUMNS[:-1])
+ROSTER_CSV = (
     "Islander string, Age int, Hometown string, ShowEntryDay int, ShowLeaveDay int, "
     "OnLeaveStatus string, MainVillaEntryDay int"
 )
-RAW_ROSTER_CSV = T.StructType.fromDDL(
+RAW_ROSTER_CSV = (
     "Islander string, Age string, Hometown string, Entered string, Status string"
 )
-TIMELINE_CSV = T.StructType.fromDDL("Day int, Type string, Summary string, Islanders string")
+TIMELINE_CSV = "Day int, Type string, Summary string, Islanders string"
 
 _AUTHOR = "struct<id: string, name: string>"
-SUBMISSION = T.StructType.fromDDL(
+SUBMISSION = (
     "id string, name string, title string, permalink string, created_utc bigint, "
     f"author {_AUTHOR}, stickied boolean, link_flair_text string, url string, locked boolean, "
     "edited bigint, num_comments bigint, selftext string, score bigint, upvote_ratio double, "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions.calendar import day_index
@@ -14,10 +14,13 @@ from ..operators.aliases import alias_dictionary
 CORRUPT = "_corrupt"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, keep_corrupt: bool = False) -> DataFrame:
-    """Header, doubled quotes and line breaks inside quotes; with `keep_corrupt` unreadable rows stay, marked."""
+def read_csv(spark: SparkSession, path: str, schema: str, keep_corrupt: bool = False) -> DataFrame:
+    """Header, doubled quotes and line breaks inside quotes; with `keep_corrupt` unreadable rows stay, marked.
+
+    A file with line breaks inside quotes cannot be split, so a large archive should come as many files.
+    """
     if keep_corrupt:
-        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        schema = f"{schema}, {CORRUPT} string"
     reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True)
     if keep_corrupt:
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
@@ -77,7 +80,7 @@ def load_timeline(spark: SparkSession, path: str) -> DataFrame:
 def load_aliases(spark: SparkSession, path: str, alias_columns: int = 4) -> DataFrame:
     """The wide alias file to a dictionary. Row order is the order in the file."""
     names = [f"alias_{i}" for i in range(1, alias_columns + 1)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("entity", *names)])
+    schema = ", ".join(f"{c} string" for c in ("entity", *names))
     wide = read_csv(spark, path, schema).withColumn("row_no", F.monotonically_increasing_id())
     return alias_dictionary(wide, "entity", names, "row_no")
 
