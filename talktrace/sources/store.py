@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,6 +12,7 @@ from ..schemas import ALL_TABLES, MESSAGES, THREADS, TableSpec
 from .quality import CheckedRows, check_rows
 
 BUCKET = "bucket"
+OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
 def latest_rows(rows: DataFrame, key: str, sequence: str) -> DataFrame:
@@ -43,6 +45,18 @@ def messages_of(messages: DataFrame, threads: DataFrame, thread_id: str = "threa
     return messages.join(threads.select(thread_id), thread_id, "left_semi")
 
 
+@contextmanager
+def _only_touched_partitions(spark: SparkSession) -> Iterator[None]:
+    """Overwrite the partitions that are written and no others. The new files are staged until the
+    job has succeeded, so a table can be read and rewritten in one go."""
+    before = spark.conf.get(OVERWRITE_MODE)
+    spark.conf.set(OVERWRITE_MODE, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(OVERWRITE_MODE, before)
+
+
 class ArchiveStore:
     """The four tables, partitioned by a hash of their key.
 
@@ -93,13 +107,9 @@ class ArchiveStore:
         merged = upsert_latest(base, delta, table.key, sequence).select(*table.column_names, BUCKET)
         order = ["createdDate"] if "createdDate" in table.column_names else [table.key]
         # Rebalancing splits a bucket that is too large for one file and joins those that are small.
-        (
-            merged.hint("rebalance", BUCKET)
-            .sortWithinPartitions(BUCKET, *order)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .insertInto(self._name(table))
-        )
+        ordered = merged.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *order)
+        with _only_touched_partitions(self.spark):
+            ordered.write.mode("overwrite").insertInto(self._name(table))
         return checked
 
     def thread_ids(self) -> DataFrame:
