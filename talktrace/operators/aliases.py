@@ -61,6 +61,11 @@ class AliasBook:
 
     entries: tuple[tuple[str, str], ...]
 
+    def __post_init__(self) -> None:
+        names = [alias for alias, _ in self.entries]
+        if not names or not all(names) or len(set(names)) < len(names):
+            raise ValueError("a dictionary needs at least one alias, each of them non-empty and unique")
+
     @classmethod
     def of(cls, aliases: DataFrame | AliasBook) -> AliasBook:
         if isinstance(aliases, AliasBook):
