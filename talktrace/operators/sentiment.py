@@ -89,9 +89,11 @@ def lexicon_sentiment(
 
     before = [F.coalesce(F.col(f"before_{d}"), F.lit("")) for d in (1, 2, 3)]
     push = F.lit(0.0)
-    for previous, damping in zip(before, DISTANCE_DAMPING):
-        for word, strength in boosters.items():
-            push = push + F.when(previous == word, F.lit(strength * damping)).otherwise(F.lit(0.0))
+    if boosters:
+        strengths = F.create_map(*[F.lit(v) for entry in boosters.items() for v in entry])
+        for previous, damping in zip(before, DISTANCE_DAMPING):
+            strength = F.coalesce(F.try_element_at(strengths, previous), F.lit(0.0))
+            push = push + strength * F.lit(damping)
     boosted = F.col("valence") + F.when(F.col("valence") < 0, -push).otherwise(push)
     negated = F.lit(False)
     if negations:
