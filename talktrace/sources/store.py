@@ -108,7 +108,7 @@ class ArchiveStore:
         order = ["createdDate"] if "createdDate" in table.column_names else [table.key]
         # Rebalancing splits a bucket that is too large for one file and joins those that are small.
         ordered = merged.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *order)
-        with _only_touched_partitions(self.spark):
+        with _only_touched_partitions(ordered.sparkSession):
             ordered.write.mode("overwrite").insertInto(self._name(table))
         return checked
 

@@ -149,6 +149,13 @@ def test_store(spark, nested, rows):
     assert archive.scan(schemas.MESSAGES).columns == schemas.MESSAGES.column_names
     between = lambda *bounds: rows(archive.created_between(schemas.MESSAGES, *bounds), "CommentID")
     assert between(101) == {("c2",)} and between(101, 102) == set() and between(100, 102) == {("c1",)}
+    plan = archive.created_between(schemas.MESSAGES, 100, 102)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(createdDate,100), LessThan(createdDate,102)" in plan
+    many = _options(spark, *[(f"o{i}", "p1", "new", i, 1000) for i in range(30)])
+    archive.replace_into(schemas.POLL_OPTIONS, many)
+    archive.replace_into(schemas.POLL_OPTIONS, many.where("PollOptionID = 'o7'").withColumn("text", F.lit("last")))
+    texts = {r["text"]: r["count"] for r in archive.scan(schemas.POLL_OPTIONS).groupBy("text").count().collect()}
+    assert texts == {"new": 29, "last": 1}
     wanted = archive.thread_ids().where("PostID = 'p1'")
     assert archive.messages_for_threads(wanted).count() == 2
     archive.drop_all()
