@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import within_days
+from ..session import selection
 from .roster import keep_entities
 
 # The filled-out pair table has one row per ordered pair of its entities, so their number is bounded.
@@ -77,11 +78,10 @@ def dense_pairs(totals: DataFrame, entities: Sequence[str]) -> DataFrame:
     names = sorted(set(entities))
     if len(names) > MAX_DENSE_ENTITIES:
         raise ValueError(f"pairs of more than {MAX_DENSE_ENTITIES} entities are only kept sparse")
-    spark = totals.sparkSession
     partners = F.array(*map(F.lit, names))
     pairs = (
-        spark.createDataFrame([(n,) for n in names], "x string")
-        .select("x", F.explode(partners).alias("y"))
+        selection(totals.sparkSession, names)
+        .select(F.col("entity").alias("x"), F.explode(partners).alias("y"))
         .where("x <> y")
     )
     return pairs.join(totals, ["x", "y"], "left").select(

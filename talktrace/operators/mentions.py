@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
+from ..session import local_table
 from .aliases import AliasBook
 
 # A literal map is searched from its start, so it serves small dictionaries; larger ones are joined.
@@ -85,12 +87,7 @@ def scan_mentions(
         F.regexp_extract_all("body", F.lit(book.pattern(boundary)), F.lit(0)).alias("hits"),
     )
     if len(book) > IN_ROW_ALIASES:
-        spark = messages.sparkSession
-        table = (
-            spark.createDataFrame(list(book.entries), "alias string, entity string")
-            if isinstance(aliases, AliasBook)
-            else aliases
-        )
+        table = local_table(messages.sparkSession, book.entries, alias=pa.string(), entity=pa.string())
         return _name_by_join(hits, table, keys)
     lookup = book.lookup()
     named = hits.select(*keys, F.transform("hits", lambda h: lookup[h]).alias("names"))

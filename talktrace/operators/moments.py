@@ -65,11 +65,13 @@ def extremes(blocks: DataFrame, k: int = 3) -> DataFrame:
 
 
 def moment_records(moments: DataFrame, events: DataFrame) -> DataFrame:
-    """The distinct (event, entity) rows on the days of each moment."""
+    """The distinct (event, entity) rows on the days of each moment.
+
+    Made distinct before the join: a day with very many rows is folded where it is read.
+    """
     days = moments.select("side", "rank", F.explode("days").alias("day"))
-    return (
-        events.join(days, "day").select("side", "rank", "day", "type", "summary", "entity").distinct()
-    )
+    facts = events.select("day", "type", "summary", "entity").distinct()
+    return facts.join(days, "day").select("side", "rank", "day", "type", "summary", "entity")
 
 
 def moment_details(moments: DataFrame, events: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ operators themselves run on dictionaries and rosters derived from `customer`.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.calendar import day_index
 from ..operators.aliases import AliasBook
+from ..session import local_table, selection
 
 ORIGIN = 1_704_067_200
 NOW = ORIGIN + 40 * 86_400
@@ -166,17 +168,18 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roster(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        ROSTER, "entity string, entry_day int, leave_day int, leave_status string, main_entry_day int"
+    text, day = pa.string(), pa.int32()
+    return local_table(
+        spark, ROSTER, entity=text, entry_day=day, leave_day=day, leave_status=text, main_entry_day=day
     )
 
 
 def picked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(e,) for e in PICKED], "entity string")
+    return selection(spark, PICKED)
 
 
 def entities(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(e,) for e in ENTITIES], "entity string")
+    return selection(spark, ENTITIES)
 
 
 def raw_roster(spark: SparkSession, sf_dir: str) -> DataFrame:

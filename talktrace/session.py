@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "talktrace", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,3 +41,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="talktrace-checkpoint-"))
     else:
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
+
+
+def local_table(spark: SparkSession, rows: Iterable[tuple], **columns: pa.DataType) -> DataFrame:
+    """A small table of given rows.
+
+    Spark knows the size of a table made from Arrow data, unlike that of one made from Python
+    rows, and so can broadcast it instead of shuffling the large side of a join by its key.
+    """
+    records = [dict(zip(columns, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, schema=pa.schema(list(columns.items()))))
+
+
+def selection(spark: SparkSession, names: Iterable[str]) -> DataFrame:
+    """Entities picked by name."""
+    return local_table(spark, [(n,) for n in sorted(set(names))], entity=pa.string())

@@ -12,6 +12,8 @@ from ..schemas import ALL_TABLES, MESSAGES, THREADS, TableSpec
 from .quality import CheckedRows, check_rows
 
 BUCKET = "bucket"
+# Bytes per key besides its text, and the size up to which keys are broadcast.
+KEY_OVERHEAD, MAX_BROADCAST_BYTES = 64, 128 * 1024 * 1024
 OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
@@ -25,14 +27,17 @@ def latest_rows(rows: DataFrame, key: str, sequence: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(values, sequence).alias("row")).select("row.*")
 
 
-def upsert_latest(base: DataFrame, delta: DataFrame, key: str, sequence: str) -> DataFrame:
+def upsert_latest(
+    base: DataFrame, delta: DataFrame, key: str, sequence: str, few_keys: bool = False
+) -> DataFrame:
     """Base rows whose key is not in the delta, and the last delta row of each key.
 
-    The base, unique by key, is only filtered: no sort or aggregate runs over it, and it is not
-    even shuffled while the delta's keys are small enough for Spark to broadcast them.
+    The base, unique by key, is only filtered; no aggregate runs over it. With `few_keys`, which
+    says that the delta's keys have been measured and are small, it is not shuffled either.
     """
     changed = latest_rows(delta, key, sequence)
-    return base.join(changed.select(key), key, "left_anti").unionByName(changed)
+    keys = changed.select(key)
+    return base.join(F.broadcast(keys) if few_keys else keys, key, "left_anti").unionByName(changed)
 
 
 def high_water_mark(rows: DataFrame, column: str) -> DataFrame:
@@ -99,12 +104,17 @@ class ArchiveStore:
         checked = check_rows(rows.select(*table.column_names), table)
         bucket = F.pmod(F.xxhash64(table.key), F.lit(self.buckets)).cast("int")
         delta = checked.accepted.withColumn(BUCKET, bucket)
-        # At most `buckets` values, and as literals they prune the partitions of the base.
-        touched = [r[0] for r in delta.select(BUCKET).distinct().collect()]
+        # At most `buckets` rows. As literals the buckets prune the partitions of the base; the size
+        # of the keys decides whether they can be sent to the base or the base has to be shuffled.
+        key_size = F.sum(F.octet_length(table.key) + KEY_OVERHEAD)
+        touched = {r[0]: r[1] for r in delta.groupBy(BUCKET).agg(key_size).collect()}
         if not touched:
             return checked
-        base = self.spark.table(self._name(table)).where(F.col(BUCKET).isin(touched))
-        merged = upsert_latest(base, delta, table.key, sequence).select(*table.column_names, BUCKET)
+        few_keys = sum(touched.values()) <= MAX_BROADCAST_BYTES
+        base = self.spark.table(self._name(table)).where(F.col(BUCKET).isin(list(touched)))
+        merged = upsert_latest(base, delta, table.key, sequence, few_keys).select(
+            *table.column_names, BUCKET
+        )
         order = ["createdDate"] if "createdDate" in table.column_names else [table.key]
         # Rebalancing splits a bucket that is too large for one file and joins those that are small.
         ordered = merged.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *order)

@@ -70,6 +70,11 @@ def test_no_nested_loop_joins(name, spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_selection_does_not_shuffle_the_events(spark):
+    plan = QUERIES["event_entities"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_date_range_reaches_the_scan(spark):
     plan = QUERIES["messages_between"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(ts,[^\]]*LessThan\(ts,", plan)

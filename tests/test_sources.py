@@ -130,9 +130,13 @@ def test_upsert_keeps_the_last_load(spark, rows):
     assert rows(merged, "k", "v") == {(1, "a"), (2, "d"), (4, "e")}
     again = store.upsert_latest(merged, delta, "k", "seq")
     assert rows(again, "k", "v", "seq") == rows(merged, "k", "v", "seq")
+    few = store.upsert_latest(base, delta, "k", "seq", few_keys=True)
+    assert rows(few, "k", "v", "seq") == rows(merged, "k", "v", "seq")
 
 
-def test_store(spark, nested, rows):
+@pytest.mark.parametrize("broadcast_bytes", [0, store.MAX_BROADCAST_BYTES])
+def test_store(spark, nested, rows, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(store, "MAX_BROADCAST_BYTES", broadcast_bytes)
     archive = store.ArchiveStore(spark, "test_archive", buckets=3)
     archive.create_all()
     archive.create_all()
