@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -26,21 +25,21 @@ def build_session(app_name: str = "talktrace", master: str | None = None, **conf
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point reliable checkpoints at the folder the cluster names.
+    """Point reliable checkpoints at storage that the session names.
 
-    A folder of this machine is only ever chosen for a local master: on a cluster the
-    other executors could not read it, so a missing setting is an error there.
+    That is `spark.checkpoint.dir`, which a cluster sets to a shared folder; where it is unset, a folder
+    in the session's warehouse.
     """
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="talktrace-checkpoint-"))
-    else:
-        raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
+    if not context.getCheckpointDir():
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of this session's checkpoints, for stored steps; all executors share it."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def local_table(spark: SparkSession, rows: Iterable[tuple], **columns: pa.DataType) -> DataFrame:
