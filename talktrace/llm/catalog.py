@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, mixing, packing, quality, simhash
+from . import langid, licenses, mixing, packing, quality, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.allocate(table(spark, sf_dir, "documents"))
     taken = F.col("size") * F.size("shards")
@@ -34,6 +42,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op5_mixing, op7_packing, op9_quality, op10_licenses)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op3_language, op4_top_k, op5_mixing, op7_packing, op9_quality, op10_licenses)}
 
 ORACLES: dict[str, str] = {"op9_quality": quality.oracle_sql()}
