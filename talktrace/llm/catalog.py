@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, licenses, mixing, packing, quality, simhash, topk
+from . import langid, licenses, mixing, packing, pii, quality, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "shards")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op3_language, op4_top_k, op5_mixing, op7_packing, op9_quality, op10_licenses)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op3_language, op4_top_k, op5_mixing, op6_personal_data, op7_packing, op9_quality, op10_licenses)}
 
 ORACLES: dict[str, str] = {"op9_quality": quality.oracle_sql()}
