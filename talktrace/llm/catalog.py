@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import htmltext, langid, licenses, mixing, packing, pii, quality, simhash, topk
+from . import htmltext, langid, licenses, mixing, packing, pii, quality, simhash, substrings, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_main_text, op3_language, op4_top_k, op5_mixing, op6_personal_data, op7_packing, op9_quality, op10_licenses)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_main_text, op3_language, op4_top_k, op5_mixing, op6_personal_data, op7_packing, op8_repeated_strings, op9_quality, op10_licenses)}
 
 ORACLES: dict[str, str] = {"op9_quality": quality.oracle_sql()}
