@@ -158,3 +158,17 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
     found = F.pandas_udf(predict, "lang_pred string, score double")
     return docs.select("doc_id", fold_of().alias("held_out"), found("text").alias("p")).select("doc_id", "held_out", "p.*")
+
+
+def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of `docs` whose language can be told, unchanged: null texts and texts without a letter go.
+
+    Where no language can be learned, all texts with a letter stay.
+    """
+    filters = docs.sparkSession.sparkContext.broadcast(train(docs.where(~fold_of()), sample_rows))
+
+    def told(texts: pd.Series) -> pd.Series:
+        known = filters.value
+        return pd.Series([known.predict(t)[0] != UNKNOWN if known.names else any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
+
+    return docs.where(F.pandas_udf(told, "boolean")("text"))
