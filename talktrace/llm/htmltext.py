@@ -30,6 +30,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style title template noscript textarea select option button iframe noembed noframes svg math object canvas audio video datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+GENERIC = frozenset(("div", "span"))
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("article aside body div footer form header html main nav ol section table td th tr ul blockquote".split())
 
@@ -133,10 +134,13 @@ def parse(source: str) -> Page:
 
 
 def features(node: Node) -> list[str]:
-    """What an element shows of itself, each as one word. A short text says nothing: articles have short blocks too."""
+    """What an element shows of itself, each as one word.
+
+    A short text says nothing, as articles have short blocks too; nor does the tag of an element without a meaning.
+    """
     density = node.total_linked / node.total if node.total else 0
     return [
-        f"tag:{node.tag}{'/linked' if density > 0.5 else ''}",
+        *([] if node.tag in GENERIC else [f"tag:{node.tag}{'/linked' if density > 0.5 else ''}"]),
         f"links:{min(3, int(4 * density))}",
         *([f"text:{min(4, int(math.log10(node.total)))}"] if node.total >= 100 else []),
         *(f"name:{n}" for n in sorted(node.names)),
@@ -301,11 +305,13 @@ _FRAMES = (  # how an article is held
     '<div id="wrapper"><div class="content article body post text story entry main" id="content" data-main="1">{}</div></div>',
     '<div><article data-main="1"><div class="article body content">{}</div></article></div>',
     '<section class="article content" data-main="1">{}</section>',
+    '<div><div><div><div data-main="1">{}</div></div></div></div>',
+    '<div data-main="1"><div><div>{}</div></div></div>',
 )
 
 
 def written_pages() -> list[str]:
-    """Every frame with every form of blocks, and all surroundings before, inside and after in turn."""
+    """Every frame with every form of blocks, alone, and with all surroundings before, inside and after in turn."""
     around = list(_AROUND.values())
     pages = []
     for i, frame in enumerate(_FRAMES):
@@ -316,6 +322,7 @@ def written_pages() -> list[str]:
             marked = re.sub(r"^<(\w+)", r'<\1 data-main="0"', parts[2])
             held = inside[:cut] + marked + inside[cut:] + (re.sub(r"^<(\w+)", r'<\1 data-main="0"', parts[3]) if j % 2 else "")
             body = "".join(parts[4:8]) + frame.format(held) + "".join(parts[8:])
+            pages.append(f"<html><body>{frame.format(f'<div><div>{inside}</div></div>')}</body></html>")
             pages.append(f"<!DOCTYPE html><html><head><title>t</title></head><body>{body}</body></html>")
     return pages
 

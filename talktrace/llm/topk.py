@@ -126,7 +126,7 @@ def top_k(embeddings: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = K,
 
     `embeddings` has vec_id and embedding (array of numbers); more columns are ignored. See
     `integer_vectors` for rows that take no part; shorter vectors count as filled up with zeros, and rows
-    that share the query's vec_id are its own. An empty table gives no rows.
+    that share the query's vec_id are its own. Scores beyond a long saturate. An empty table gives no rows.
     """
     vectors = stored(integer_vectors(embeddings, scale))
     queries = stored(vectors.where(is_query))
