@@ -85,13 +85,12 @@ POPULATION = len(views.ENTITIES)
 
 
 @query(sql("messages", f"""
-    SELECT message_id, thread_id, author, {_time_sql('created_epoch')} AS created, day, score, compound
+    SELECT message_id, thread_id, created_epoch, day, body, author, score, compound, permalink, inserted_epoch,
+           {_time_sql('created_epoch')} AS created
     FROM messages"""))
 def load_messages(spark, sf_dir):
     loaded = files.with_day(views.messages(spark, sf_dir), ORIGIN, "created_epoch")
-    return loaded.select(
-        "message_id", "thread_id", "author", _text_time("date").alias("created"), "day", "score", "compound"
-    )
+    return loaded.withColumn("created", _text_time("date")).drop("date")
 
 
 @query(sql("dictionary", """
@@ -241,24 +240,22 @@ def upsert_latest(spark, sf_dir):
 
 
 @query("""
-    SELECT event_id, event_type, value FROM events
+    SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts) FROM events
     WHERE ts > TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-25 12:00:00'""")
 def messages_between(spark, sf_dir):
     after, before = (
         F.lit(t).cast("timestamp_ntz") for t in ("2024-01-05 00:00:00", "2024-01-25 12:00:00")
     )
     events = calendar.after_and_before(views.table(spark, sf_dir, "events"), "ts", after, before)
-    return events.select("event_id", "event_type", "value")
+    return events.withColumn("ts", _text_time("ts"))
 
 
 @query(sql("messages threads", """
-    SELECT message_id, thread_id, day, score FROM messages
+    SELECT * FROM messages
     WHERE thread_id IN (SELECT thread_id FROM threads WHERE title LIKE '%Daily Discussion%')"""))
 def messages_for_threads(spark, sf_dir):
     wanted = views.threads(spark, sf_dir).where(labels.thread_type(F.col("title")) == "MID")
-    return store.messages_of(views.messages(spark, sf_dir), wanted).select(
-        "message_id", "thread_id", "day", "score"
-    )
+    return store.messages_of(views.messages(spark, sf_dir), wanted)
 
 
 @query("SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest FROM events")
@@ -267,29 +264,17 @@ def high_water_mark(spark, sf_dir):
     return mark.select(_text_time("latest").alias("latest"))
 
 
-_TURNS = TableSpec(
-    "Turn",
-    "turn_id",
-    (
-        ColumnSpec("turn_id", None, "string", 255),
-        ColumnSpec("text", None, "string", 255),
-        ColumnSpec("votes", None, "bigint"),
-    ),
-)
+_TURNS = TableSpec("Turn", "turn_id", (ColumnSpec("turn_id", None, "string"), ColumnSpec("text", None, "string")))
 
 
 @query("""
-    SELECT CASE WHEN role = 'system' THEN 'turn_id is null' WHEN length(text) > 255 THEN 'text is too long'
-                WHEN (conv_id + 1) * 25000000 > 2147483647 THEN 'votes is out of range'
-                ELSE 'accepted' END AS outcome, count(*) AS n_rows
-    FROM conversations GROUP BY 1""")
+    SELECT CASE WHEN role <> 'system' THEN conv_id || '-' || turn END AS turn_id, conv_id, turn, role, text,
+           CASE WHEN role = 'system' THEN 'turn_id is null' END AS reason
+    FROM conversations""")
 def load_quality(spark, sf_dir):
-    turns = views.table(spark, sf_dir, "conversations").select(
-        F.when(F.col("role") != "system", F.concat_ws("-", "conv_id", "turn")).alias("turn_id"),
-        "text",
-        ((F.col("conv_id") + 1) * 25_000_000).alias("votes"),
-    )
-    return quality.load_summary(turns, _TURNS)
+    turn_id = F.when(F.col("role") != "system", F.concat_ws("-", "conv_id", "turn"))
+    turns = views.table(spark, sf_dir, "conversations").select(turn_id.alias("turn_id"), "conv_id", "turn", "role", "text")
+    return turns.withColumn("reason", quality.rejection(_TURNS, turns.columns))
 
 
 # ---------------------------------------------------------------- derivations and roster

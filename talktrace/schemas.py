@@ -9,57 +9,56 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 @dataclass(frozen=True)
 class ColumnSpec:
-    """A stored column, the source attribute it is filled from, its type and text limit."""
+    """A stored column, the source attribute it is filled from and its type."""
 
     name: str
     attribute: str | None
     type: str
-    max_length: int | None = None
 
 
-# The column names, source attributes and text limits of the archive's four tables.
+# The column names and source attributes of the archive's four tables.
 MESSAGE_COLUMNS = (
-    ColumnSpec("CommentID", "id", "string", 255),
-    ColumnSpec("PostID", None, "string", 255),
-    ColumnSpec("permalink", "permalink", "string", 255),
-    ColumnSpec("AuthorID", None, "string", 255),
-    ColumnSpec("AuthorName", None, "string", 255),
+    ColumnSpec("CommentID", "id", "string"),
+    ColumnSpec("PostID", None, "string"),
+    ColumnSpec("permalink", "permalink", "string"),
+    ColumnSpec("AuthorID", None, "string"),
+    ColumnSpec("AuthorName", None, "string"),
     ColumnSpec("createdDate", "created_utc", "bigint"),
-    ColumnSpec("body", "body", "string", 65535),
+    ColumnSpec("body", "body", "string"),
     ColumnSpec("score", "score", "bigint"),
-    ColumnSpec("parentID", "parent_id", "string", 255),
+    ColumnSpec("parentID", "parent_id", "string"),
     ColumnSpec("insertionTimestamp", None, "bigint"),
 )
 THREAD_COLUMNS = (
-    ColumnSpec("PostID", "id", "string", 255),
-    ColumnSpec("name", "name", "string", 255),
-    ColumnSpec("title", "title", "string", 65535),
-    ColumnSpec("permalink", "permalink", "string", 255),
+    ColumnSpec("PostID", "id", "string"),
+    ColumnSpec("name", "name", "string"),
+    ColumnSpec("title", "title", "string"),
+    ColumnSpec("permalink", "permalink", "string"),
     ColumnSpec("createdDate", "created_utc", "bigint"),
-    ColumnSpec("AuthorID", None, "string", 255),
-    ColumnSpec("AuthorName", None, "string", 255),
+    ColumnSpec("AuthorID", None, "string"),
+    ColumnSpec("AuthorName", None, "string"),
     ColumnSpec("isStickied", "stickied", "boolean"),
-    ColumnSpec("linkFlairText", "link_flair_text", "string", 65535),
-    ColumnSpec("linkUrl", "url", "string", 255),
+    ColumnSpec("linkFlairText", "link_flair_text", "string"),
+    ColumnSpec("linkUrl", "url", "string"),
     ColumnSpec("isLocked", "locked", "boolean"),
     ColumnSpec("edited", "edited", "bigint"),
     ColumnSpec("numOfComments", "num_comments", "bigint"),
-    ColumnSpec("selfText", "selftext", "string", 65535),
+    ColumnSpec("selfText", "selftext", "string"),
     ColumnSpec("score", "score", "bigint"),
     ColumnSpec("upvoteRatio", "upvote_ratio", "double"),
     ColumnSpec("insertionTimestamp", None, "bigint"),
     ColumnSpec("isPoll", None, "boolean"),
 )
 POLL_COLUMNS = (
-    ColumnSpec("PostID", None, "string", 255),
+    ColumnSpec("PostID", None, "string"),
     ColumnSpec("totalVoteCount", "total_vote_count", "bigint"),
     ColumnSpec("votingEndTimestamp", "voting_end_timestamp", "bigint"),
     ColumnSpec("insertionTimestamp", None, "bigint"),
 )
 POLL_OPTION_COLUMNS = (
-    ColumnSpec("PollOptionID", "id", "string", 255),
-    ColumnSpec("PostID", None, "string", 255),
-    ColumnSpec("text", "text", "string", 255),
+    ColumnSpec("PollOptionID", "id", "string"),
+    ColumnSpec("PostID", None, "string"),
+    ColumnSpec("text", "text", "string"),
     ColumnSpec("voteCount", "vote_count", "bigint"),
     ColumnSpec("insertionTimestamp", None, "bigint"),
 )
@@ -119,6 +118,10 @@ SUBMISSION = (
 )
 
 
+# Where readers put the text of a record that does not fit its schema.
+CORRUPT = "_corrupt"
+
+
 def project_to(
     source: DataFrame, columns: tuple[ColumnSpec, ...], overrides: dict[str, Column] | None = None
 ) -> DataFrame:

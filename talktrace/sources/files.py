@@ -10,21 +10,24 @@ from .. import schemas
 from ..functions.calendar import day_index
 from ..functions.labels import thread_type
 from ..operators.aliases import alias_dictionary
+from .quality import CheckedRows, split_unreadable
 
-CORRUPT = "_corrupt"
 
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> CheckedRows:
+    """Header and doubled quotes; rows that do not fit the schema are kept aside with their text.
 
-def read_csv(spark: SparkSession, path: str, schema: str, keep_corrupt: bool = False) -> DataFrame:
-    """Header, doubled quotes and line breaks inside quotes; with `keep_corrupt` unreadable rows stay, marked.
-
-    A file with line breaks inside quotes cannot be split, so a large archive should come as many files.
+    With `multi_line`, line breaks may stand inside quotes; a file is then one task, so a large archive should
+    come as many files.
     """
-    if keep_corrupt:
-        schema = f"{schema}, {CORRUPT} string"
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True)
-    if keep_corrupt:
-        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.csv(path)
+    reader = (
+        spark.read.schema(f"{schema}, {schemas.CORRUPT} string")
+        .option("header", True)
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .option("columnPruning", False)  # or columns that a query leaves out would not be checked
+        .option("columnNameOfCorruptRecord", schemas.CORRUPT)
+    )
+    return split_unreadable(reader.csv(path))
 
 
 def with_day(messages: DataFrame, origin_epoch: int, epoch: str = "createdDate") -> DataFrame:
@@ -34,9 +37,9 @@ def with_day(messages: DataFrame, origin_epoch: int, epoch: str = "createdDate")
     )
 
 
-def load_messages(spark: SparkSession, path: str, origin_epoch: int) -> DataFrame:
-    """Messages in the engine's vocabulary."""
-    raw = with_day(read_csv(spark, path, schemas.MESSAGE_CSV), origin_epoch)
+def load_messages(spark: SparkSession, path: str, origin_epoch: int, multi_line: bool = True) -> DataFrame:
+    """Readable messages in the engine's vocabulary; `read_csv` gives the others."""
+    raw = with_day(read_csv(spark, path, schemas.MESSAGE_CSV, multi_line).accepted, origin_epoch)
     return raw.withColumnsRenamed(
         {
             "CommentID": "message_id",
@@ -50,14 +53,14 @@ def load_messages(spark: SparkSession, path: str, origin_epoch: int) -> DataFram
     )
 
 
-def load_threads(spark: SparkSession, path: str) -> DataFrame:
+def load_threads(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Threads with their type."""
-    return read_csv(spark, path, schemas.THREAD_CSV).withColumn("type", thread_type(F.col("title")))
+    return read_csv(spark, path, schemas.THREAD_CSV, multi_line).accepted.withColumn("type", thread_type(F.col("title")))
 
 
 def load_roster(spark: SparkSession, path: str) -> DataFrame:
     """Cleaned stints."""
-    return read_csv(spark, path, schemas.ROSTER_CSV).withColumnsRenamed(
+    return read_csv(spark, path, schemas.ROSTER_CSV).accepted.withColumnsRenamed(
         {
             "Islander": "entity",
             "Age": "age",
@@ -72,16 +75,22 @@ def load_roster(spark: SparkSession, path: str) -> DataFrame:
 
 def load_timeline(spark: SparkSession, path: str) -> DataFrame:
     """Timeline events, one row per event and entity."""
-    return read_csv(spark, path, schemas.TIMELINE_CSV).withColumnsRenamed(
+    return read_csv(spark, path, schemas.TIMELINE_CSV).accepted.withColumnsRenamed(
         {"Day": "day", "Type": "type", "Summary": "summary", "Islanders": "entity"}
     )
 
 
 def load_aliases(spark: SparkSession, path: str, alias_columns: int = 4) -> DataFrame:
-    """The wide alias file to a dictionary. Row order is the order in the file."""
+    """The wide alias files to a dictionary. Row order is the order of the files' paths, then that in the file."""
     names = [f"alias_{i}" for i in range(1, alias_columns + 1)]
     schema = ", ".join(f"{c} string" for c in ("entity", *names))
-    wide = read_csv(spark, path, schema).withColumn("row_no", F.monotonically_increasing_id())
+    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("enforceSchema", True)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    wide = reader.csv(path).select("*", place.alias("row_no"))
     return alias_dictionary(wide, "entity", names, "row_no")
 
 
@@ -94,6 +103,22 @@ class RawInputs:
     roster: DataFrame
     timeline: DataFrame
     aliases: DataFrame
+    rejected: DataFrame
+
+
+def rejected_rows(spark: SparkSession, messages: str, threads: str, roster: str, timeline: str) -> DataFrame:
+    """table_name, reason and record of every row that the loaders leave out."""
+    parts = [
+        ("messages", messages, schemas.MESSAGE_CSV, True),
+        ("threads", threads, schemas.THREAD_CSV, True),
+        ("roster", roster, schemas.ROSTER_CSV, False),
+        ("timeline", timeline, schemas.TIMELINE_CSV, False),
+    ]
+    kept = None
+    for name, path, schema, multi_line in parts:
+        rows = read_csv(spark, path, schema, multi_line).rejected.select(F.lit(name).alias("table_name"), "reason", "record")
+        kept = rows if kept is None else kept.unionByName(rows)
+    return kept
 
 
 def load_raw(
@@ -105,9 +130,13 @@ def load_raw(
         load_roster(spark, roster),
         load_timeline(spark, timeline),
         load_aliases(spark, aliases),
+        rejected_rows(spark, messages, threads, roster, timeline),
     )
 
 
+# The headings under which messages and threads are displayed (in the two functions below).
+
+
 def message_table(messages: DataFrame) -> DataFrame:
     """Messages as displayed."""
     return messages.select(

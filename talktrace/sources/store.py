@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -12,19 +13,21 @@ from ..schemas import ALL_TABLES, MESSAGES, THREADS, TableSpec
 from .quality import CheckedRows, check_rows
 
 BUCKET = "bucket"
+REJECTED = "Rejected"
 # Bytes per key besides its text, and the size up to which keys are broadcast.
 KEY_OVERHEAD, MAX_BROADCAST_BYTES = 64, 128 * 1024 * 1024
 OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
 def latest_rows(rows: DataFrame, key: str, sequence: str) -> DataFrame:
-    """The last loaded row of each key.
+    """The last loaded row of each key; of rows with the same sequence the greatest by creation time, then values.
 
     Written as an aggregate rather than a ranking, so that a key loaded without end is folded
     where it is read instead of being sorted in one task.
     """
     values = F.struct(*[F.col(c) for c in rows.columns])
-    return rows.groupBy(key).agg(F.max_by(values, sequence).alias("row")).select("row.*")
+    first = [c for c in (sequence, "createdDate") if c in rows.columns]
+    return rows.groupBy(key).agg(F.max_by(values, F.struct(*first, values)).alias("row")).select("row.*")
 
 
 def upsert_latest(
@@ -122,6 +125,29 @@ class ArchiveStore:
             ordered.write.mode("overwrite").insertInto(self._name(table))
         return checked
 
+    def create_rejected(self) -> None:
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.database}.{REJECTED} "
+            "(table_name string, reason string, record string, batch bigint) USING parquet PARTITIONED BY (batch)"
+        )
+
+    def keep_rejected(self, rejected: list[tuple[str, DataFrame]], batch: int) -> None:
+        """Store what a batch could not, as (table, reason, record). A repeated batch replaces its own rows."""
+        self.create_rejected()
+        kept = None
+        for name, rows in rejected:
+            if "record" not in rows.columns:
+                rows = rows.withColumn("record", F.to_json(F.struct(*[c for c in rows.columns if c != "reason"])))
+            rows = rows.select(F.lit(name).alias("table_name"), "reason", "record", F.lit(batch).cast("bigint").alias("batch"))
+            kept = rows if kept is None else kept.unionByName(rows)
+        with _only_touched_partitions(kept.sparkSession):
+            kept.write.mode("overwrite").insertInto(f"{self.database}.{REJECTED}")
+
+    def rejected(self) -> DataFrame:
+        self.create_rejected()
+        return self.spark.table(f"{self.database}.{REJECTED}")
+
     def thread_ids(self) -> DataFrame:
         return self.scan(THREADS).select(THREADS.key)
 
@@ -150,11 +176,14 @@ class Materialised:
         """Compute and store, whether or not it exists."""
         self.release(name)
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
-        table = f"{self.database}.{name}"
-        frame = build()
-        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        table, fresh = f"{self.database}.{name}", f"{name}__{uuid.uuid4().hex}"
         # A busy day is split over several files instead of being written by one task.
-        frame.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").saveAsTable(table)
+        build().hint("rebalance", "day").write.partitionBy("day").saveAsTable(f"{self.database}.{fresh}")
+        # The name is a view that is switched once the new version is complete; then the others go.
+        self.spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {self.database}.{fresh}")
+        for version in self.spark.catalog.listTables(self.database, f"{name}__*"):
+            if version.name.lower() != fresh.lower():
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.database}.{version.name}")
         return self.spark.table(table)
 
     def load(

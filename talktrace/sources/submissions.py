@@ -100,7 +100,7 @@ def search_threads(submissions: DataFrame, query: str, start_epoch: int | None =
     """Submissions whose title contains the query text in any case; `*` matches all."""
     found = submissions
     if query != "*":
-        found = found.where(F.lower("title").contains(query.lower()))
+        found = found.where(F.lower("title").contains(F.lower(F.lit(query))))
     return found if start_epoch is None else created_since(found, start_epoch)
 
 

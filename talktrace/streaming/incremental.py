@@ -13,19 +13,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
+from ..sources.quality import split_unreadable
 from ..sources.store import ArchiveStore
 from ..sources.submissions import flatten
 
 
-def store_submissions(submissions: DataFrame, archive: ArchiveStore, now_epoch: int) -> None:
-    """Flatten and upsert all four tables; the nested rows are parsed once."""
+def store_submissions(submissions: DataFrame, archive: ArchiveStore, now_epoch: int, batch: int = 0) -> None:
+    """Flatten and upsert all four tables; the nested rows are parsed once.
+
+    What cannot be stored (unreadable records, rows without a key) goes to the archive's table of
+    rejected rows, with its reason and the batch.
+    """
     submissions = submissions.persist()
     try:
-        flat = flatten(submissions, now_epoch)
-        archive.replace_into(schemas.THREADS, flat.threads)
-        archive.replace_into(schemas.MESSAGES, flat.messages)
-        archive.replace_into(schemas.POLLS, flat.polls)
-        archive.replace_into(schemas.POLL_OPTIONS, flat.poll_options)
+        rejected, readable = [], submissions
+        if schemas.CORRUPT in submissions.columns:
+            split = split_unreadable(submissions)
+            readable = split.accepted
+            rejected.append(("Submission", split.rejected))
+        flat = flatten(readable, now_epoch)
+        for table, rows in (
+            (schemas.THREADS, flat.threads),
+            (schemas.MESSAGES, flat.messages),
+            (schemas.POLLS, flat.polls),
+            (schemas.POLL_OPTIONS, flat.poll_options),
+        ):
+            rejected.append((table.name, archive.replace_into(table, rows).rejected))
+        archive.keep_rejected(rejected, batch)
     finally:
         submissions.unpersist()
 
@@ -40,11 +54,14 @@ def pull_new_submissions(
 ) -> StreamingQuery:
     """Ingest the JSON files under `path` that earlier pulls have not seen, then stop."""
     source = (
-        spark.readStream.schema(schemas.SUBMISSION).option("maxFilesPerTrigger", files_per_batch).json(path)
+        spark.readStream.schema(f"{schemas.SUBMISSION}, {schemas.CORRUPT} string")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .option("columnNameOfCorruptRecord", schemas.CORRUPT)
+        .json(path)
     )
     return (
         source.writeStream.foreachBatch(
-            lambda batch, _: store_submissions(batch, archive, round(clock()))
+            lambda batch, number: store_submissions(batch, archive, round(clock()), number)
         )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

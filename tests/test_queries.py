@@ -78,4 +78,3 @@ def test_selection_does_not_shuffle_the_events(spark):
 def test_date_range_reaches_the_scan(spark):
     plan = QUERIES["messages_between"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(ts,[^\]]*LessThan\(ts,", plan)
-    assert "props" not in plan
