@@ -137,7 +137,7 @@ def code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _pack(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> bytes:
     base = int(doc.min(initial=1 << 62)) if len(doc) else 0
     columns = [np.diff(a, prepend=_U(0)), b, (doc - base).astype(np.uint64)]
-    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns]
     return np.array([len(a), base], "<i8").tobytes() + zstandard.compress(b"".join(planes), 1)
 
 
@@ -316,22 +316,21 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     def run_arrays(frames):
         def parts():
             for frame in frames:
-                frame = frame[frame["doc_id"].notna() & frame["text"].notna()]
-                ids = frame["doc_id"].to_numpy(np.int64)
+                ids = frame["doc_id"].to_numpy()
                 for chunk in chunks([t.encode() for t in frame["text"]]):
                     first, _, a, b = chunk.runs()
                     yield a, b, ids[chunk.doc[first]]
 
         yield from _blobs(_batched(parts(), BATCH_BYTES // 16), buckets)
 
-    arrays = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run_arrays, _BLOBS)
+    arrays = keyed.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(run_arrays, _BLOBS)
     answers = stored(_indexed(arrays, shared=True))
 
     def window_arrays(frames):
         def parts():
             for frame in frames:
-                frame = frame[frame["codes"].notna() & frame["doc_id"].notna() & frame["text"].notna()]
-                ids, wanted = frame["doc_id"].to_numpy(np.int64), list(frame["codes"])
+                frame = frame[frame["codes"].notna() & frame["text"].notna()]
+                ids, wanted = frame["key"].to_numpy(), list(frame["codes"])
                 for chunk in chunks([t.encode() for t in frame["text"]]):
                     first, last, a, b = chunk.runs()
                     hit = _marks(chunk.doc[first], code(a, b), wanted)
@@ -349,15 +348,14 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
         return frame.groupBy(F.col("doc_id").alias("key")).agg(*lists)
 
     asked = by_document(answers.where(F.col("kind") == _SHARED), ("codes", "true"))
-    strings = _indexed(keyed.join(asked, "key", "left").select("doc_id", "text", "codes").mapInPandas(window_arrays, _BLOBS), shared=False)
+    asking = keyed.join(asked, "key", "left").select("key", "text", F.expr("CASE WHEN doc_id IS NOT NULL THEN codes END").alias("codes"))
+    strings = _indexed(asking.mapInPandas(window_arrays, _BLOBS), shared=False)
     every = answers.where(F.col("kind") == _REMOVED).union(strings.withColumn("kind", F.lit(2)))
     lists = by_document(every, ("runs", f"kind = {_REMOVED}"), ("windows", "kind = 2"))
 
-    def cut(ids: pd.Series, texts: pd.Series, runs: pd.Series, windows: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, runs: pd.Series, windows: pd.Series) -> pd.DataFrame:
         data = [(t or "").encode() for t in texts]
-        none = np.zeros(0, np.int64)
-        lists = [[none if isinstance(i, float) or i is None or pd.isna(i) or c is None else np.asarray(c, np.int64) for i, c in zip(ids, column)]
-                 for column in (runs, windows)]
+        lists = [[np.zeros(0, np.int64) if c is None else np.asarray(c, np.int64) for c in column] for column in (runs, windows)]
         rows = []
         able = [i for i in range(len(data)) if len(lists[0][i]) + len(lists[1][i])]
         flags = dict(zip(able, covered([data[i] for i in able], [lists[0][i] for i in able], [lists[1][i] for i in able])))
@@ -369,5 +367,5 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     cut_udf = F.pandas_udf(cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    joined = keyed.join(lists, "key", "left")
-    return joined.select("doc_id", cut_udf(F.col("doc_id"), "text", "runs", "windows").alias("cut")).select("doc_id", "cut.*")
+    own = [F.expr(f"CASE WHEN doc_id IS NOT NULL THEN {name} END") for name in ("runs", "windows")]
+    return keyed.join(lists, "key", "left").select("doc_id", cut_udf("text", *own).alias("cut")).select("doc_id", "cut.*")
