@@ -16,6 +16,7 @@ WORD_CLASS = r"\p{L}\p{N}_"
 SPACE_CLASS = r"\t\n\x0b\f\r \x1c-\x1f\x{85}\p{Z}"
 
 _WORD = f"[{WORD_CLASS}]"
+NOTHING = "(?!)"  # matches nowhere
 BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 
@@ -38,10 +39,14 @@ def prefix_tree(words: Iterable[str], after_each: str = "") -> str:
             node = node.setdefault(char, {})
         node[""] = {}
 
-    def render(node: dict) -> str:
+    nodes = [root]
+    for node in nodes:
+        nodes.extend(child for c, child in node.items() if c)
+    done: dict[int, str] = {}
+    for node in reversed(nodes):  # children before their parents, without recursion over letters
         leaves = [c for c, child in node.items() if c and child.keys() == {""}]
         parts = [
-            re.escape(c) + after_each + render(child)
+            re.escape(c) + after_each + done.pop(id(child))
             for c, child in node.items()
             if c and c not in leaves
         ]
@@ -49,12 +54,9 @@ def prefix_tree(words: Iterable[str], after_each: str = "") -> str:
             parts.append(re.escape(leaves[0]) + after_each)
         elif leaves:
             parts.append("[" + "".join(map(re.escape, leaves)) + "]" + after_each)
-        if not parts:
-            return ""
-        body = parts[0] if len(parts) == 1 and "" not in node else "(?:" + "|".join(parts) + ")"
-        return body + "?" if "" in node else body
-
-    return render(root)
+        body = "" if not parts else parts[0] if len(parts) == 1 and "" not in node else "(?:" + "|".join(parts) + ")"
+        done[id(node)] = body + "?" if body and "" in node else body
+    return done[id(root)]
 
 
 def _starts_with_any(words: Sequence[str]) -> str:
@@ -126,6 +128,19 @@ def is_plain_word(word: str) -> bool:
     return bool(word) and all(map(_is_word, word))
 
 
+def runs(body: Column) -> Column:
+    """The text as alternating runs of word characters and of others."""
+    return F.regexp_extract_all(body, F.lit(f"{_WORD}+|[^{WORD_CLASS}]+"), F.lit(0))
+
+
+def starts_as_word(value: Column) -> Column:
+    return F.regexp_like(value, F.lit(f"^{_WORD}"))
+
+
+def ends_as_word(value: Column) -> Column:
+    return F.regexp_like(value, F.lit(f"{_WORD}$"))
+
+
 def has_token(body: Column) -> Column:
     """Whether anything is left after punctuation is taken out."""
     return F.coalesce(F.regexp_like(body, F.lit(_WORD)), F.lit(False))

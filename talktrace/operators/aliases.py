@@ -6,13 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..functions.labels import short_label
-
-# The dictionary becomes part of the plan as one expression, so its size is checked first.
-MAX_ALIASES = 200_000
+from ..session import local_table
 
 
 def alias_dictionary(wide: DataFrame, entity: str, alias_columns: Sequence[str], row_order: str) -> DataFrame:
@@ -49,33 +48,36 @@ def search_dictionary(names: DataFrame, entity: str, row_order: str, aliases: Da
 
 
 def alias_lists(aliases: DataFrame) -> DataFrame:
-    """Entity to its aliases in dictionary order. An alias occurs once in a dictionary, so a list
-    holds no more than what `AliasBook` would accept."""
+    """Entity to its aliases in dictionary order; a list holds one entity's aliases, each once."""
     ordered = F.sort_array(F.collect_list(F.struct("alias_order", "alias")))
     return aliases.groupBy("entity").agg(F.transform(ordered, lambda e: e["alias"]).alias("aliases"))
 
 
+def unique_aliases(aliases: DataFrame) -> DataFrame:
+    """(alias, entity), each non-empty alias once: of a repeated one the entity that is last in order."""
+    named = aliases.where("alias IS NOT NULL AND alias <> '' AND entity IS NOT NULL")
+    place = F.struct("alias_order", "entity") if "alias_order" in aliases.columns else F.col("entity")
+    return named.groupBy("alias").agg(F.max_by("entity", place).alias("entity"))
+
+
 @dataclass(frozen=True)
 class AliasBook:
-    """A dictionary small enough to be part of a plan, ordered by entity, then alias order."""
+    """A dictionary as part of a plan, ordered by entity, then alias order."""
 
     entries: tuple[tuple[str, str], ...]
 
     def __post_init__(self) -> None:
         names = [alias for alias, _ in self.entries]
-        if not names or not all(names) or len(set(names)) < len(names):
-            raise ValueError("a dictionary needs at least one alias, each of them non-empty and unique")
+        if not all(names) or len(set(names)) < len(names):
+            raise ValueError("aliases must be non-empty and unique")
 
     @classmethod
     def of(cls, aliases: DataFrame | AliasBook) -> AliasBook:
+        """The driver gets the dictionary, which has to fit there; `scan_mentions` says when it is needed."""
         if isinstance(aliases, AliasBook):
             return aliases
-        rows = aliases.select("entity", "alias_order", "alias").limit(MAX_ALIASES + 1).collect()
-        if len(rows) > MAX_ALIASES:
-            raise ValueError(
-                f"more than {MAX_ALIASES} aliases do not fit in one expression; "
-                "count_whole_tokens joins dictionaries of any size"
-            )
+        order = aliases.groupBy("alias").agg(F.min("alias_order").alias("alias_order"))
+        rows = unique_aliases(aliases).join(order, "alias").select("entity", "alias_order", "alias").collect()
         return cls(tuple((r["alias"], r["entity"]) for r in sorted(rows)))
 
     def __len__(self) -> int:
@@ -86,6 +88,8 @@ class AliasBook:
         return sorted({entity for _, entity in self.entries})
 
     def pattern(self, boundary: str) -> str:
+        if not self.entries:
+            return text.NOTHING
         if boundary == "word":
             return text.whole_word_pattern([alias for alias, _ in self.entries])
         if boundary == "outer":
@@ -95,4 +99,9 @@ class AliasBook:
 
     def lookup(self) -> Column:
         """A literal map from alias to entity."""
+        if not self.entries:
+            return F.create_map(F.lit(""), F.lit(None).cast("string"))
         return F.create_map(*[F.lit(v) for entry in self.entries for v in entry])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return local_table(spark, self.entries, alias=pa.string(), entity=pa.string())

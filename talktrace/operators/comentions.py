@@ -14,9 +14,6 @@ from ..functions.calendar import within_days
 from ..session import selection
 from .roster import keep_entities
 
-# The filled-out pair table has one row per ordered pair of its entities, so their number is bounded.
-MAX_DENSE_ENTITIES = 1_000
-
 
 def _team(sets: DataFrame, exclude: str | None) -> Column:
     names = F.col("found.entity")
@@ -31,15 +28,9 @@ def _if_any(pairs: Column) -> Column:
 def comention_pairs(sets: DataFrame, exclude: str | None = None) -> DataFrame:
     """Each ordered pair of the entities of a message once, however often they are mentioned."""
     teams = sets.select("message_id", "day", _team(sets, exclude).alias("team"))
-    pairs = F.flatten(
-        F.transform(
-            "team",
-            lambda x: F.transform(
-                F.filter("team", lambda y: y != x), lambda y: F.struct(x.alias("x"), y.alias("y"))
-            ),
-        )
-    )
-    return teams.select("message_id", "day", F.inline(_if_any(pairs)))
+    ones = teams.select("*", F.explode(_if_any(F.col("team"))).alias("x"))
+    others = F.filter("team", lambda y: y != F.col("x"))
+    return ones.select("message_id", "day", "x", F.explode(others).alias("y"))
 
 
 def edges_daily(sets: DataFrame, exclude: str | None = None) -> DataFrame:
@@ -76,8 +67,6 @@ def dense_pairs(totals: DataFrame, entities: Sequence[str]) -> DataFrame:
     The pairs themselves are what is asked for here; nothing else in the library uses this form.
     """
     names = sorted(set(entities))
-    if len(names) > MAX_DENSE_ENTITIES:
-        raise ValueError(f"pairs of more than {MAX_DENSE_ENTITIES} entities are only kept sparse")
     partners = F.array(*map(F.lit, names))
     pairs = (
         selection(totals.sparkSession, names)

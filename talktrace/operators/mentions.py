@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
-from ..session import local_table
-from .aliases import AliasBook
+from .aliases import AliasBook, unique_aliases
 
 # A literal map is searched from its start, so it serves small dictionaries; larger ones are joined.
+# Which way is taken changes the plan, not the rows.
 IN_ROW_ALIASES = 512
 
 
@@ -41,19 +40,25 @@ def _tally(names: Column | str) -> Column:
     )
 
 
-def _name_by_join(hits: DataFrame, aliases: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Resolve the aliases in `hits` by a join on one row per message and distinct alias."""
-    counted = hits.select(
-        *keys,
-        F.inline(
-            F.transform(
-                F.array_distinct("hits"),
-                lambda a: F.struct(a.alias("alias"), F.size(F.filter("hits", lambda h: h == a)).alias("k")),
-            )
-        ),
+def _named(hits: DataFrame, aliases: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per message `found`, from the aliases in `hits` by a join with the dictionary.
+
+    One row per message and distinct alias is joined. A row without an alias keeps messages without a hit.
+    """
+    counts = F.transform(
+        F.array_distinct("hits"),
+        lambda a: F.struct(a.alias("alias"), F.size(F.filter("hits", lambda h: h == a)).cast("bigint").alias("k")),
+    )
+    keep = F.array(F.struct(F.lit(None).cast("string").alias("alias"), F.lit(0).cast("bigint").alias("k")))
+    counted = hits.select(*keys, F.inline(F.concat(keep, F.coalesce(counts, F.array().cast("array<struct<alias: string, k: bigint>>")))))
+    return _folded(counted.join(aliases.select("alias", "entity"), "alias", "left"), keys)
+
+
+def _folded(named: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per message the name-sorted (entity, n) of rows (keys, entity or null, k)."""
+    merged = named.groupBy(*keys).agg(
+        F.collect_list(F.when(F.col("entity").isNotNull(), F.struct("entity", "k"))).alias("parts")
     )
-    named = counted.join(aliases.select("alias", "entity"), "alias")
-    merged = named.groupBy(*keys).agg(F.collect_list(F.struct("entity", "k")).alias("parts"))
     found = F.transform(
         F.sort_array(F.array_distinct(F.col("parts.entity"))),
         lambda e: F.struct(
@@ -68,27 +73,71 @@ def _name_by_join(hits: DataFrame, aliases: DataFrame, keys: Sequence[str]) -> D
     return merged.select(*keys, found.alias("found"))
 
 
+def _whole_words_by_join(messages: DataFrame, aliases: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`found` of whole words for a dictionary of any size.
+
+    A whole word begins and ends where word characters and others meet. So the text is cut in runs of either,
+    and every sequence of runs up to the dictionary's longest is a candidate for a join by its text.
+    Of the hits of a message those that a scan from its start would take are counted: at each place the
+    longest, without overlaps.
+    """
+    sized = aliases.select("alias", "entity", F.size(text.runs(F.col("alias"))).alias("runs"))
+    longest = sized.agg(F.max("runs")).first()[0]
+    if longest is None:
+        return messages.select(*keys, F.array().cast("array<struct<entity: string, n: bigint>>").alias("found"))
+    cut = messages.select(*keys, text.runs(F.col("body")).alias("runs"))
+    last = F.size("runs")
+    sequences = F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(longest), last - F.col("at"))),
+        lambda n: F.struct((F.col("at") + n).alias("stop"), F.concat_ws("", F.slice("runs", F.col("at") + 1, n)).alias("alias")),
+    )
+    starts = F.when(last > 0, F.sequence(F.lit(0), last - 1))
+    placed = cut.select(*keys, "runs", F.explode_outer(starts).alias("at"))
+    candidates = placed.select(*keys, "at", F.size("runs").alias("last"), F.inline_outer(sequences))
+    edge = (F.col("at") == 0) & ~text.starts_as_word(F.col("alias")) | (F.col("stop") == F.col("last")) & ~text.ends_as_word(F.col("alias"))
+    hits = candidates.where(~edge).join(sized.select("alias", "entity"), "alias").select(
+        *keys, F.struct("at", (-F.col("stop")).alias("stop"), "entity").alias("hit")
+    )
+    nothing = messages.select(*keys, F.lit(None).cast("struct<at: int, stop: int, entity: string>").alias("hit"))
+    gathered = hits.unionByName(nothing).groupBy(*keys).agg(F.sort_array(F.collect_list("hit")).alias("hits"))
+    state = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("names"))
+    taken = F.aggregate(
+        "hits", state,
+        lambda s, h: F.when(
+            h["at"] >= s["upto"],
+            F.struct((-h["stop"]).alias("upto"), F.array_append(s["names"], h["entity"]).alias("names")),
+        ).otherwise(s),
+    )
+    named = gathered.select(*keys, taken["names"].alias("names"))
+    return named.select(*keys, _tally("names").alias("found"))
+
+
 def scan_mentions(
     messages: DataFrame,
     aliases: DataFrame | AliasBook,
     boundary: str = "word",
     carry: Sequence[str] = ("day",),
 ) -> DataFrame:
-    """One row per message: message_id, the carried columns, and `found`, empty or absent if nothing matched.
+    """One row per message: message_id, the carried columns, and `found`, empty if nothing matched.
 
-    `boundary="word"` counts whole words and prefers longer aliases. `boundary="outer"` guards only
-    the start of the first entity's aliases and the end of the last entity's; everything else also
-    matches inside words, and the earlier alias wins. Matches do not overlap, case matters.
+    `boundary="word"` counts whole words and prefers longer aliases, with dictionaries of any size.
+    `boundary="outer"` guards only the start of the first entity's aliases and the end of the last
+    entity's; everything else also matches inside words, and the earlier alias wins. Its pattern is
+    part of the plan, so the dictionary has to fit there. Matches do not overlap, case matters; a null
+    text counts as empty. `message_id` and the carried columns identify a message.
     """
-    book = AliasBook.of(aliases)
     keys = ["message_id", *carry]
+    messages = messages.withColumn("body", F.coalesce("body", F.lit("")))
+    if boundary == "word" and not _fits_in_row(aliases):
+        table = aliases.table(messages.sparkSession) if isinstance(aliases, AliasBook) else unique_aliases(aliases)
+        return _whole_words_by_join(messages, table, keys)
+    book = AliasBook.of(aliases)
     hits = messages.select(
         *keys,
         F.regexp_extract_all("body", F.lit(book.pattern(boundary)), F.lit(0)).alias("hits"),
     )
     if len(book) > IN_ROW_ALIASES:
-        table = local_table(messages.sparkSession, book.entries, alias=pa.string(), entity=pa.string())
-        return _name_by_join(hits, table, keys)
+        return _named(hits, book.table(messages.sparkSession), keys)
     lookup = book.lookup()
     named = hits.select(*keys, F.transform("hits", lambda h: lookup[h]).alias("names"))
     return named.select(*keys, _tally("names").alias("found"))
@@ -132,13 +181,15 @@ def count_whole_tokens(
 
     Every message with at least one token stays: one without a mention is a single row with a null
     entity and n = 0. A dictionary of any size works; a large one is joined instead of looked up.
+    `message_id` and the carried columns identify a message.
     """
     keys = ["message_id", *carry]
-    if isinstance(aliases, AliasBook) or _fits_in_row(aliases):
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("entity"), F.lit(0).cast("bigint").alias("n")))
+    if _fits_in_row(aliases):
         book = AliasBook.of(aliases)
         lookup = book.lookup()
         known = [alias for alias, _ in book.entries if text.is_plain_word(alias)]
-        pattern = F.lit(text.scattered_token_pattern(known))
+        pattern = F.lit(text.scattered_token_pattern(known) if known else text.NOTHING)
         hits = messages.select(
             *keys,
             text.has_token(F.col("body")).alias("has_token"),
@@ -149,24 +200,15 @@ def count_whole_tokens(
             "has_token",
             F.transform("hits", lambda h: lookup[text.without_punctuation(h)]).alias("names"),
         )
-        nothing = F.array(F.struct(F.lit(None).cast("string").alias("entity"), F.lit(0).cast("bigint").alias("n")))
         rows = F.when(F.size("names") > 0, _tally("names")).when(F.col("has_token"), nothing)
         return names.select(*keys, F.inline(rows))
-    tokens = messages.select(*keys, text.plain_tokens(F.col("body")).alias("tokens"))
-    hits = (
-        tokens.select(*keys, F.explode("tokens").alias("alias"))
-        .join(aliases.select("alias", "entity"), "alias")
-        .groupBy(*keys, "entity")
-        .agg(F.count("*").alias("n"))
-    )
-    silent = (
-        tokens.where(F.size("tokens") > 0)
-        .select(*keys)
-        .join(hits.select("message_id").distinct(), "message_id", "left_anti")
-        .select(*keys, F.lit(None).cast("string").alias("entity"), F.lit(0).cast("bigint").alias("n"))
-    )
-    return hits.unionByName(silent)
+    table = aliases.table(messages.sparkSession) if isinstance(aliases, AliasBook) else unique_aliases(aliases)
+    tokens = messages.select(*keys, text.plain_tokens(F.col("body")).alias("hits"))
+    found = _named(tokens.where(F.size("hits") > 0), table, keys)
+    return found.select(*keys, F.inline(F.when(F.size("found") > 0, F.col("found")).otherwise(nothing)))
 
 
-def _fits_in_row(aliases: DataFrame) -> bool:
+def _fits_in_row(aliases: DataFrame | AliasBook) -> bool:
+    if isinstance(aliases, AliasBook):
+        return len(aliases) <= IN_ROW_ALIASES
     return len(aliases.select("alias").limit(IN_ROW_ALIASES + 1).collect()) <= IN_ROW_ALIASES

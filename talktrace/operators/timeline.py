@@ -49,7 +49,9 @@ def day_digest_rows(events: DataFrame, first: int, last: int) -> DataFrame:
     """Distinct (day, type, summary) for each day of the range; a day without events has one null row."""
     spine = events.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("day"))
     distinct = within_days(events, first, last).select("day", "type", "summary").distinct()
-    return spine.join(distinct, "day", "left")
+    empty = spine.join(distinct.select("day").distinct(), "day", "left_anti")
+    nothing = [F.lit(None).cast(distinct.schema[c].dataType).alias(c) for c in ("type", "summary")]
+    return distinct.where("day IS NOT NULL").unionByName(empty.select("day", *nothing))
 
 
 def day_digest(events: DataFrame, first: int, last: int) -> DataFrame:
@@ -70,5 +72,13 @@ def day_digest(events: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def day_events(days: DataFrame, events: DataFrame) -> DataFrame:
-    """Every active day (day, value) with its events; a day without one keeps a null event."""
-    return event_entities(events).join(days, "day", "right")
+    """Every active day (day, value) with its events; a day without one keeps a null event.
+
+    The events meet the small table of days by an inner join, in which a busy day can be split; days without
+    events are added.
+    """
+    listed = event_entities(events)
+    met = listed.join(days, "day")
+    quiet = days.join(events.select("day").distinct(), "day", "left_anti")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in listed.schema if f.name != "day"]
+    return met.unionByName(quiet.select("*", *nothing))

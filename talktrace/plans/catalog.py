@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -102,14 +103,17 @@ def alias_dictionary(spark, sf_dir):
     return built.select("alias", "entity", "alias_order.column_no", "alias_order.row_no")
 
 
-@query(sql("lines", f"""
+_MESSAGE_SQL = f"""
     SELECT doc_id || '-' || i AS "CommentID", 't-' || doc_id AS "PostID",
            '/m/' || doc_id || '/' || i AS permalink,
            CASE WHEN i % 5 <> 0 THEN 'a-' || source END AS "AuthorID",
            CASE WHEN i % 5 <> 0 THEN source END AS "AuthorName",
            created + i AS "createdDate", line AS body, CAST(length(line) % 50 AS BIGINT) AS score,
            't-' || doc_id AS "parentID", CAST({NOW} AS BIGINT) AS "insertionTimestamp"
-    FROM lines WHERE length(line) >= 40"""))
+    FROM lines WHERE length(line) >= 40"""
+
+
+@query(sql("lines", _MESSAGE_SQL))
 def flatten_messages(spark, sf_dir):
     return submissions.flatten_messages(views.submissions(spark, sf_dir), NOW)
 
@@ -136,13 +140,10 @@ def flatten_threads(spark, sf_dir):
 @query(sql("options", f"""
     SELECT 't-' || doc_id AS "PostID", doc_id || '/' || i AS "PollOptionID", option AS text,
            CAST(length(option) % 100 AS BIGINT) AS "voteCount", doc_id * 3 AS "totalVoteCount",
-           created + 86400 AS "votingEndTimestamp"
+           created + 86400 AS "votingEndTimestamp", CAST({NOW} AS BIGINT) AS "insertionTimestamp"
     FROM options"""))
 def flatten_polls(spark, sf_dir):
-    nested = views.submissions(spark, sf_dir)
-    polls = submissions.flatten_polls(nested, NOW).drop("insertionTimestamp")
-    options = submissions.flatten_poll_options(nested, NOW).drop("insertionTimestamp")
-    return options.join(polls, "PostID")
+    return submissions.polls_with_options(views.submissions(spark, sf_dir), NOW)
 
 
 @query("""
@@ -178,48 +179,42 @@ def recency_bucket(spark, sf_dir):
 _SINCE = ORIGIN + 10 * 86_400
 
 
+_OPTION_SQL = f"""
+    SELECT doc_id || '/' || i AS "PollOptionID", 't-' || doc_id AS "PostID", option AS text,
+           CAST(length(option) % 100 AS BIGINT) AS "voteCount", CAST({NOW} AS BIGINT) AS "insertionTimestamp"
+    FROM options"""
+_POLL_SQL = f"""
+    SELECT 't-' || doc_id AS "PostID", doc_id * 3 AS "totalVoteCount", {CREATED_SQL} + 86400 AS "votingEndTimestamp",
+           CAST({NOW} AS BIGINT) AS "insertionTimestamp"
+    FROM documents WHERE lang = 'en'"""
+
+
 @query(sql("lines options", f"""
-    SELECT 'thread' AS kind, 't-' || doc_id AS id, 't-' || doc_id AS thread_id FROM documents
-    WHERE {CREATED_SQL} >= {_SINCE}
-    UNION ALL SELECT 'message', doc_id || '-' || i, 't-' || doc_id FROM lines
-    WHERE created >= {_SINCE} AND length(line) >= 40
-    UNION ALL SELECT 'poll', 't-' || doc_id, 't-' || doc_id FROM documents
-    WHERE {CREATED_SQL} >= {_SINCE} AND lang = 'en'
-    UNION ALL SELECT 'option', doc_id || '/' || i, 't-' || doc_id FROM options WHERE created >= {_SINCE}"""))
+    SELECT 'thread' AS kind, * FROM ({_THREAD_SQL} WHERE {CREATED_SQL} >= {_SINCE})
+    UNION ALL BY NAME SELECT 'message' AS kind, * FROM ({_MESSAGE_SQL} AND created >= {_SINCE})
+    UNION ALL BY NAME SELECT 'poll' AS kind, * FROM ({_POLL_SQL} AND {CREATED_SQL} >= {_SINCE})
+    UNION ALL BY NAME SELECT 'option' AS kind, * FROM ({_OPTION_SQL} WHERE created >= {_SINCE})"""))
 def ingest_since(spark, sf_dir):
     pulled = submissions.ingest_since(views.submissions(spark, sf_dir), _SINCE, NOW)
-    parts = [
-        ("thread", pulled.threads, "PostID"),
-        ("message", pulled.messages, "CommentID"),
-        ("poll", pulled.polls, "PostID"),
-        ("option", pulled.poll_options, "PollOptionID"),
-    ]
-    frames = [
-        frame.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col("PostID").alias("thread_id"))
-        for kind, frame, key in parts
-    ]
-    union = frames[0]
-    for frame in frames[1:]:
-        union = union.unionByName(frame)
-    return union
+    tables = {"thread": pulled.threads, "message": pulled.messages, "poll": pulled.polls, "option": pulled.poll_options}
+    marked = [frame.withColumn("kind", F.lit(kind)) for kind, frame in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
 
 
 @query(f"""
-    SELECT 't-' || doc_id AS thread_id, {TITLE_SQL} AS title, {CREATED_SQL} AS created_epoch
-    FROM documents WHERE lower({TITLE_SQL}) LIKE '%discussion post%' AND {CREATED_SQL} >= {_SINCE}""")
+    {_THREAD_SQL} WHERE lower({TITLE_SQL}) LIKE '%discussion post%' AND {CREATED_SQL} >= {_SINCE}""")
 def search_threads(spark, sf_dir):
     found = submissions.search_threads(views.submissions(spark, sf_dir), "Discussion POST", _SINCE)
-    return found.select(F.col("id").alias("thread_id"), "title", F.col("created_utc").alias("created_epoch"))
+    return submissions.flatten(found, NOW).threads
 
 
-@query(sql("lines", """
-    SELECT 't-' || doc_id AS thread_id, doc_id || '-' || i AS message_id, line AS body
-    FROM lines WHERE doc_id = 42 AND length(line) >= 40"""))
+@query(sql("lines", f"""
+    SELECT m.*, t.* EXCLUDE ("PostID", permalink, "createdDate", "AuthorID", "AuthorName", score, "insertionTimestamp") FROM
+        ({_MESSAGE_SQL} AND doc_id = 42) m JOIN ({_THREAD_SQL} WHERE doc_id = 42) t USING ("PostID")"""))
 def thread_by_key(spark, sf_dir):
     one = submissions.thread_by_url(views.submissions(spark, sf_dir), "http://example.com/42", NOW)
-    return one.threads.join(
-        one.messages.select("PostID", F.col("CommentID").alias("message_id"), "body"), "PostID"
-    ).select(F.col("PostID").alias("thread_id"), "message_id", "body")
+    shared = [c for c in one.threads.columns if c in one.messages.columns and c != "PostID"]
+    return one.messages.join(one.threads.drop(*shared), "PostID")
 
 
 @query("""
@@ -401,6 +396,34 @@ def mention_counts_tokens(spark, sf_dir):
     return mentions.count_whole_tokens(views.messages(spark, sf_dir), views.book())
 
 
+@query(sql("word_aliases messages", r""", tokens AS (
+        SELECT message_id, day, unnest(regexp_extract_all(
+            regexp_replace(body, '[^\p{L}\p{N}_\t\n\x0b\f\r \x1c-\x1f\x{85}\p{Z}]', '', 'g'),
+            '[^\t\n\x0b\f\r \x1c-\x1f\x{85}\p{Z}]+')) AS alias
+        FROM messages),
+    hits AS (SELECT message_id, day, entity, count(*) AS n FROM tokens JOIN word_aliases USING (alias)
+             GROUP BY message_id, day, entity)
+    SELECT message_id, day, entity, n FROM hits
+    UNION ALL SELECT DISTINCT message_id, day, CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM tokens
+    WHERE message_id NOT IN (SELECT message_id FROM hits)"""))
+def mention_counts_tokens_large(spark, sf_dir):
+    return mentions.count_whole_tokens(views.messages(spark, sf_dir), views.word_aliases(spark, sf_dir))
+
+
+@query(sql("word_aliases messages", r""", tokens AS (
+        SELECT message_id, day, unnest(regexp_extract_all(body, '[\p{L}\p{N}_]+')) AS alias FROM messages)
+    SELECT message_id, day, entity, count(*) AS n FROM tokens JOIN word_aliases USING (alias)
+    GROUP BY message_id, day, entity"""))
+def mention_counts_large(spark, sf_dir):
+    found = mentions.scan_mentions(views.messages(spark, sf_dir), views.word_aliases(spark, sf_dir))
+    return mentions.mention_rows(found).drop("lead")
+
+
+@query(sql("raw_roster clean_roster", "SELECT DISTINCT entity FROM clean_roster"))
+def distinct_entities(spark, sf_dir):
+    return roster.all_entities(roster.clean_roster(views.raw_roster(spark, sf_dir)))
+
+
 @query(sql("dictionary", """
     SELECT entity, array_to_string(list(alias ORDER BY place, alias), '|') AS aliases FROM dictionary GROUP BY entity"""))
 def alias_lists(spark, sf_dir):

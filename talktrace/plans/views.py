@@ -231,6 +231,14 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.select("token", (F.length("token") * 7 % 9 - 4).cast("double").alias("valence"))
 
 
+def word_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct words of the benchmark texts, thousands of them, as aliases of entities by their first letter."""
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    distinct = table(spark, sf_dir, "benchmark").select(words.alias("alias")).distinct()
+    first = F.concat(F.lit("Letter "), F.substring("alias", 1, 1))
+    return distinct.select("alias", first.alias("entity"), F.length("alias").alias("alias_order"))
+
+
 # The same views as DuckDB common table expressions.
 
 def _values(rows: list[tuple]) -> str:
@@ -275,6 +283,9 @@ SQL = {
     mentions AS (
         SELECT message_id, day, compound, entity, count(*) AS n
         FROM tokens JOIN aliases USING (alias) GROUP BY message_id, day, compound, entity)""",
+    "word_aliases": r"""word_aliases AS (
+        SELECT DISTINCT alias, 'Letter ' || alias[1] AS entity
+        FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS alias FROM benchmark))""",
     "daily": """daily AS (
         SELECT day, entity, CAST(sum(n) AS BIGINT) AS n FROM mentions GROUP BY day, entity)""",
     "days": "days AS (SELECT DISTINCT day FROM daily)",

@@ -67,6 +67,14 @@ def flatten_poll_options(submissions: DataFrame, now_epoch: int) -> DataFrame:
     )
 
 
+def polls_with_options(submissions: DataFrame, now_epoch: int) -> DataFrame:
+    """A row per poll option with its poll's columns, from one pass over the submissions."""
+    options = _polls(submissions).select("thread_id", "total_vote_count", "voting_end_timestamp", F.inline("options"))
+    columns = {c.name: c for c in (*schemas.POLL_OPTION_COLUMNS, *schemas.POLL_COLUMNS)}
+    filled = {"PostID": F.col("thread_id"), "insertionTimestamp": F.lit(now_epoch)}
+    return project_to(options, tuple(columns.values()), filled)
+
+
 @dataclass(frozen=True)
 class FlatTables:
     """The four tables of one pull; `messages` is None if they were left out."""

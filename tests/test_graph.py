@@ -57,12 +57,6 @@ def test_subgraph_nodes_and_partners(spark, rows):
     assert comentions.picked_subgraph(totals, _names(spark, "cd")).count() == 0
 
 
-def test_dense_pairs_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(comentions, "MAX_DENSE_ENTITIES", 2)
-    with pytest.raises(ValueError):
-        comentions.dense_pairs(_graph(spark, ab=1), "abc")
-
-
 def _expected(edges):
     names = sorted(set("".join(edges)))
     matrix = np.zeros((len(names), len(names)))

@@ -36,7 +36,7 @@ def test_texts_are_only_read_when_forced(spark, rows):
     assert second.mention_sets(hold=True) is held
 
 
-@pytest.mark.parametrize("entries", [(), (("", "A"),), (("a", "A"), ("a", "B"))])
+@pytest.mark.parametrize("entries", [(("", "A"),), (("a", "A"), ("a", "B"))])
 def test_unusable_dictionaries_are_refused(entries):
     with pytest.raises(ValueError):
         AliasBook(entries)

@@ -29,8 +29,8 @@ def counts(spark, names, *bodies, boundary="word"):
     return {(r[0], r[1]): r[2] for r in found}
 
 
-SAMPLE = ("Tom is cool", "Ronald and James are bad", "James and Tom and John are good")
-NAMES = book(T=["Tom"], R=["Ronald"], J=["James", "John"])
+SAMPLE = ("Mira won again", "Oskar met Pavel there", "Pavel, Mira: where is Piet now")
+NAMES = book(T=["Mira"], R=["Oskar"], J=["Pavel", "Piet"])
 
 
 @pytest.mark.parametrize("boundary", ["word", "outer"])
@@ -40,12 +40,12 @@ def test_counts_by_entity_and_silent_messages_are_absent(spark, boundary):
 
 
 def test_whole_tokens_keep_silent_messages(spark):
-    got = mentions.count_whole_tokens(frame(spark, "To'm, (Tom)!", "nobody", "", "?!", None), NAMES)
+    got = mentions.count_whole_tokens(frame(spark, "Mi'ra, (Mira)!", "nobody", "", "?!", None), NAMES)
     assert {tuple(r) for r in got.select("message_id", "entity", "n").collect()} == {(0, "T", 2), (1, None, 0)}
 
 
 def test_whole_tokens_with_joined_dictionary_agree(spark, monkeypatch):
-    bodies = frame(spark, *SAMPLE, "J-o-h-n, Tom Tom", "nobody", "!!")
+    bodies = frame(spark, *SAMPLE, "P-i-e-t, Mira Mira", "nobody", "!!")
     table = spark.createDataFrame(list(NAMES.entries), "alias string, entity string").withColumn(
         "alias_order", F.lit(0)
     )
@@ -56,28 +56,57 @@ def test_whole_tokens_with_joined_dictionary_agree(spark, monkeypatch):
     assert small == joined and (3, "J", 1) in small and (3, "T", 2) in small
 
 
-def test_large_dictionary_is_joined_with_the_same_result(spark, monkeypatch):
-    table = spark.createDataFrame(
-        [(a, e, i) for i, (a, e) in enumerate(NAMES.entries)], "alias string, entity string, alias_order int"
-    )
-    small = counts(spark, table, *SAMPLE, "nobody")
-    monkeypatch.setattr(mentions, "IN_ROW_ALIASES", 1)
-    assert counts(spark, table, *SAMPLE, "nobody") == small
-    assert counts(spark, NAMES, *SAMPLE, "nobody") == small
+def _both_sides(monkeypatch, scan):
+    """Sorted rows below and above the switch between a literal map and a join."""
+    small = sorted(map(repr, scan().collect()))
+    with monkeypatch.context() as patch:
+        patch.setattr(mentions, "IN_ROW_ALIASES", 0)
+        large = sorted(map(repr, scan().collect()))
+    return small, large
+
+
+TEXTS = (*SAMPLE, "nobody", "", "?!", "...", None, "O'Neil, O'Neil's O'Neilx", "A.B. and C+ C++ D", "an an old an old hat", "Mira")
+DICTIONARIES = {
+    "names": list(NAMES.entries),
+    "repeated": [("Mira", "X"), ("Mira", "T"), ("Piet", "J"), ("Piet", "J")],
+    "punctuation": [("O'Neil", "N"), ("C+", "C"), ("A.B", "A"), (".", "P")],
+    "phrases": [("an", "1"), ("an old", "2"), ("old hat", "3"), ("hat", "4"), ("an old an", "5")],
+    "empty": [],
+    "blank": [("", "E"), (None, "N")],
+}
+
+
+@pytest.mark.parametrize("name", sorted(DICTIONARIES))
+def test_rows_do_not_depend_on_the_dictionary_size(spark, monkeypatch, name):
+    table = spark.createDataFrame([(a, e, i) for i, (a, e) in enumerate(DICTIONARIES[name])], "alias string, entity string, alias_order int")
+    bodies = frame(spark, *TEXTS)
+    for boundary in ("word", "outer"):
+        small, large = _both_sides(monkeypatch, lambda: mentions.scan_mentions(bodies, table, boundary))
+        assert small == large and len(small) == len(TEXTS)
+    small, large = _both_sides(monkeypatch, lambda: mentions.count_whole_tokens(bodies, table))
+    assert small == large
+    silent = {r.message_id for r in mentions.count_whole_tokens(bodies, table).collect()}
+    assert silent == {i for i, t in enumerate(TEXTS) if t and re.search(r"\w", t)}
+
+
+def test_book_and_table_agree(spark, monkeypatch):
+    monkeypatch.setattr(mentions, "IN_ROW_ALIASES", 0)
+    table = spark.createDataFrame([(a, e, i) for i, (a, e) in enumerate(NAMES.entries)], "alias string, entity string, alias_order int")
+    assert counts(spark, table, *SAMPLE, "nobody") == counts(spark, NAMES, *SAMPLE, "nobody")
 
 
 def test_boundary_modes_differ_inside_words(spark):
-    names = book(A=["Abe"], M=["Ty"], Z=["Zed"])
-    assert counts(spark, names, "Type", boundary="outer") == {(0, "M"): 1}
-    assert counts(spark, names, "Type", boundary="word") == {}
+    names = book(A=["Ivo"], M=["Lu"], Z=["Uwe"])
+    assert counts(spark, names, "Lumen", boundary="outer") == {(0, "M"): 1}
+    assert counts(spark, names, "Lumen", boundary="word") == {}
     # Only the first entity's start and the last entity's end are guarded.
-    assert counts(spark, names, "xAbe Abex xZed Zedx", boundary="outer") == {(0, "A"): 1, (0, "Z"): 1}
+    assert counts(spark, names, "xIvo Ivox xUwe Uwex", boundary="outer") == {(0, "A"): 1, (0, "Z"): 1}
 
 
 def test_earlier_prefix_hides_the_longer_alias_only_in_outer_mode(spark):
-    names = book(A=["Abe"], B=["Zach"], C=["Zachary"], Z=["Zed"])
-    assert counts(spark, names, "Zachary and Zach", boundary="outer") == {(0, "B"): 2}
-    assert counts(spark, names, "Zachary and Zach", boundary="word") == {(0, "B"): 1, (0, "C"): 1}
+    names = book(A=["Ivo"], B=["Kar"], C=["Karin"], Z=["Uwe"])
+    assert counts(spark, names, "Karin and Kar", boundary="outer") == {(0, "B"): 2}
+    assert counts(spark, names, "Karin and Kar", boundary="word") == {(0, "B"): 1, (0, "C"): 1}
 
 
 def test_aliases_of_several_words_and_metacharacters(spark):
@@ -95,11 +124,10 @@ def test_unknown_boundary_is_refused():
         NAMES.pattern("loose")
 
 
-def test_dictionary_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(aliases, "MAX_ALIASES", 2)
-    table = spark.createDataFrame([(str(i), "e", i) for i in range(3)], "alias string, entity string, alias_order int")
-    with pytest.raises(ValueError):
-        AliasBook.of(table)
+def test_aliases_may_be_long_and_nested(spark):
+    long = "x" * 1_500
+    names = book(L=[long], N=["y" * n for n in range(1, 300)])
+    assert counts(spark, names, f"{long} {'y' * 299} z") == {(0, "L"): 1, (0, "N"): 1}
 
 
 def test_mentioned_lists_by_count_then_name(spark):
@@ -151,6 +179,14 @@ def test_patterns_equal_brute_force(spark, names, bodies, n_groups):
     groups = [g for g in (names[i::n_groups] for i in range(n_groups)) if g]
     entries = AliasBook(tuple((a, str(i)) for i, g in enumerate(groups) for a in g))
     data = spark.createDataFrame([(b,) for b in bodies], "body string")
+    table = mentions._whole_words_by_join(
+        data.select(F.monotonically_increasing_id().alias("message_id"), "body"), entries.table(spark), ["message_id"]
+    )
+    joined = [r.found for r in table.orderBy("message_id").collect()]
+    owner = dict(entries.entries)
+    for body, found in zip(bodies, joined):
+        hits = [owner[h] for h in _brute_force(groups, body, "word")]
+        assert [(f.entity, f.n) for f in found] == sorted((e, hits.count(e)) for e in set(hits))
     for boundary in ("word", "outer"):
         hits = F.regexp_extract_all("body", F.lit(entries.pattern(boundary)), F.lit(0))
         assert [r[0] for r in data.select(hits).collect()] == [
