@@ -44,7 +44,7 @@ def encode_pairs(pairs: DataFrame, codes: DataFrame) -> DataFrame:
 
 def decode_pairs(coded: DataFrame, codes: DataFrame) -> DataFrame:
     """Replace the text "(a, b)" by the entities with these codes, as x and y."""
-    digits = r"(\d+)\D+(\d+)"
+    digits = r"^\((\d+), (\d+)\)$"
     others = [c for c in coded.columns if c != "pair"]
     parsed = coded.select(
         *others,

@@ -6,13 +6,13 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.calendar import after_and_before
-from ..schemas import ALL_TABLES, MESSAGES, THREADS, TableSpec
+from ..schemas import ALL_TABLES, CORRUPT, MESSAGES, THREADS, TableSpec
 from .quality import CheckedRows, check_rows
 
-BUCKET = "bucket"
+BUCKET, DAY, DAY_SECONDS, NO_DAY = "bucket", "created_day", 86_400, -(1 << 40)
 REJECTED = "Rejected"
 # Bytes per key besides its text, and the size up to which keys are broadcast.
 KEY_OVERHEAD, MAX_BROADCAST_BYTES = 64, 128 * 1024 * 1024
@@ -66,10 +66,11 @@ def _only_touched_partitions(spark: SparkSession) -> Iterator[None]:
 
 
 class ArchiveStore:
-    """The four tables, partitioned by a hash of their key.
+    """The four tables. Those with a creation time are partitioned by its day, the others by a hash of their key.
 
-    A key is always in the same bucket, so an upsert rewrites the buckets it touches and no others.
-    Rows lie in creation order within a file, so that a date range skips row groups by statistics.
+    A pull of recent threads then rewrites the partitions of few days, and a date range reads no others.
+    A key whose creation time has changed is found by its key column alone, and its old partition is
+    rewritten, too. Rows lie in creation order within a file, so that row groups are skipped by statistics.
     """
 
     def __init__(self, spark: SparkSession, database: str = "archive", buckets: int = 64):
@@ -80,11 +81,18 @@ class ArchiveStore:
     def _name(self, table: TableSpec) -> str:
         return f"{self.database}.{table.name}"
 
+    def _partition(self, table: TableSpec) -> tuple[str, Column]:
+        """The partition column and its value for a row."""
+        if "createdDate" in table.column_names:
+            return DAY, F.coalesce(F.expr(f"createdDate div {DAY_SECONDS}"), F.lit(NO_DAY))
+        return BUCKET, F.pmod(F.xxhash64(table.key), F.lit(self.buckets))
+
     def create(self, table: TableSpec) -> None:
+        column, _ = self._partition(table)
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self._name(table)} ({table.ddl}, {BUCKET} int) "
-            f"USING parquet PARTITIONED BY ({BUCKET})"
+            f"CREATE TABLE IF NOT EXISTS {self._name(table)} ({table.ddl}, {column} bigint) "
+            f"USING parquet PARTITIONED BY ({column})"
         )
 
     def create_all(self) -> None:
@@ -104,27 +112,41 @@ class ArchiveStore:
 
     def replace_into(self, table: TableSpec, rows: DataFrame, sequence: str = "insertionTimestamp") -> CheckedRows:
         """Insert or replace rows by key; rows that cannot be stored are returned, not lost."""
-        checked = check_rows(rows.select(*table.column_names), table)
-        bucket = F.pmod(F.xxhash64(table.key), F.lit(self.buckets)).cast("int")
-        delta = checked.accepted.withColumn(BUCKET, bucket)
-        # At most `buckets` rows. As literals the buckets prune the partitions of the base; the size
-        # of the keys decides whether they can be sent to the base or the base has to be shuffled.
+        wanted = [*table.column_names, *(c for c in rows.columns if c == CORRUPT)]
+        checked = check_rows(rows.select(*wanted), table)
+        column, value = self._partition(table)
+        delta = checked.accepted.withColumn(column, value)
+        stored = self.spark.table(self._name(table))
+        # A row per partition of the delta. As literals they prune those of the base; the size of the
+        # keys decides whether they can be sent to the base or the base has to be shuffled.
         key_size = F.sum(F.octet_length(table.key) + KEY_OVERHEAD)
-        touched = {r[0]: r[1] for r in delta.groupBy(BUCKET).agg(key_size).collect()}
-        if not touched:
+        sizes = {r[0]: r[1] for r in delta.groupBy(column).agg(key_size).collect()}
+        if not sizes:
             return checked
-        few_keys = sum(touched.values()) <= MAX_BROADCAST_BYTES
-        base = self.spark.table(self._name(table)).where(F.col(BUCKET).isin(list(touched)))
-        merged = upsert_latest(base, delta, table.key, sequence, few_keys).select(
-            *table.column_names, BUCKET
-        )
-        order = ["createdDate"] if "createdDate" in table.column_names else [table.key]
-        # Rebalancing splits a bucket that is too large for one file and joins those that are small.
-        ordered = merged.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *order)
+        few_keys = sum(sizes.values()) <= MAX_BROADCAST_BYTES
+        touched = set(sizes)
+        if column == DAY:  # where the keys are now, one row per day
+            keys = delta.select(table.key)
+            held = stored.select(table.key, column).join(F.broadcast(keys) if few_keys else keys, table.key, "left_semi")
+            touched |= {r[0] for r in held.select(column).distinct().collect()}
+        base = stored.where(F.col(column).isin(sorted(touched)))
+        merged = upsert_latest(base, delta, table.key, sequence, few_keys).select(*table.column_names, column)
+        order = ["createdDate"] if column == DAY else [table.key]
+        # Rebalancing splits a partition that is too large for one file and joins those that are small.
+        ordered = merged.hint("rebalance", column).sortWithinPartitions(column, *order)
+        emptied = touched - set(sizes)
         with _only_touched_partitions(ordered.sparkSession):
             ordered.write.mode("overwrite").insertInto(self._name(table))
+        self._drop_moved(table, column, emptied, delta)
         return checked
 
+    def _drop_moved(self, table: TableSpec, column: str, emptied: set, delta: DataFrame) -> None:
+        """Partitions that hold nothing but rows that have moved are not written above, and go here."""
+        for value in sorted(emptied):
+            left = self.spark.table(self._name(table)).where(F.col(column) == value)
+            if left.join(delta.select(table.key), table.key, "left_anti").isEmpty():
+                self.spark.sql(f"ALTER TABLE {self._name(table)} DROP IF EXISTS PARTITION ({column} = {value})")
+
     def create_rejected(self) -> None:
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
         self.spark.sql(
@@ -155,9 +177,13 @@ class ArchiveStore:
         return high_water_mark(self.scan(THREADS), "insertionTimestamp").first()[0]
 
     def created_between(self, table: TableSpec, after_epoch: int, before_epoch: int | None = None) -> DataFrame:
-        """Rows created strictly after, and strictly before if given."""
+        """Rows created strictly after, and strictly before if given; other days' partitions are not read."""
+        days = F.col(DAY) >= after_epoch // DAY_SECONDS
+        if before_epoch is not None:
+            days = days & (F.col(DAY) <= before_epoch // DAY_SECONDS)
         before = None if before_epoch is None else F.lit(before_epoch)
-        return after_and_before(self.scan(table), "createdDate", F.lit(after_epoch), before)
+        stored = self.spark.table(self._name(table)).where(days)
+        return after_and_before(stored, "createdDate", F.lit(after_epoch), before).select(*table.column_names)
 
     def messages_for_threads(self, threads: DataFrame) -> DataFrame:
         """Messages whose PostID is in the given rows."""

@@ -193,6 +193,40 @@ def test_store(spark, nested, rows, monkeypatch, broadcast_bytes):
     assert not spark.catalog.tableExists("test_archive.Post")
 
 
+@pytest.mark.parametrize("broadcast_bytes", [0, store.MAX_BROADCAST_BYTES])
+def test_small_pulls_touch_few_days_and_ranges_prune(spark, rows, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(store, "MAX_BROADCAST_BYTES", broadcast_bytes)
+    archive, day = store.ArchiveStore(spark, f"test_days_{broadcast_bytes}"), 86_400
+    archive.create_all()
+    columns = ", ".join(f"{c.name} {c.type}" for c in schemas.MESSAGE_COLUMNS)
+
+    def load(*data):
+        frame = spark.createDataFrame([(k, "p", None, None, None, t, b, 0, None, seq) for k, t, b, seq in data], columns)
+        archive.replace_into(schemas.MESSAGES, frame)
+
+    def files():
+        found = spark.table(archive._name(schemas.MESSAGES)).select("created_day", "_metadata.file_path").distinct()
+        return {r[0]: r[1] for r in found.collect()}
+
+    load(*[(f"c{d}", d * day + 5, "first", 1) for d in range(10)], ("n", None, "no time", 1))
+    before = files()
+    assert len(before) == 11
+    load(("c3", 3 * day + 5, "again", 2), ("new", 3 * day + 9, "new", 2))
+    after = files()
+    assert {d for d in after if after[d] != before.get(d)} == {3}
+    load(("c5", 7 * day, "moved", 3), ("n", None, "still", 3))
+    moved = files()
+    assert 5 not in moved and {d for d in moved if moved[d] != after.get(d)} == {7, store.NO_DAY}
+    assert rows(archive.scan(schemas.MESSAGES).where("CommentID IN ('c3', 'c5', 'n')"), "CommentID", "body") == {
+        ("c3", "again"), ("c5", "moved"), ("n", "still")}
+    assert archive.scan(schemas.MESSAGES).count() == 12
+    found = archive.created_between(schemas.MESSAGES, 2 * day, 4 * day)
+    assert rows(found, "CommentID") == {("c2",), ("c3",), ("new",)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "created_day" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    archive.drop_all()
+
+
 def test_materialised(spark, rows):
     kept, built = store.Materialised(spark, "test_analytics"), []
 
