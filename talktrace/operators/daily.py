@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calendar import within_days
 from ..functions.labels import AVERAGE
+from ..session import ensure_checkpoint_dir
 
 # The range and default of the band's multiple.
 BAND_MIN, BAND_MAX, BAND_DEFAULT = 0.05, 10.0, 2.0
@@ -98,6 +99,24 @@ def dense_series(
     return per_day.select("day", cells.alias("cells")).select("day", F.inline("cells"))
 
 
+def dense_grid(
+    daily: DataFrame, entities: DataFrame, first: int | None = None, last: int | None = None, value: str = "n"
+) -> DataFrame:
+    """As `dense_series`, for whole dictionaries: (day, entity, value) with zeros, by a join.
+
+    Only the active days are held in one value, which the calendar bounds. The series is written to the
+    checkpoint folder, so that the texts behind it are read once for both the days and the values.
+    """
+    ensure_checkpoint_dir(daily.sparkSession)
+    kept = within_days(daily, first, last).checkpoint()
+    days = kept.agg(F.collect_set("day")).scalar()
+    grid = entities.select("entity").distinct().select("entity", days.alias("days"))
+    placed = grid.select("entity", F.explode("days").alias("day"))
+    zero = F.lit(0).cast(daily.schema[value].dataType)
+    filled = placed.join(kept.select("day", "entity", value), ["day", "entity"], "left")
+    return filled.select("day", "entity", F.coalesce(value, zero).alias("value"))
+
+
 def with_average(series: DataFrame, stats: DataFrame) -> DataFrame:
     """Append the cross-entity mean, matched by day, as one more entity. For stored series and stats;
     `dense_series` adds the mean in the same pass."""

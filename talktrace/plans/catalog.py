@@ -567,7 +567,7 @@ _SENTIMENT = "entities aliases messages mentions daily days daily_sentiment dens
 
 @query(sql(_SENTIMENT, "SELECT day, entity, round(sentiment, 6) AS value FROM dense_sentiment"))
 def daily_sentiment(spark, sf_dir):
-    dense = daily.dense_series(
+    dense = daily.dense_grid(
         _sentiment(spark, sf_dir), views.entities(spark), FIRST, LAST, value="sentiment"
     )
     return dense.withColumns(_round("value"))
@@ -580,7 +580,7 @@ def daily_sentiment(spark, sf_dir):
     FROM counts c CROSS JOIN entities e LEFT JOIN sums s ON s.day = c.day AND s.entity = e.entity"""))
 def daily_sentiment_zerofill(spark, sf_dir):
     series = _sentiment(spark, sf_dir, "zerofill")
-    dense = daily.dense_series(series, views.entities(spark), FIRST, LAST, value="sentiment")
+    dense = daily.dense_grid(series, views.entities(spark), FIRST, LAST, value="sentiment")
     return dense.withColumns(_round("value"))
 
 

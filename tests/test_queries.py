@@ -46,8 +46,7 @@ def _final_plan(frame) -> str:
 
 ONE_PASS = [
     "mention_counts", "mention_counts_outer", "mention_counts_tokens", "daily_mentions",
-    "daily_mention_stats", "daily_mentions_with_average", "daily_series_long", "daily_sentiment",
-    "daily_sentiment_zerofill", "daily_sentiment_with_average", "mean_sentiment", "day_totals",
+    "daily_mention_stats", "daily_mentions_with_average", "daily_series_long", "daily_sentiment_with_average", "mean_sentiment", "day_totals",
     "day_mean_sentiment", "moments", "moments_sentiment", "post_exit_daily", "post_exit_stats",
     "post_exit_with_average", "mentioned_lists", "comention_pairs", "edges_daily", "picked_subgraph",
     "closest_neighbor", "partner_breakdown",
@@ -61,6 +60,13 @@ def test_texts_are_matched_once(name, spark):
     assert len(re.findall("regexp_extract_all", plan)) == 1
 
 
+@pytest.mark.parametrize("name", ["daily_sentiment", "daily_sentiment_zerofill", "post_exit_stats"])
+def test_whole_dictionaries_are_not_collected(name, spark):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("regexp_extract_all", plan)) <= 1
+    assert not re.search(r"collect_(set|list)\(entity", plan)
+
+
 @pytest.mark.parametrize("name", ["mention_counts", "mentioned_lists", "comention_pairs", "flatten_messages"])
 def test_per_message_work_needs_no_shuffle(name, spark):
     assert "Exchange" not in _final_plan(QUERIES[name](spark, SF))
