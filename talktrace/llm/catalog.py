@@ -43,7 +43,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeated(table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.remove_repeated(table(spark, sf_dir, "documents"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,9 @@ LENGTH = 50
 K = 20
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 64
-BATCH_BYTES = 32 << 20
-CHUNK_BYTES = 1 << 20
+BATCH_ENTRIES = 1 << 19
+CHUNK_BYTES = 1 << 18
+SLICE_BYTES = 2 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _U = np.uint64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -302,8 +303,18 @@ def covered(texts: list[bytes], runs: list[np.ndarray], windows: list[np.ndarray
     return [np.cumsum(e[:-1]) > 0 for e in edges]
 
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) for every row of `docs`.
+def _slices(texts: list[bytes]) -> Iterator[slice]:
+    """Neighbours of about SLICE_BYTES in all."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= SLICE_BYTES or i == len(texts) - 1:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+
+
+def remove_repeated(docs: DataFrame, with_kept: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of `docs`, and on demand kept, the bytes left.
 
     `docs` has doc_id and text; more columns are ignored. A byte is removed if a string of LENGTH bytes that covers
     it also starts in a document with a smaller doc_id, in the input. A null text is empty. Rows that share a
@@ -321,7 +332,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
                     first, _, a, b = chunk.runs()
                     yield a, b, ids[chunk.doc[first]]
 
-        yield from _blobs(_batched(parts(), BATCH_BYTES // 16), buckets)
+        yield from _blobs(_batched(parts(), BATCH_ENTRIES), buckets)
 
     arrays = keyed.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(run_arrays, _BLOBS)
     answers = stored(_indexed(arrays, shared=True))
@@ -341,7 +352,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
                     asked = np.cumsum(inside)[at] > 0
                     yield wa[asked], wb[asked], ids[chunk.doc[at[asked]]]
 
-        yield from _blobs(_batched(parts(), BATCH_BYTES // 16), buckets)
+        yield from _blobs(_batched(parts(), BATCH_ENTRIES), buckets)
 
     def by_document(frame: DataFrame, *kinds: tuple[str, str]) -> DataFrame:
         lists = [F.collect_list(F.when(F.expr(kind), F.col("code"))).alias(name) for name, kind in kinds]  # a document's own
@@ -355,17 +366,19 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
 
     def cut(texts: pd.Series, runs: pd.Series, windows: pd.Series) -> pd.DataFrame:
         data = [(t or "").encode() for t in texts]
-        lists = [[np.zeros(0, np.int64) if c is None else np.asarray(c, np.int64) for c in column] for column in (runs, windows)]
         rows = []
-        able = [i for i in range(len(data)) if len(lists[0][i]) + len(lists[1][i])]
-        flags = dict(zip(able, covered([data[i] for i in able], [lists[0][i] for i in able], [lists[1][i] for i in able])))
-        for i, value in enumerate(data):
-            gone = flags.get(i)
-            kept = value if gone is None else np.frombuffer(value, np.uint8)[~gone].tobytes()
-            spans = 0 if gone is None else int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-            rows.append((len(value), len(value) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    cut_udf = F.pandas_udf(cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        for part in _slices(data):
+            values = data[part]
+            lists = [[np.zeros(0, np.int64) if c is None else np.asarray(c, np.int64) for c in column.iloc[part]] for column in (runs, windows)]
+            able = [i for i in range(len(values)) if len(lists[0][i]) + len(lists[1][i])]
+            flags = dict(zip(able, covered([values[i] for i in able], *([column[i] for i in able] for column in lists))))
+            for i, value in enumerate(values):
+                gone = flags.pop(i, None)
+                kept = value if gone is None else np.frombuffer(value, np.uint8)[~gone].tobytes()
+                spans = 0 if gone is None else int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+                rows.append((len(value), len(value) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_kept else [])))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])])
+
+    cut_udf = F.pandas_udf(cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
     own = [F.expr(f"CASE WHEN doc_id IS NOT NULL THEN {name} END") for name in ("runs", "windows")]
     return keyed.join(lists, "key", "left").select("doc_id", cut_udf("text", *own).alias("cut")).select("doc_id", "cut.*")
