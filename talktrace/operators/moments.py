@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Fixed value: the text shown for a block without events.
+# The texts in which blocks are shown.
 NOTHING_HAPPENED = "No main events happened"
+ONE_DAY, FROM_DAY, TO_DAY, BULLET = "Day ", "Days ", " to ", "* "
 
 
 def _blocks(days: DataFrame, block: Column, total: Column) -> DataFrame:
@@ -75,16 +76,19 @@ def moment_records(moments: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def moment_details(moments: DataFrame, events: DataFrame) -> DataFrame:
-    """What happened in each moment: day range, value, event types, summaries and entities involved."""
+    """What happened in each moment: day range, value, event types, summaries and entities involved.
+
+    For display: each list is one value. `moment_records` has the same as rows, of any number.
+    """
     facts = moment_records(moments, events).groupBy("side", "rank").agg(
         *[F.sort_array(F.collect_set(c)).alias(c) for c in ("type", "summary", "entity")]
     )
     first, last = F.array_min("days").cast("string"), F.array_max("days").cast("string")
-    label = F.when(F.size("days") == 1, F.concat(F.lit("Day "), first)).otherwise(
-        F.concat(F.lit("Days "), first, F.lit(" to "), last)
+    label = F.when(F.size("days") == 1, F.concat(F.lit(ONE_DAY), first)).otherwise(
+        F.concat(F.lit(FROM_DAY), first, F.lit(TO_DAY), last)
     )
     summaries = F.when(
-        F.size("summary") > 0, F.concat(F.lit("* "), F.array_join("summary", "\n* "))
+        F.size("summary") > 0, F.concat(F.lit(BULLET), F.array_join("summary", f"\n{BULLET}"))
     ).otherwise(F.lit(NOTHING_HAPPENED))
     nothing = F.array().cast("array<string>")
     return moments.join(facts, ["side", "rank"], "left").select(

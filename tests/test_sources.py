@@ -13,10 +13,14 @@ from talktrace.sources import files, quality, store, submissions
 ORIGIN = 1_704_067_200
 
 
+def header(ddl):
+    return ",".join(column.split()[0] for column in ddl.split(", "))
+
+
 def test_csv_inputs(spark, tmp_path, rows):
     messages = tmp_path / "messages.csv"
     messages.write_text(
-        "CommentID,PostID,permalink,AuthorID,AuthorName,createdDate,body,score,parentID,insertionTimestamp,compound\n"
+        f"{header(schemas.MESSAGE_CSV)}\n"
         f'c1,p1,/c1,a1,Ann,{ORIGIN},"two\nlines, ""quoted""",3,t3,{ORIGIN + 5},0.5\n'
         f"c2,p1,/c2,,,{ORIGIN + 86400},plain,1,t3,{ORIGIN + 5},-0.25\n"
     )
@@ -29,15 +33,15 @@ def test_csv_inputs(spark, tmp_path, rows):
     assert files.season_length(loaded, ORIGIN).first()[0] == 2
 
     threads = tmp_path / "threads.csv"
-    header = [c.name for c in schemas.THREAD_COLUMNS[:-1]]
-    values = dict.fromkeys(header, "") | {"PostID": "p1", "title": "Daily Discussion", "createdDate": ORIGIN + 90000}
-    threads.write_text(",".join(header) + "\n" + ",".join(str(values[h]) for h in header) + "\n")
+    names = [c.name for c in schemas.THREAD_COLUMNS[:-1]]
+    values = dict.fromkeys(names, "") | {"PostID": "p1", "title": "Daily Discussion", "createdDate": ORIGIN + 90000}
+    threads.write_text(",".join(names) + "\n" + ",".join(str(values[n]) for n in names) + "\n")
     shown = files.thread_table(files.load_threads(spark, str(threads)), ORIGIN).first()
     assert (shown["Day"], shown["Type of Discussion Thread"]) == (2, "MID")
 
     people = tmp_path / "roster.csv"
     people.write_text(
-        "Islander,Age,Hometown,ShowEntryDay,ShowLeaveDay,OnLeaveStatus,MainVillaEntryDay\n"
+        f"{header(schemas.ROSTER_CSV)}\n"
         '"Gab ""G"" Jay",24,Town,1,,,1\n'
     )
     assert rows(files.load_roster(spark, str(people)), "entity", "entry_day", "leave_day") == {('Gab "G" Jay', 1, None)}
@@ -67,7 +71,6 @@ def test_unreadable_rows_are_marked(spark, tmp_path, rows):
 
 
 def test_unreadable_rows_of_all_inputs_are_given(spark, tmp_path, rows):
-    header = lambda ddl: ",".join(c.split()[0] for c in ddl.split(", "))
     for name, ddl, line in (
         ("messages", schemas.MESSAGE_CSV, "c1,p1,l,a,Ann,notanumber,hi,1,p1,5,0.5"),
         ("threads", schemas.THREAD_CSV, "p1,n,t,l,1,a,Ann,true,f,u,false,2,3,s,4,0.5,6"),
