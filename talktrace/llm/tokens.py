@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 300_000
 _SPACED = re.compile(r" \s|\s ")
 _COMMON = "ɐ"
 _open: dict[tuple[str, str | None], "ChunkedTokenizer"] = {}
