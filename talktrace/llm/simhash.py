@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import connected_components, stored
 
@@ -46,14 +46,17 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) for every row."""
-
+def _fingerprint(shingle: int = SHINGLE) -> Column:
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([simhash(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", fingerprint("text").alias("fp"))
+    return fingerprint("text")
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long) for every row."""
+    return docs.select("doc_id", _fingerprint(shingle).alias("fp"))
 
 
 def _masks(bits: int) -> list[int]:
@@ -75,14 +78,11 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.distinct().where(F.expr(f"bit_count(a ^ b) <= {radius}"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id linked, over any number of links).
+def _classes(rows: DataFrame, radius: int) -> DataFrame:
+    """fp, first (its smallest doc_id), root (one fingerprint of its component), component_id; stored.
 
-    One row per row of `docs` (doc_id, text; more columns are ignored). A null text counts as empty;
-    texts without a word have fingerprint zero and are linked like any other. Repeated rows stay. A null
-    doc_id is never the smallest unless its component has no other. An empty table gives no rows.
+    `rows` has doc_id, fp.
     """
-    rows = stored(fingerprints(docs, shingle))
     firsts = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(links(firsts.select("fp"), radius))
     named = firsts.join(roots, firsts.fp == roots.node, "left").select(
@@ -90,7 +90,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     )
     named = stored(named)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = stored(named.join(stored(smallest), "root").select("fp", "component_id"))
+    return stored(named.join(stored(smallest), "root").select("fp", "first", "root", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id linked, over any number of links).
+
+    One row per row of `docs` (doc_id, text; more columns are ignored). A null text counts as empty;
+    texts without a word have fingerprint zero and are linked like any other. Repeated rows stay. A null
+    doc_id is never the smallest unless its component has no other. An empty table gives no rows.
+    """
+    rows = stored(fingerprints(docs, shingle))
+    classes = _classes(rows, radius).select("fp", "component_id")
     return rows.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -99,11 +110,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of `docs` for each component: that of the smallest doc_id; its columns unchanged.
 
-    Of rows that share this doc_id the smallest by its values stays. A row without a doc_id stays only
-    where its component has no other.
+    Of a component's rows that share this doc_id the smallest by its values stays; other components may have rows
+    with the same doc_id, and each keeps its own. A row without a doc_id stays only where its component has no other.
+    Fingerprints are computed twice, so that texts need not be stored beside them.
     """
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    marked = near_duplicates(docs, radius)
-    kept = marked.where("doc_id <=> component_id").select(key.alias("kept")).distinct()
-    keyed = docs.select(key.alias("kept"), F.struct(*docs.columns).alias("row"))
-    return keyed.join(kept, "kept", "left_semi").groupBy("kept").agg(F.min("row").alias("row")).select("row.*")
+    classes = _classes(fingerprints(docs), radius).where("first <=> component_id").select(
+        F.col("fp").alias("of"), "root", "component_id"
+    )
+    keyed = docs.select("doc_id", _fingerprint().alias("fp"), F.struct(*docs.columns).alias("row"))
+    met = (F.col("fp") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return keyed.join(classes, met).groupBy("root").agg(F.min("row").alias("row")).select("row.*")

@@ -81,6 +81,20 @@ def test_keep_first_keeps_one_row_of_each_group(spark):
     assert len(ids) == len(set(ids)) and 1 in ids and not {2, 5, 6} & set(ids) and 4 in ids and None in ids
 
 
+def test_keep_first_keeps_every_component(spark):
+    texts = [" ".join(f"{word}{i}" for word in ("one", "two", "three", "four", "five")) for i in range(60)]
+    rows = [(None, t, "en", "a") for t in texts[:20]] + [(None, t, "en", "b") for t in texts[:10]]  # no id, some twice
+    rows += [(5, t, "en", "a") for t in texts[20:30]] + [(5, t, "en", "b") for t in texts[25:30]]  # one id, many texts
+    rows += [(i, t, "en", "a") for i, t in enumerate(texts[30:], 100)] + [(None, t, "en", "a") for t in texts[30:35]]
+    rows += [(7, t, "en", "a") for t in texts[35:40]]  # one id that is the smallest of many components
+    kept = simhash.keep_first(edge_docs(spark, rows, extra=("fp", "root", "row", "first"))).collect()
+    least = {}
+    for doc, text, _, source in rows:
+        least[text] = min(least.get(text, (True, 0, "z")), (doc is None, doc or 0, source))
+    assert len({brute_fingerprint(t) for t in texts}) == len({c for _, _, c in brute_components([(i, brute_fingerprint(t)) for i, t in enumerate(texts)])}) == 60
+    assert Counter((r.text, (r.doc_id is None, r.doc_id or 0, r.source)) for r in kept) == Counter(least.items())
+
+
 def test_components_of_path_star_and_cycle(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
