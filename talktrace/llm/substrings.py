@@ -2,7 +2,8 @@
 
 A string of LENGTH bytes contains, wherever it occurs, the same anchor: its K-byte word of least hash. So only
 suffixes at anchors, one in about 17, are indexed. Consecutive strings with the same anchor form a run; an
-index entry is a run's anchor word and content as hashes (80 bits), and the smallest doc_id that has it.
+index entry is a run's anchor word (48 bits) and content (64 bits) as hashes, and the smallest doc_id that has it.
+Many contents share one anchor word at the ends of a copied passage, so the content's bits alone must tell them apart.
 
 1. Tasks sort the entries of a batch of documents into a suffix array, and resolve those that repeat in the batch.
    The arrays are cut in key ranges and shuffled.
@@ -86,13 +87,13 @@ class Chunk:
         """(start, a, b) of every string of LENGTH bytes: a and b are 64 and 16 bits of its hashes."""
         at = np.flatnonzero(self.whole)
         a = _mix(self.hashes(0, at, at + LENGTH))
-        return at, a, (_mix(self.hashes(1, at, at + LENGTH)) >> _U(48)).astype(np.uint16)
+        return at, a, _mix(self.hashes(1, at, at + LENGTH)) >> _U(48)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first start, last start, a, b) of the runs: a has 48 bits of the anchor word and 16 of the content, b 16 more."""
+        """(first start, last start, a, b) of the runs: a has 48 bits of the anchor word and 16 of the content, b its other 48."""
         if not self.whole.any():
             none = np.zeros(0, np.int64)
-            return none, none, none.astype(np.uint64), none.astype(np.uint16)
+            return none, none, none.astype(np.uint64), none.astype(np.uint64)
         every = np.arange(self.size - K + 1)
         words = self.hashes(0, slice(0, self.size - K + 1), slice(K, self.size + 1))
         least = (_mix(words) & _U(0xFFFFFFFF00000000)) | every.astype(np.uint64)
@@ -108,7 +109,7 @@ class Chunk:
         first, last = np.flatnonzero(moved[:-1] & self.whole), np.flatnonzero(moved[1:] & self.whole)
         content = _mix(self.hashes(1, first, last + LENGTH) + (last - first).astype(np.uint64) * _U(_BASES[0]))
         key = _mix(words[anchor[first]] * _U(0x9FB21C651E98DF25) + _U(1)) >> _U(16)
-        return first, last, (key << _U(16)) | (content >> _U(48)), (content >> _U(32) & _U(0xFFFF)).astype(np.uint16)
+        return first, last, (key << _U(16)) | (content >> _U(48)), content & _U(0xFFFFFFFFFFFF)
 
 
 def chunks(texts: list[bytes]) -> Iterator[Chunk]:
@@ -137,7 +138,7 @@ def code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _pack(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> bytes:
     base = int(doc.min(initial=1 << 62)) if len(doc) else 0
-    columns = [np.diff(a, prepend=_U(0)), b, (doc - base).astype(np.uint64)]
+    columns = [np.diff(a, prepend=_U(0)), b.astype(np.uint64), (doc - base).astype(np.uint64)]
     planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns]
     return np.array([len(a), base], "<i8").tobytes() + zstandard.compress(b"".join(planes), 1)
 
@@ -146,10 +147,9 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, base = (int(v) for v in np.frombuffer(data[:16], "<i8"))
     planes = np.frombuffer(zstandard.decompress(data[16:]), np.uint8) if n else np.zeros(0, np.uint8)
     out, at = [], 0
-    for kind in (np.uint64, np.uint16, np.uint64):
-        width = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(planes[at : at + width * n].reshape(width, n).T).reshape(-1).view(kind))
-        at += width * n
+    for _ in range(3):
+        out.append(np.ascontiguousarray(planes[at : at + 8 * n].reshape(8, n).T).reshape(-1).view(np.uint64))
+        at += 8 * n
     return np.cumsum(out[0], dtype=np.uint64), out[1], out[2].astype(np.int64) + base
 
 
@@ -212,7 +212,7 @@ class LogIndex:
         while len(self.levels) > 1:
             self._merge()
         if not self.levels:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         a, b, doc = self.levels[0]
         key = a >> _U(16)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))

@@ -460,6 +460,22 @@ def test_repeated_strings_edges(spark, monkeypatch):
     assert substrings.remove_repeated(docs.limit(0)).count() == 0
 
 
+def test_runs_of_one_anchor_are_told_apart_by_their_content():
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.integers(97, 123, 200, dtype=np.uint8)) for _ in range(2_000)]
+    seen = set()
+    for chunk in substrings.chunks(texts):
+        first, last, a, b = chunk.runs()
+        content = [texts[chunk.doc[f]][chunk.place[f] : chunk.place[l] + substrings.LENGTH] for f, l in zip(first, last)]
+        seen |= {((int(x) & 0xFFFF) << 48 | int(y), c) for x, y, c in zip(a, b, content)}
+        wide = substrings._unpack(substrings._pack(a, b, chunk.doc[first]))
+        assert (wide[0] == a).all() and (wide[1] == b).all() and (wide[2] == chunk.doc[first]).all()
+    assert len({k for k, _ in seen}) == len({c for _, c in seen}) == len(seen) > 10_000
+    for bit in range(64):  # every one of the content's bits takes part, and none follows from others
+        share = np.mean([k >> bit & 1 for k, _ in seen])
+        assert 0.45 < share < 0.55, bit
+
+
 def test_levels_report_all_but_the_smallest_document():
     rng = np.random.default_rng(4)
     index, reported, seen = substrings.LogIndex(), [], defaultdict(set)
