@@ -2,11 +2,15 @@
 
 A notice with at most e errors, cut in e + 1 pieces, has a piece without error. So the exact pieces of all
 notices are searched together, and only around them the regex library's bounded-error matching looks
-for the notice, checks its edits and reports the span.
+for the notice, checks its edits and reports the span. The best match is taken first, then the best in what is left.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
 import ahocorasick
 import pandas as pd
 import regex
@@ -31,6 +35,8 @@ NOTICES = {
     "all rights reserved": "all-rights-reserved",
 }
 ERROR_CHARS = 9
+JOINED = 4  # windows of a notice that touch are searched as one up to this many times its length
+_LETTER = regex.compile(r"\w")
 _KEPT = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c > 0x7F else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
 
@@ -67,30 +73,58 @@ class NoticeSearch:
                 at = padded.find(f" {phrase} ", at + 1)
         return found
 
-    def fuzzy(self, joined: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, label, share of characters without error) of notices; of overlapping ones the best."""
+    def _windows(self, joined: str) -> Iterator[tuple[int, int, int]]:
+        """(notice, start, end) of the places where a notice can be: each lies whole in one. Their length is bounded."""
         windows: dict[int, list[list[int]]] = {}
         for end, (length, places) in self.seeds.iter(joined):
             for number, offset in places:
                 _, size, errors, _ = self.notices[number]
                 start = end + 1 - length - offset - errors
+                stop = start + size + 2 * errors
                 own = windows.setdefault(number, [])
-                if own and start <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], start + size + 2 * errors)
+                if own and start <= own[-1][1] and max(own[-1][1], stop) - min(own[-1][0], start) <= JOINED * size:
+                    own[-1][1] = max(own[-1][1], stop)
                     own[-1][0] = min(own[-1][0], start)
                 else:
-                    own.append([start, start + size + 2 * errors])
-        found = []
+                    own.append([start, stop])
         for number, spans in windows.items():
-            label, size, _, pattern = self.notices[number]
             for start, end in spans:
-                for match in pattern.finditer(joined, max(0, start), min(len(joined), end)):
-                    found.append((match.start(), match.end(), label, 1 - sum(match.fuzzy_counts) / size))
-        best: list[tuple[int, int, str, float]] = []
-        for span in sorted(found, key=lambda f: (-f[3], f[0], -f[1], f[2])):
-            if all(span[1] <= b[0] or b[1] <= span[0] for b in best):
-                best.append(span)
-        return sorted(best)
+                yield number, max(0, start), min(len(joined), end)
+
+    def fuzzy(self, joined: str) -> list[tuple[int, int, str, float]]:
+        """(start, end, label, share of characters without error) of notices; of overlapping ones the best.
+
+        A pattern gives the best match of a window only. So the best match of all windows is taken, and what it
+        leaves free of its own window, and of those whose match it overlaps, is searched again, until no window has a match.
+        """
+        queue: list[tuple] = []
+
+        def look(number: int, start: int, end: int) -> None:
+            while start < end < len(joined) and _LETTER.match(joined[end - 1]) and _LETTER.match(joined[end]):
+                end -= 1  # the pattern takes the window's end for a word's
+            label, size, _, pattern = self.notices[number]
+            match = pattern.search(joined, start, end) if start < end else None
+            if match:
+                score = 1 - sum(match.fuzzy_counts) / size
+                heappush(queue, (-score, match.start(), -match.end(), label, number, start, end))
+
+        for window in self._windows(joined):
+            look(*window)
+        best: list[tuple[int, int, str, float]] = []  # in order, without overlap
+        while queue:
+            score, start, stop, label, number, low, high = heappop(queue)
+            stop = -stop
+            at = bisect_left(best, (start,))
+            if (at == len(best) or stop <= best[at][0]) and (not at or best[at - 1][1] <= start):
+                best.insert(at, (start, stop, label, -score))
+            first = bisect_left(best, (low,))
+            if first and best[first - 1][1] > low:
+                first -= 1
+            for begin, end, *_ in best[first : bisect_left(best, (high,))]:
+                look(number, low, begin)
+                low = max(low, end)
+            look(number, low, high)
+        return best
 
 
 _search: NoticeSearch | None = None

@@ -566,6 +566,18 @@ def test_notices_are_found_with_errors_and_not_in_prose():
         assert search.fuzzy("xx " + "".join(value) + " yy"), "".join(value)
 
 
+def test_notices_beside_better_ones_are_found():
+    two, three = "gnu generel public licence version 2", "gnu general public license version 3"
+    for parts, labels in (((two, three), ["gpl-2", "gpl-3"]), ((three, two), ["gpl-3", "gpl-2"]), ((two, three, two, two, three), ["gpl-2", "gpl-3", "gpl-2", "gpl-2", "gpl-3"])):
+        for between in (" ", " or ", " some more words stand here and there "):
+            spans = licenses.scan(between.join(parts))[7].split(",")
+            assert [s.split(":")[0] for s in spans] == labels
+            assert all(int(s.split(":")[2]) - int(s.split(":")[1]) == 6 for s in spans)
+    worse, better = "undr the mit licence", "under the mit license"
+    for parts in ((worse, better), (better, worse), (worse, worse, better), (worse, better, worse), (worse,) * 30 + (better,)):
+        assert len(licenses.scan(" ".join(parts))[7].split(",")) == len(parts)
+
+
 def test_segments_give_every_string_once(monkeypatch):
     rng = np.random.default_rng(7)
     texts = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (10, 49, 50, 51, 700, 3_000, 0, 200)]
