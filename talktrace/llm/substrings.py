@@ -1,13 +1,13 @@
-"""Removal of long byte strings that occur in an earlier document, by a logarithmic family of sparse suffix indexes.
+"""Removal of long byte strings that occur in an earlier document, by a logarithmic family of sorted hash indexes.
 
 A string of LENGTH bytes contains, wherever it occurs, the same anchor: its K-byte word of least hash. So only
-suffixes at anchors, one in about 17, are indexed. Consecutive strings with the same anchor form a run; an
+runs at anchors, one in about 17 bytes, are indexed. Consecutive strings with the same anchor form a run; an
 index entry is a run's anchor word (48 bits) and content (64 bits) as hashes, and the smallest doc_id that has it.
 Many contents share one anchor word at the ends of a copied passage, so the content's bits alone must tell them apart.
 
-1. Tasks sort the entries of a batch of documents into a suffix array, and resolve those that repeat in the batch.
+1. Tasks sort the entries of a batch of documents by hash, and resolve those that repeat in the batch.
    The arrays are cut in key ranges and shuffled.
-2. For each key range, arrays come in one after the other, are merge-scanned against the existing levels, and
+2. For each key range, arrays come in one after the other, are looked up in the existing levels by binary search, and
    equal-sized levels merge geometrically. A run whose content an earlier document has is removed whole.
 3. Where runs of different content share an anchor word, as at the ends of a copied passage, their documents
    send the hashes of the single strings of these runs through the same kind of index.
@@ -133,7 +133,7 @@ def code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _mix(a ^ (b.astype(np.uint64) * _U(_BASES[1]))).view(np.int64)
 
 
-# ---------------------------------------------------------------- suffix arrays and their levels
+# ---------------------------------------------------------------- sorted hashes and their levels
 
 
 def _pack(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> bytes:
@@ -154,7 +154,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def suffix_array(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[tuple, tuple]:
-    """Entries in order, each once with its smallest document; and those of its other documents."""
+    """Entries in order of their hashes (not of the bytes), each once with its smallest document; and those of its other documents."""
     order = np.lexsort((doc, b, a))
     a, b, doc = a[order], b[order], doc[order]
     new = np.ones(len(a), bool)
@@ -172,7 +172,7 @@ class LogIndex:
         self.levels: list[list[np.ndarray]] = []
 
     def add(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Takes in a suffix array; gives the entries (of either side) that a smaller document turns out to have."""
+        """Takes in sorted entries; gives the entries (of either side) that a smaller document turns out to have."""
         removed = []
         for level in self.levels:
             la, lb, ld = level
@@ -230,7 +230,7 @@ _ANSWERS = "doc_id long, code long, kind int"
 
 
 def _blobs(entries: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pd.DataFrame]:
-    """Suffix arrays of a task's entries (a, b, doc_id), one for each of its batches, cut in key ranges."""
+    """Sorted arrays of a task's entries (a, b, doc_id), one for each of its batches, cut in key ranges."""
     context = TaskContext.get()
     first = (context.partitionId() if context else 0) << 32
     for number, (a, b, doc) in enumerate(entries):
