@@ -20,6 +20,7 @@ HASHES = 3
 SAMPLE_ROWS = 2000
 LEAST_COUNT = 3
 LEAST_SHARE = 0.5
+LONG_ENOUGH = 50
 UNKNOWN = "und"
 _BLOCK = 1 << 20
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
@@ -160,15 +161,59 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     return docs.select("doc_id", fold_of().alias("held_out"), found("text").alias("p")).select("doc_id", "held_out", "p.*")
 
 
+def evidence(filters: LanguageFilters, text: str) -> tuple[int, float]:
+    """How many n-grams a text has, and the best language's corrected count as a share of them."""
+    codes = ngrams(text, filters.sizes)
+    corrected = (filters.contained(codes) - len(codes) * filters.false_rate) / (1 - filters.false_rate)
+    return len(codes), float(corrected.max(initial=0)) / max(1, len(codes))
+
+
+def least_evidence(labeled: DataFrame, filters: LanguageFilters, sample_rows: int = SAMPLE_ROWS) -> float:
+    """The share of known n-grams below which a text is in no learned language.
+
+    Half of what all but one in a thousand of the training documents have, of those long enough to tell. The
+    documents are drawn by hash, about `sample_rows` for each language.
+    """
+    able = labeled.where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = able.count()
+    if not rows or not filters.names:
+        return 0.0
+    share = min(1.0, sample_rows * len(filters.names) / rows)
+    drawn = able.where(F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    @F.pandas_udf("double")
+    def shares(texts: pd.Series) -> pd.Series:
+        found = [evidence(filters, t) for t in texts]
+        return pd.Series([s if n >= LONG_ENOUGH else None for n, s in found], dtype=float)
+
+    low = drawn.select(shares("text").alias("share")).where("share IS NOT NULL AND NOT isnan(share)").agg(
+        F.percentile_approx("share", 0.001, 10_000)).first()[0]
+    return 0.5 * (low or 0.0)
+
+
 def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of `docs` whose language can be told, unchanged: null texts and texts without a letter go.
+    """The rows of `docs` that are in a language, unchanged.
 
-    Where no language can be learned, all texts with a letter stay.
+    Null texts and texts without a letter go. So do texts of which no n-gram is known beyond what false
+    positives explain, and longer ones whose share of known n-grams is below `least_evidence`. Where no language
+    can be learned, all texts with a letter stay. Repeated rows are judged alike; an empty table gives no rows.
     """
-    filters = docs.sparkSession.sparkContext.broadcast(train(docs.where(~fold_of()), sample_rows))
+    labeled = docs.where(~fold_of())
+    learned = train(labeled, sample_rows)
+    least = least_evidence(labeled, learned, sample_rows)
+    filters = docs.sparkSession.sparkContext.broadcast(learned)
 
-    def told(texts: pd.Series) -> pd.Series:
+    def told(text: str | None) -> bool:
         known = filters.value
-        return pd.Series([known.predict(t)[0] != UNKNOWN if known.names else any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
-
-    return docs.where(F.pandas_udf(told, "boolean")("text"))
+        if not any(map(str.isalpha, text or "")):
+            return False
+        if not known.names:
+            return True
+        n, share = evidence(known, text)
+        return share > 0 and (n < LONG_ENOUGH or share >= least)
+
+    @F.pandas_udf("boolean")
+    def keeps(texts: pd.Series) -> pd.Series:
+        return pd.Series([told(t) for t in texts], dtype=bool)
+
+    return docs.where(keeps("text"))

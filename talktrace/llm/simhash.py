@@ -112,11 +112,30 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Of a component's rows that share this doc_id the smallest by its values stays; other components may have rows
     with the same doc_id, and each keeps its own. A row without a doc_id stays only where its component has no other.
-    Fingerprints are computed twice, so that texts need not be stored beside them.
+    An empty table gives no rows.
+
+    Fingerprints are computed once and stored beside the id and a 128-bit hash of the row. What stays is
+    chosen on these narrow rows; texts are shuffled once, to meet the keys that were chosen. Whole rows are
+    compared only in components whose smallest doc_id has several rows.
     """
-    classes = _classes(fingerprints(docs), radius).where("first <=> component_id").select(
-        F.col("fp").alias("of"), "root", "component_id"
+    keyed = docs.select(
+        "doc_id", F.xxhash64(*docs.columns).alias("h1"), F.xxhash64(F.lit(SEED), *docs.columns).alias("h2"),
+        F.struct(*docs.columns).alias("row"), "text",
     )
-    keyed = docs.select("doc_id", _fingerprint().alias("fp"), F.struct(*docs.columns).alias("row"))
+    key = ["doc_id", "h1", "h2"]
+    rows = stored(keyed.select(*key, _fingerprint().alias("fp")))
+    classes = _classes(rows.select("doc_id", "fp"), radius).where("first <=> component_id")
+    firsts = classes.select(F.col("fp").alias("of"), "root", "component_id")
     met = (F.col("fp") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return keyed.join(classes, met).groupBy("root").agg(F.min("row").alias("row")).select("row.*")
+    able = stored(rows.join(firsts, met).groupBy("root", *key).agg(F.count("*").alias("n")))
+    roots = able.groupBy("root").agg((F.sum("n") == 1).alias("alone"), F.first(F.struct(*key)).alias("key"))
+    chosen = stored(roots.where("alone").select("root", "key.*"))
+    shared = stored(roots.where("NOT alone").select("root").join(able.select("root", *key), "root"))
+
+    def whole(keys: DataFrame) -> DataFrame:
+        names = keys.withColumnsRenamed({"doc_id": "id", "h1": "k1", "h2": "k2"})
+        same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("id"))
+        return keyed.select(*key, "row").join(names, same).select("root", "row")
+
+    least = whole(shared).groupBy("root").agg(F.min("row").alias("row"))
+    return whole(chosen.hint("shuffle_hash")).unionByName(least).select("row.*")
