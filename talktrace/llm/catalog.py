@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import htmltext, langid, licenses, mixing, packing, pii, quality, simhash, substrings, topk
+from . import (
+    htmltext, langid, lexical, licenses, mixing, packing, pii, quality, simhash, substrings, tokenfile, topk, whitening,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +56,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_main_text, op3_language, op4_top_k, op5_mixing, op6_personal_data, op7_packing, op8_repeated_strings, op9_quality, op10_licenses)}
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-ORACLES: dict[str, str] = {"op9_quality": quality.oracle_sql()}
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_simhash, op2_main_text, op3_language, op4_top_k, op5_mixing, op6_personal_data, op7_packing, op8_repeated_strings,
+    op9_quality, op10_licenses, op11_lexical, op12_whitening, op13_token_files,
+)}
+
+ORACLES: dict[str, str] = {"op9_quality": quality.oracle_sql(), "op11_lexical": lexical.oracle_sql()}
