@@ -18,7 +18,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CACHED_CHUNKS, CACHED_LENGTH = 50_000, 32
 _SPACED = re.compile(r" \s|\s ")
-_COMMON = "ɐ"
+_UNCOMMON = re.compile("[^\x00-\u024f]")
 _NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 _open: dict[tuple[str, str | None], "TextTokenizer"] = {}
 
@@ -48,9 +48,9 @@ class TextTokenizer:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _ordinary(self, text: str) -> bytes:
-        if self.ranked is not None and max(text, default="") < _COMMON:
-            return array("I", self.ranked.encode_ordinary(text)).tobytes()
-        return self._encode(text)
+        if self.ranked is None or _UNCOMMON.search(text):
+            return self._encode(text)
+        return array("I", self.ranked.encode_ordinary(text)).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         ids = self.chunks.get(chunk)
@@ -65,8 +65,8 @@ class TextTokenizer:
     def ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._encode(text)
-        if self.ranked is not None and max(text, default="") < _COMMON:
-            return self._ordinary(text)
+        if self.ranked is not None and not _UNCOMMON.search(text):
+            return array("I", self.ranked.encode_ordinary(text)).tobytes()
         if _SPACED.search(text) or text[-1:].isspace():
             return self._encode(text)
         first, *rest = text.split(" ")
