@@ -19,6 +19,7 @@ from ..operators import (
     postexit,
     roster,
     sentiment,
+    temporal,
     timeline,
 )
 from ..schemas import ColumnSpec, MESSAGE_COLUMNS, TableSpec, project_to
@@ -919,3 +920,73 @@ def partner_breakdown(spark, sf_dir):
 @query(sql(_EDGES, "SELECT x AS name, y AS partner, weight FROM totals"))
 def comention_matrix(spark, sf_dir):
     return comentions.comention_matrix(_totals(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- joins on time
+
+
+@query(sql("messages timed_events", """
+    , marks AS (SELECT epoch, max((type, event_id)) AS event FROM timed_events GROUP BY epoch)
+    SELECT message_id, created_epoch, event[1] AS type, event[2] AS event_id, epoch
+    FROM messages ASOF LEFT JOIN marks ON created_epoch >= epoch"""))
+def last_event_before_message(spark, sf_dir):
+    """Each message with the latest timeline event at or before it."""
+    asked = views.messages(spark, sf_dir).select("message_id", "created_epoch")
+    marks = views.timed_events(spark, sf_dir).select("epoch", "type", "event_id")
+    found = temporal.asof_join(asked, marks, "created_epoch", "epoch")
+    return found.select("message_id", "created_epoch", "match.type", "match.event_id", "match.epoch")
+
+
+@query(sql("aliases messages timed_mentions timed_events", """
+    , marks AS (SELECT entity, created_epoch, max((message_id, n)) AS m FROM timed_mentions GROUP BY entity, created_epoch)
+    SELECT event_id, e.entity, epoch, created_epoch AS mentioned, m[1] AS message_id, m[2] AS n
+    FROM timed_events e ASOF LEFT JOIN marks ON e.entity = marks.entity AND epoch >= created_epoch"""))
+def last_mention_before_event(spark, sf_dir):
+    """Each timeline event with the latest message that mentions its entity at or before it."""
+    rows = mentions.mention_rows(_scan(spark, sf_dir, carry=("created_epoch",)))
+    marks = rows.select("entity", "created_epoch", "message_id", "n")
+    asked = views.timed_events(spark, sf_dir).select("event_id", "entity", "epoch")
+    found = temporal.asof_join(asked, marks, "epoch", "created_epoch", by=["entity"])
+    return found.select("event_id", "entity", "epoch", F.col("match.created_epoch").alias("mentioned"), "match.message_id", "match.n")
+
+
+@query(sql("aliases messages mentions daily roster", """
+    SELECT entity, entry_day, leave_day, CAST(count(DISTINCT day) AS BIGINT) AS days, CAST(sum(n) AS BIGINT) AS n
+    FROM roster JOIN daily USING (entity)
+    WHERE day BETWEEN entry_day AND coalesce(leave_day, 1000000) GROUP BY entity, entry_day, leave_day"""))
+def mentions_in_stints(spark, sf_dir):
+    """Mentions of each entity during each of its stints; a stint without a leave day is open."""
+    met = temporal.interval_join(
+        _daily(spark, sf_dir), views.roster(spark).select("entity", "entry_day", "leave_day"), "day", "entry_day", "leave_day", by=["entity"])
+    return met.groupBy("span.entity", "span.entry_day", "span.leave_day").agg(
+        F.count_distinct("point.day").alias("days"), F.sum("point.n").alias("n"))
+
+
+_AFTER = 900
+
+
+@query(sql("messages timed_events", f"""
+    SELECT event_id, type, count(*) AS messages, CAST(sum(score) AS BIGINT) AS score
+    FROM timed_events JOIN messages ON created_epoch BETWEEN epoch AND epoch + {_AFTER} GROUP BY event_id, type"""))
+def messages_after_events(spark, sf_dir):
+    """Messages in the quarter of an hour after each event."""
+    events = views.timed_events(spark, sf_dir).select("event_id", "type", "epoch", (F.col("epoch") + _AFTER).alias("until"))
+    asked = views.messages(spark, sf_dir).select("created_epoch", "score")
+    met = temporal.interval_join(asked, events, "created_epoch", "epoch", "until", grain=_AFTER)
+    return met.groupBy("span.event_id", "span.type").agg(F.count("*").alias("messages"), F.sum("point.score").alias("score"))
+
+
+@query(sql("raw_roster clean_roster", """
+    SELECT a.entity, a.entry_day AS first_entry, b.entry_day AS second_entry,
+           least(coalesce(a.leave_day, 1000), coalesce(b.leave_day, 1000)) - greatest(a.entry_day, b.entry_day) + 1 AS days
+    FROM clean_roster a JOIN clean_roster b ON a.entity = b.entity AND (a.entry_day, a.hometown) < (b.entry_day, b.hometown)
+    WHERE a.entry_day <= coalesce(b.leave_day, 1000) AND b.entry_day <= coalesce(a.leave_day, 1000)
+      AND a.entry_day <= coalesce(a.leave_day, 1000) AND b.entry_day <= coalesce(b.leave_day, 1000)"""))
+def overlapping_stints(spark, sf_dir):
+    """Pairs of stints of one name that have days in common, with their number; open stints reach day 1000."""
+    stints = roster.clean_roster(views.raw_roster(spark, sf_dir)).select(
+        "entity", "hometown", "entry_day", F.coalesce("leave_day", F.lit(1000)).alias("leave_day"))
+    met = temporal.overlap_join(stints, stints, "entry_day", "leave_day", by=["entity"])
+    pairs = met.where("struct(left.entry_day, left.hometown) < struct(right.entry_day, right.hometown)")
+    days = F.least("left.leave_day", "right.leave_day") - F.greatest("left.entry_day", "right.entry_day") + 1
+    return pairs.select("left.entity", F.col("left.entry_day").alias("first_entry"), F.col("right.entry_day").alias("second_entry"), days.alias("days"))

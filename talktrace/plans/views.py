@@ -167,6 +167,14 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timeline rows with their moment in epoch seconds."""
+    nth = F.element_at(F.array(*map(F.lit, ENTITIES)), (F.col("user_id") % 10 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"), F.col("event_type").alias("type"), nth.alias("entity")
+    )
+
+
 def roster(spark: SparkSession) -> DataFrame:
     text, day = pa.string(), pa.int32()
     return local_table(
@@ -306,6 +314,15 @@ SQL = {
                event_type AS type, event_type || ' at ' || hour(ts) AS summary,
                list[user_id % 10 + 1] AS entity
         FROM events, names)""",
+    "timed_events": f"""timed_events AS (
+        SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS epoch, event_type AS type,
+               ({ENTITIES!r})[user_id % 10 + 1] AS entity
+        FROM events)""",
+    "timed_mentions": r"""timed_tokens AS (
+        SELECT message_id, created_epoch, unnest(regexp_extract_all(body, '[\p{L}\p{N}_]+')) AS alias FROM messages),
+    timed_mentions AS (
+        SELECT message_id, created_epoch, entity, count(*) AS n
+        FROM timed_tokens JOIN aliases USING (alias) GROUP BY message_id, created_epoch, entity)""",
     "edges": """edges AS (
         SELECT a.day, a.entity AS x, b.entity AS y, count(*) AS weight
         FROM mentions a JOIN mentions b ON a.message_id = b.message_id AND a.entity <> b.entity
