@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import calendar, labels
@@ -18,12 +19,13 @@ from ..operators import (
     moments,
     postexit,
     roster,
+    search,
     sentiment,
     temporal,
     timeline,
 )
 from ..schemas import ColumnSpec, MESSAGE_COLUMNS, TableSpec, project_to
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, local_table
 from ..sources import files, quality, store, submissions
 from . import views
 from .views import CREATED_SQL, FIRST, LAST, NOW, ORIGIN, TITLE_SQL, sql
@@ -990,3 +992,50 @@ def overlapping_stints(spark, sf_dir):
     pairs = met.where("struct(left.entry_day, left.hometown) < struct(right.entry_day, right.hometown)")
     days = F.least("left.leave_day", "right.leave_day") - F.greatest("left.entry_day", "right.entry_day") + 1
     return pairs.select("left.entity", F.col("left.entry_day").alias("first_entry"), F.col("right.entry_day").alias("second_entry"), days.alias("days"))
+
+
+# ---------------------------------------------------------------- ranked search
+
+
+def _ranked_sql(texts: str, key: str, queries: str, k: int = 10) -> str:
+    cut = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_'']+')"
+    return f"""
+        cut AS (SELECT {key}, {cut.format('body')} AS terms FROM ({texts})),
+        lengths AS (SELECT {key}, len(terms) AS length FROM cut WHERE len(terms) > 0),
+        totals AS (SELECT count(*) AS total, avg(length) AS mean FROM lengths),
+        found AS (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(terms) AS term FROM cut) GROUP BY {key}, term),
+        frequency AS (SELECT term, count(*) AS df FROM found GROUP BY term),
+        asked AS (SELECT DISTINCT query_id, unnest({cut.format('query')}) AS term FROM ({queries})),
+        scored AS (
+            SELECT query_id, {key}, round(sum(
+                ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * {search.SATURATION + 1}
+                / (tf + {search.SATURATION} * ({1 - search.LENGTH_SHARE} + {search.LENGTH_SHARE} * length / mean))), {search.DIGITS}) AS score
+            FROM asked JOIN found USING (term) JOIN frequency USING (term) JOIN lengths USING ({key}), totals
+            GROUP BY query_id, {key}),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS INTEGER) AS rank FROM scored)
+    SELECT query_id, rank, {key}, score FROM ranked WHERE rank <= {k}"""
+
+
+@query(sql("messages", "," + _ranked_sql("SELECT message_id, body FROM messages", "message_id", "SELECT item_id AS query_id, text AS query FROM benchmark")))
+def ranked_messages(spark, sf_dir):
+    """The messages that suit each benchmark passage best, from postings that are stored once."""
+    ensure_checkpoint_dir(spark)
+    stored = search.postings(views.messages(spark, sf_dir)).checkpoint()
+    asked = views.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.search(stored, asked)
+
+
+_THREAD_QUERIES = ["Daily Discussion post", "Post Episode 42", "pre 7"]
+
+
+@query(sql("threads", "," + _ranked_sql(
+    "SELECT thread_id, title || ' ' || AuthorName AS body FROM threads", "thread_id",
+    "SELECT CAST(i AS BIGINT) AS query_id, query FROM (VALUES "
+    + ", ".join(f"({i}, '{q}')" for i, q in enumerate(_THREAD_QUERIES)) + ") AS q(i, query)", 20)))
+def ranked_threads(spark, sf_dir):
+    """Threads by relevance of their title and author to a query text."""
+    ensure_checkpoint_dir(spark)
+    shown = views.threads(spark, sf_dir).select("thread_id", F.concat("title", F.lit(" "), "AuthorName").alias("body"))
+    stored = search.postings(shown, "thread_id", carry=()).checkpoint()
+    asked = local_table(spark, list(enumerate(_THREAD_QUERIES)), query_id=pa.int64(), query=pa.string())
+    return search.search(stored, asked, 20, "thread_id")
