@@ -40,3 +40,17 @@ def after_and_before(frame: DataFrame, column: str, after: Column, before: Colum
     """Rows strictly between two moments, the second optional. Plain comparisons, so both reach the scan."""
     frame = frame.where(F.col(column) > after)
     return frame if before is None else frame.where(F.col(column) < before)
+
+
+def local_day_index(epoch: Column, zone: str, origin: str) -> Column:
+    """1-based day since the date `origin`, by the calendar of a named zone; days there may have 23 or 25 hours."""
+    local = F.from_utc_timestamp(F.timestamp_seconds(epoch), zone)
+    return (F.datediff(local, F.lit(origin).cast("date")) + 1).cast("int")
+
+
+def local_day_hours(day: Column, zone: str, origin: str) -> Column:
+    """How many hours a local day has: 24, or another number where the zone's offset changes."""
+    first = F.date_add(F.lit(origin).cast("date"), day - 1).cast("timestamp")
+    after = F.date_add(F.lit(origin).cast("date"), day).cast("timestamp")
+    start, end = (F.unix_timestamp(F.to_utc_timestamp(t, zone)) for t in (first, after))
+    return ((end - start) / 3600).cast("int")

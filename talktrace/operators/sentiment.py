@@ -16,6 +16,7 @@ from .daily import _mark_picked, dense_series
 NORMALISATION = 15.0
 NEGATION_FACTOR = -0.74
 DISTANCE_DAMPING = (1.0, 0.95, 0.9)
+ROW_KEYS = 1024
 
 
 def daily_sentiment(rows: DataFrame, mode: str = "mentioned") -> DataFrame:
@@ -75,7 +76,8 @@ def lexicon_sentiment(
     distance, and reversed and reduced if a negation is among them. Each token travels with its
     three predecessors, so no window over the tokens of a message is needed. An inner join keeps the
     tokens of the lexicon alone; neutral ones are counted in the message's own row, which takes part in
-    the join as one row under a key that is no token. What remains is folded to one small row per message.
+    the join under one of ROW_KEYS keys that are no tokens, so that it is no hot key where the join is shuffled. What
+    remains is folded to one small row per message.
     """
     boosters = dict(boosters or {})
     negations = list(negations)
@@ -85,14 +87,15 @@ def lexicon_sentiment(
     # Shifted copies, zipped: the surplus rows at the end of each message have no token.
     shifted = [F.concat(F.array(*[F.lit("")] * d), "tokens").alias(f"before_{d}") for d in (1, 2, 3)]
     none = F.lit(None).cast("string")
-    whole = F.struct(F.lit("").alias("token"), *[none.alias(f"before_{d}") for d in (1, 2, 3)])
+    own_key = F.concat(F.lit(" "), F.pmod(F.xxhash64("message_id"), F.lit(ROW_KEYS)).cast("string"))
+    whole = F.struct(own_key.alias("token"), *[none.alias(f"before_{d}") for d in (1, 2, 3)])
     context = F.concat(F.array(whole), F.coalesce(F.arrays_zip(F.col("tokens").alias("token"), *shifted), F.array().cast(
         "array<struct<token: string, before_1: string, before_2: string, before_3: string>>")))
     size = F.coalesce(F.when(F.col("tokens").isNotNull(), F.size("tokens")), F.lit(0)).cast("bigint")
     placed = tokens.select("message_id", size.alias("size"), F.explode(context).alias("at")).select("message_id", "size", "at.*")
-    scored_words = lexicon.where("token <> '' AND valence <> 0").select("token", "valence")
-    one = messages.sparkSession.range(1).select(F.lit("").alias("token"), F.lit(0.0).alias("valence"))
-    known = placed.join(scored_words.unionByName(one), "token")
+    scored_words = lexicon.where("token <> '' AND NOT startswith(token, ' ') AND valence <> 0").select("token", "valence")
+    keys = messages.sparkSession.range(ROW_KEYS).select(F.concat(F.lit(" "), F.col("id").cast("string")).alias("token"), F.lit(0.0).alias("valence"))
+    known = placed.join(scored_words.unionByName(keys), "token")
 
     before = [F.coalesce(F.col(f"before_{d}"), F.lit("")) for d in (1, 2, 3)]
     push = F.lit(0.0)
@@ -111,7 +114,7 @@ def lexicon_sentiment(
         F.when(negated, boosted * NEGATION_FACTOR).otherwise(boosted),
     ).otherwise(F.lit(0.0))
 
-    scored = known.select("message_id", F.when(F.col("token") == "", F.col("size")).alias("size"), score.alias("s"))
+    scored = known.select("message_id", F.when(F.col("token").startswith(" "), F.col("size")).alias("size"), score.alias("s"))
     sums = scored.groupBy("message_id").agg(
         F.sum("s").alias("total"),
         F.sum(F.when(F.col("s") > 0, F.col("s") + 1).otherwise(F.lit(0.0))).alias("up"),

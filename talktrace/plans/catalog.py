@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,16 +16,19 @@ from ..operators import (
     daily,
     mentions,
     moments,
+    paths,
     postexit,
     roster,
     search,
     sentiment,
+    summaries,
     temporal,
     timeline,
 )
 from ..schemas import ColumnSpec, MESSAGE_COLUMNS, TableSpec, project_to
 from ..session import ensure_checkpoint_dir, local_table
 from ..sources import files, quality, store, submissions
+from ..streaming import state, windows
 from . import views
 from .views import CREATED_SQL, FIRST, LAST, NOW, ORIGIN, TITLE_SQL, sql
 
@@ -198,10 +200,8 @@ _POLL_SQL = f"""
     UNION ALL BY NAME SELECT 'poll' AS kind, * FROM ({_POLL_SQL} AND {CREATED_SQL} >= {_SINCE})
     UNION ALL BY NAME SELECT 'option' AS kind, * FROM ({_OPTION_SQL} WHERE created >= {_SINCE})"""))
 def ingest_since(spark, sf_dir):
-    pulled = submissions.ingest_since(views.submissions(spark, sf_dir), _SINCE, NOW)
-    tables = {"thread": pulled.threads, "message": pulled.messages, "poll": pulled.polls, "option": pulled.poll_options}
-    marked = [frame.withColumn("kind", F.lit(kind)) for kind, frame in tables.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
+    pulled = submissions.created_since(views.submissions(spark, sf_dir), _SINCE)
+    return submissions.flat_rows(pulled, NOW)
 
 
 @query(f"""
@@ -1039,3 +1039,147 @@ def ranked_threads(spark, sf_dir):
     stored = search.postings(shown, "thread_id", carry=()).checkpoint()
     asked = local_table(spark, list(enumerate(_THREAD_QUERIES)), query_id=pa.int64(), query=pa.string())
     return search.search(stored, asked, 20, "thread_id")
+
+
+# ---------------------------------------------------------------- windows and silences, the streams' batch forms
+
+
+@query(sql("aliases messages timed_mentions", """
+    , starts AS (SELECT created_epoch // 21600 * 21600 - 21600 * i AS start, entity, n FROM timed_mentions, range(4) AS r(i))
+    SELECT start, entity, count(*) AS messages, CAST(sum(n) AS BIGINT) AS n FROM starts GROUP BY start, entity"""))
+def sliding_mentions(spark, sf_dir):
+    """Mentions of each entity in windows of a day, every six hours."""
+    rows = mentions.mention_rows(_scan(spark, sf_dir, carry=("created_epoch",)))
+    return windows.sliding_mentions(rows.select("created_epoch", "entity", "n"))
+
+
+_SILENCE = 5_400
+
+
+@query(sql("aliases messages timed_mentions", f"""
+    , moments AS (SELECT DISTINCT entity, created_epoch FROM timed_mentions),
+    gaps AS (SELECT entity, lag(created_epoch) OVER (PARTITION BY entity ORDER BY created_epoch) AS since, created_epoch AS until FROM moments)
+    SELECT entity, since, until, until - since AS seconds FROM gaps WHERE until - since >= {_SILENCE}"""))
+def silences(spark, sf_dir):
+    """Stretches of an hour and a half or more in which an entity is not mentioned."""
+    rows = mentions.mention_rows(_scan(spark, sf_dir, carry=("created_epoch",)))
+    return state.silences_of(rows, "created_epoch", _SILENCE)
+
+
+# ---------------------------------------------------------------- paths and components
+
+
+@query(sql("aliases entities messages mentions edges totals", """
+    , closest AS (SELECT x, arg_min(y, (-weight, y)) AS y FROM totals GROUP BY x),
+    links AS (SELECT x, y FROM closest UNION SELECT y, x FROM closest),
+    walks(entity, hops) AS (
+        SELECT 'Amber Vale', 0 UNION SELECT y, hops + 1 FROM walks JOIN links ON entity = x WHERE hops < 10)
+    SELECT entity, CAST(min(hops) AS INTEGER) AS hops FROM entities LEFT JOIN walks USING (entity) GROUP BY entity""").replace("WITH ", "WITH RECURSIVE ", 1))
+def hop_distances(spark, sf_dir):
+    """Steps from one entity to all others along closest-neighbour ties."""
+    totals = comentions.edges_total(comentions.edges_daily(_sets(spark, sf_dir)))
+    ties = comentions.closest_neighbors(totals).select(F.col("name").alias("x"), F.col("closest_neighbor").alias("y"))
+    links = ties.unionByName(ties.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    start = views.entities(spark).where("entity = 'Amber Vale'")
+    return paths.hop_distances(links, start, views.entities(spark))
+
+
+_RUN_DAYS = (1, 3)
+
+
+@query(f"""
+    WITH errors AS (
+        SELECT user_id, min(CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS INTEGER)) AS day
+        FROM events WHERE event_type = 'error' GROUP BY user_id),
+    days AS (SELECT CAST(d AS INTEGER) AS until FROM range({_RUN_DAYS[0]}, {_RUN_DAYS[1] + 1}) AS r(d)),
+    nodes AS (
+        SELECT DISTINCT until, user_id + i AS node FROM days, errors, range(2) AS s(i) WHERE day <= until),
+    links AS (SELECT until, user_id AS node FROM days, errors WHERE day <= until),
+    runs AS (
+        SELECT n.until, n.node, CASE WHEN l.node IS NULL THEN n.node END AS head
+        FROM nodes n LEFT JOIN links l ON l.until = n.until AND l.node = n.node - 1)
+    SELECT until AS day, node, max(head) OVER (PARTITION BY until ORDER BY node) AS component FROM runs""")
+def components_by_day(spark, sf_dir):
+    """Users whose errors link them to the next user, joined up day by day."""
+    events = views.table(spark, sf_dir, "events").where("event_type = 'error'")
+    day = (F.datediff("ts", F.lit("2024-01-01")) + 1).alias("day")
+    links = events.select(day, F.col("user_id").alias("x"), (F.col("user_id") + 1).alias("y")).distinct()
+    return paths.components_by_day(links, *_RUN_DAYS)
+
+
+# ---------------------------------------------------------------- merging aggregates, cubes, trailing windows, local days
+
+
+@query(sql("aliases messages mentions", """
+    , ranked AS (
+        SELECT entity, compound, row_number() OVER (PARTITION BY entity ORDER BY compound) AS place, count(*) OVER (PARTITION BY entity) AS total
+        FROM mentions WHERE day BETWEEN 3 AND 26)
+    SELECT entity, max(total) AS n, max(compound) FILTER (place = (total * 50 + 99) // 100) AS p50,
+           max(compound) FILTER (place = (total * 90 + 99) // 100) AS p90
+    FROM ranked GROUP BY entity"""))
+def sentiment_percentiles(spark, sf_dir):
+    """Median and 90th percentile of the compound score per entity, from histograms by day."""
+    stored = summaries.value_histogram(_rows(spark, sf_dir), "compound", ["day", "entity"])
+    return summaries.percentiles(calendar.within_days(stored, 3, 26), ["entity"])
+
+
+@query(sql("aliases messages", r"""
+    , tokens AS (SELECT message_id, thread_id, day, unnest(regexp_extract_all(body, '[\p{L}\p{N}_]+')) AS alias FROM messages)
+    SELECT entity, count(DISTINCT message_id) AS messages, true AS close
+    FROM tokens JOIN aliases USING (alias) WHERE day BETWEEN 3 AND 26 GROUP BY entity"""))
+def distinct_messages(spark, sf_dir):
+    """Distinct messages per entity over a range of days, and whether the merged daily sketches come within 4 % of them."""
+    rows = calendar.within_days(_rows(spark, sf_dir), 3, 26)
+    estimated = summaries.distinct_counts(summaries.distinct_sketches(rows, "message_id", ["day", "entity"]), ["entity"])
+    exact = rows.groupBy("entity").agg(F.count_distinct("message_id").alias("messages"))
+    close = F.abs(F.col("estimate") - F.col("messages")) <= F.greatest(F.lit(1.0), F.col("messages") * 0.04)
+    return exact.join(estimated, "entity").select("entity", "messages", close.alias("close"))
+
+
+@query(sql("aliases messages threads", r"""
+    , tokens AS (
+        SELECT message_id, thread_id, author, day, unnest(regexp_extract_all(body, '[\p{L}\p{N}_]+')) AS alias FROM messages),
+    counted AS (SELECT thread_id, author, day, entity FROM tokens JOIN aliases USING (alias)),
+    typed AS (
+        SELECT day, entity, c.author, CASE WHEN title LIKE '%Daily Discussion%' THEN 'MID' WHEN lower(title) LIKE '%post%' THEN 'POST' ELSE 'PRE' END AS type
+        FROM counted c JOIN threads t USING (thread_id))
+    SELECT day, type, entity, CAST(grouping_id(day, type, entity) AS BIGINT) AS level, count(*) AS n, count(DISTINCT author) AS "distinct"
+    FROM typed GROUP BY CUBE (day, type, entity)"""))
+def mention_cube(spark, sf_dir):
+    """Mentions and distinct authors by day, thread type and entity, and all their totals."""
+    rows = mentions.mention_rows(_scan(spark, sf_dir, carry=("day", "thread_id", "author")))
+    typed = views.threads(spark, sf_dir).select("thread_id", labels.thread_type(F.col("title")).alias("type"))
+    return summaries.cube_counts(rows.join(typed, "thread_id"), ["day", "type", "entity"], "n", "author")
+
+
+@query(sql("aliases messages mentions daily", """
+    SELECT day, entity, n,
+           round(coalesce((SELECT sum(b.n) FROM daily b WHERE b.entity = a.entity AND b.day BETWEEN a.day - 6 AND a.day), 0) / 7.0, 6) AS mean,
+           round(coalesce((SELECT sum(b.n) FROM daily b WHERE b.entity = a.entity AND b.day BETWEEN a.day - 6 AND a.day), 0) / 7.0
+           - coalesce((SELECT sum(b.n) FROM daily b WHERE b.entity = a.entity AND b.day BETWEEN a.day - 13 AND a.day - 7), 0) / 7.0, 6) AS change
+    FROM daily a"""))
+def trailing_mentions(spark, sf_dir):
+    """Mean of the last seven days per entity and day, and its change against the seven days before."""
+    return summaries.trailing(_daily(spark, sf_dir)).withColumns(_round("mean", "change"))
+
+
+_ZONE, _ZONE_ORIGIN = "Europe/Berlin", "2024-03-20"
+# The moments of 2024 at which that zone goes to summer time and back.
+_SUMMER, _WINTER = 1_711_846_800, 1_729_990_800
+_SEASONS = (78, 288)
+
+
+@query(sql("aliases messages timed_mentions", f"""
+    , moved AS (SELECT created_epoch + s * 86400 AS moment, entity, n FROM timed_mentions, (VALUES {', '.join(f'({s})' for s in _SEASONS)}) AS v(s)),
+    local AS (SELECT entity, n, moment + CASE WHEN moment >= {_SUMMER} AND moment < {_WINTER} THEN 7200 ELSE 3600 END AS wall FROM moved),
+    dated AS (SELECT entity, n, CAST(date_diff('day', DATE '{_ZONE_ORIGIN}', DATE '1970-01-01' + CAST(wall // 86400 AS INTEGER)) + 1 AS INTEGER) AS day FROM local)
+    SELECT day, CASE WHEN day = 12 THEN 23 WHEN day = 222 THEN 25 ELSE 24 END AS hours, entity, CAST(sum(n) AS BIGINT) AS n
+    FROM dated GROUP BY day, entity"""))
+def daily_mentions_local(spark, sf_dir):
+    """Mentions per day of a zone's own calendar, over two seasons in which its clocks change."""
+    rows = mentions.mention_rows(_scan(spark, sf_dir, carry=("created_epoch",)))
+    seasons = F.explode(F.array(*[F.col("created_epoch") + s * 86_400 for s in _SEASONS])).alias("at")
+    moved = rows.select("entity", "n", seasons)
+    local = moved.select("entity", "n", calendar.local_day_index(F.col("at"), _ZONE, _ZONE_ORIGIN).alias("day"))
+    series = daily.daily_mentions(local)
+    return series.select("day", calendar.local_day_hours(F.col("day"), _ZONE, _ZONE_ORIGIN).alias("hours"), "entity", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -42,6 +43,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """The frame as a table in the checkpoint folder. Loops start their next plan from its files alone, of known size,
+    and carry over nothing of what the optimizer has inferred about earlier rounds."""
+    path = f"{checkpoint_folder(frame.sparkSession)}/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def local_table(spark: SparkSession, rows: Iterable[tuple], **columns: pa.DataType) -> DataFrame:
     """A small table of given rows.
 

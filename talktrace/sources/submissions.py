@@ -6,6 +6,7 @@ rerun yields the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -99,6 +100,50 @@ def created_since(submissions: DataFrame, start_epoch: int) -> DataFrame:
     return submissions.where(F.col("created_utc") >= start_epoch)
 
 
+def _element(kind: str, table: schemas.TableSpec, source: Callable[[str], Column | None], filled: dict[str, Column]) -> Column:
+    """A row of one table with the columns of all."""
+    own = {c.name: c for c in table.columns}
+
+    def value(name: str, type_: str) -> Column:
+        found = filled.get(name) if name in own else None
+        if found is None and name in own and own[name].attribute is not None:
+            found = source(own[name].attribute)
+        return (F.lit(None) if found is None else found).cast(type_).alias(name)
+
+    return F.struct(F.lit(kind).alias("kind"), *[value(n, t) for n, t in _ALL_COLUMNS.items()])
+
+
+_ALL_COLUMNS = {c.name: c.type for table in schemas.ALL_TABLES for c in table.columns}
+
+
+def flat_rows(submissions: DataFrame, now_epoch: int, include_messages: bool = True) -> DataFrame:
+    """All records of all four tables as rows of one: `kind` (thread, message, poll, option) and every table's columns, null
+    where a kind has none. The nested rows are read and parsed once.
+    """
+    now, thread = F.lit(now_epoch), F.col("id")
+
+    def author(of: Column | None = None) -> dict[str, Column]:
+        who = F.col("author") if of is None else of["author"]
+        return {"AuthorID": who["id"], "AuthorName": who["name"]}
+
+    def top(name: str) -> Column | None:
+        return F.col(f"`{name}`") if name in submissions.columns else None
+
+    poll = F.col("poll_data")
+    shared = {"PostID": thread, "insertionTimestamp": now}
+    of_thread = _element("thread", schemas.THREADS, top, {"insertionTimestamp": now, "isPoll": poll.isNotNull(), **author()})
+    of_poll = _element("poll", schemas.POLLS, lambda name: poll[name], shared)
+    options = F.transform(poll["options"], lambda o: _element("option", schemas.POLL_OPTIONS, lambda name: o[name], shared))
+    none = F.array().cast(f"array<struct<kind: string, {', '.join(f'{n}: {t}' for n, t in _ALL_COLUMNS.items())}>>")
+    parts = [F.array(of_thread), F.when(poll.isNotNull(), F.array(of_poll)), options]
+    if include_messages:
+        real = F.filter("comments", lambda c: c["kind"] != PLACEHOLDER)
+        parts.append(F.transform(real, lambda c: _element("message", schemas.MESSAGES, lambda name: c[name], {**shared, **author(c)})))
+    rows = F.concat(*[F.coalesce(p, none) for p in parts])
+    # From a conditional Spark infers no filter that would build the array once more.
+    return submissions.select(F.inline(F.when(F.length(F.coalesce(thread, F.lit(""))) >= 0, rows)))
+
+
 def ingest_since(submissions: DataFrame, start_epoch: int, now_epoch: int) -> FlatTables:
     """Everything of the submissions created at or after the start."""
     return flatten(created_since(submissions, start_epoch), now_epoch)
