@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -138,8 +139,13 @@ def scan(text: str | None) -> tuple:
     words = normalized(text)
     joined = b" ".join(words).decode("latin-1")
     exact, fuzzy = _search.exact(joined), _search.fuzzy(joined)
-    starts = [joined.count(" ", 0, at) for at, _, _ in exact]
-    spans = [f"{label}:{joined.count(' ', 0, a)}:{joined.count(' ', 0, b) + 1}" for a, b, label, _ in fuzzy]
+    spaces = np.flatnonzero(np.frombuffer(b" ".join(words), dtype=np.uint8) == 32)
+
+    def word_at(place: int) -> int:
+        return int(np.searchsorted(spaces, place))
+
+    starts = [word_at(at) for at, _, _ in exact]
+    spans = [f"{label}:{word_at(a)}:{word_at(b) + 1}" for a, b, label, _ in fuzzy]
     base = {label for _, _, label in exact}
     score = 1.0 if exact else max((s for *_, s in fuzzy), default=0.0)
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
@@ -158,7 +164,7 @@ def _scan(texts: pd.Series) -> pd.DataFrame:
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id and what `scan` finds, for every row of `docs` (doc_id, text; more columns are ignored).
 
-    A null text is empty: no words, no labels, score 0. Repeated rows are scanned each.
+    A null text is empty: no words, no labels, score 0. Repeated rows are scanned each. An empty table gives no rows.
     """
     found = F.pandas_udf(_scan, ", ".join(f"{name} {kind}" for name, kind in _TYPES.items()))
     return docs.select("doc_id", found("text").alias("found")).select("doc_id", "found.*")

@@ -14,6 +14,7 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -271,17 +272,42 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> BoostedTrees:
     return model
 
 
+class _Covered:
+    """Stretches of a text in order, without overlap."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end, _ in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, span: Span) -> bool:
+        before = bisect_left(self.starts, span[1]) - 1
+        return before >= 0 and self.ends[before] > span[0]
+
+    def add(self, span: Span) -> None:
+        """Of a span that meets none."""
+        at = bisect_left(self.starts, span[0])
+        self.starts.insert(at, span[0])
+        self.ends.insert(at, span[1])
+
+
 def all_spans(text: str, base: list[Span], model: BoostedTrees) -> list[Span]:
     """Base spans, and candidates over their kind's threshold that overlap neither them nor better candidates."""
     if not model.trees:
         return base
-    taken = list(base)
-    able = [c for c in candidates(text) if all(c[1] <= a or b <= c[0] for a, b, _ in base)]
+    taken, covered = list(base), _Covered(base)
+    able = [c for c in candidates(text) if not covered.meets(c)]
     if able:
         p = model.probability(np.array([features(text, c) for c in able]))
         for score, span in sorted(zip(p, able), key=lambda s: (-s[0], _order(s[1]))):
-            if score >= model.thresholds[span[2]] and all(span[1] <= a or b <= span[0] for a, b, _ in taken):
+            if score >= model.thresholds[span[2]] and not covered.meets(span):
                 taken.append(span)
+                covered.add(span)
     return sorted(taken, key=_order)
 
 
@@ -299,7 +325,7 @@ def _joined(spans: list[Span]) -> str:
 
 def find_personal_data(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of `docs` (doc_id, text; more columns
-    are ignored). A null text is empty and has no span. Repeated rows are scanned each."""
+    are ignored). A null text is empty and has no span. Repeated rows are scanned each. An empty table gives no rows."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, sample_docs))  # some kilobytes
 
     def found(texts: pd.Series) -> pd.DataFrame:
@@ -316,7 +342,9 @@ def find_personal_data(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataF
 
 
 def redact(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """`docs` with every span of its texts replaced by its kind in brackets; n_chars, where there is one, follows."""
+    """`docs` with every span of its texts replaced by its kind in brackets; n_chars, where there is one, follows.
+
+    Null texts stay null, empty ones empty; repeated rows are redacted each; an empty table gives no rows."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, sample_docs))
 
     def cleaned(texts: pd.Series) -> pd.Series:

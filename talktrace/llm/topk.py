@@ -27,20 +27,22 @@ BLOCK_ROWS = 2048
 COORDINATE_COSINE = 0.4
 FOCUS = 3
 _SLACK = 1e-9
-_OUT = "query_id long, vec_id long, score long"
+_OUT = "query_id long, vec_id long, score long, copies long"
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, vector (floor of `scale` times each component), norm; of each vec_id and vector one row.
+    """vec_id, vector (floor of `scale` times each component), norm, copies: one row for each vec_id and vector, with the
+    number of rows that it stands for.
 
     Rows without an id, without a vector, or with a null or non-finite component are left out.
     """
     broken = "exists(embedding, x -> x IS NULL OR isnan(x) OR abs(CAST(x AS DOUBLE)) = double('Infinity'))"
     whole = embeddings.where(f"vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT {broken}")
     scaled = f"transform(embedding, x -> floor({scale} * CAST(x AS DOUBLE)))"
-    vectors = whole.select(F.col("vec_id").cast("long"), F.expr(scaled).alias("vector")).distinct()
+    vectors = whole.select(F.col("vec_id").cast("long"), F.expr(scaled).alias("vector"))
+    vectors = vectors.groupBy("vec_id", "vector").agg(F.count("*").alias("copies"))
     norm = "sqrt(aggregate(vector, double(0), (a, x) -> a + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))"
-    return vectors.select("vec_id", "vector", F.expr(norm).alias("norm"))
+    return vectors.select("vec_id", "vector", F.expr(norm).alias("norm"), "copies")
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -62,7 +64,7 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(a.astype(object) @ b.T.astype(object), ends.min, ends.max).astype(np.int64)
 
 
-def _best(query_ids, floors, ids, scores, k) -> list[tuple[int, int, int]]:
+def _best(query_ids, floors, ids, copies, scores, k) -> list[tuple[int, int, int, int]]:
     """Of each query's scores the k best at its floor or above; its own id takes no part."""
     out = []
     for row, (query, floor) in enumerate(zip(query_ids, floors)):
@@ -71,15 +73,16 @@ def _best(query_ids, floors, ids, scores, k) -> list[tuple[int, int, int]]:
             kth = np.partition(scores[row, able], len(able) - k)[len(able) - k]
             able = able[scores[row, able] >= kth]
         able = able[np.lexsort((ids[able], -scores[row, able]))][:k]
-        out += [(query, int(ids[i]), int(scores[row, i])) for i in able]
+        out += [(query, int(ids[i]), int(scores[row, i]), int(copies[i])) for i in able]
     return out
 
 
-def search_chunk(queries: pd.DataFrame, chunk: pd.DataFrame, k: int) -> list[tuple[int, int, int]]:
-    """(query, vector, score): what a chunk adds to the k best of each query above its floor (null: none)."""
+def search_chunk(queries: pd.DataFrame, chunk: pd.DataFrame, k: int) -> list[tuple[int, int, int, int]]:
+    """(query, vector, score, copies): what a chunk adds to the k best of each query above its floor (null: none)."""
     width = max(map(len, [*queries["vector"], *chunk["vector"]]))
     chunk = chunk.sort_values(["norm", "vec_id"], ascending=[False, True])
     vectors, ids, norms = _matrix(chunk["vector"], width), chunk["vec_id"].to_numpy(), chunk["norm"].to_numpy()
+    copies = chunk["copies"].to_numpy()
     own, lengths = _matrix(queries["vector"], width), queries["norm"].to_numpy()
     names = queries["vec_id"].to_numpy()
     floors = queries["floor"].to_numpy(dtype=float, na_value=-np.inf)
@@ -92,7 +95,7 @@ def search_chunk(queries: pd.DataFrame, chunk: pd.DataFrame, k: int) -> list[tup
         able = np.where(lengths[part] > 0, floors[part] / np.where(lengths[part] > 0, lengths[part], 1), -np.inf)
         upto = int(np.searchsorted(-norms, -(able.min() * (1 - _SLACK) - _SLACK), side="right")) if able.min() > 0 else len(ids)
         if upto:
-            out += _best(names[part], floors[part], ids[:upto], _products(own[part], vectors[:upto]), k)
+            out += _best(names[part], floors[part], ids[:upto], copies[:upto], _products(own[part], vectors[:upto]), k)
     units = None
     for q in np.flatnonzero((cosine >= COORDINATE_COSINE) & (cosine <= 1 + _SLACK)):
         if units is None:
@@ -105,7 +108,7 @@ def search_chunk(queries: pd.DataFrame, chunk: pd.DataFrame, k: int) -> list[tup
             most = a * x + np.sqrt(np.clip((1 - a * a) * (1 - x * x), 0, None))
             able = able[most >= local[able]]
         if len(able):
-            out += _best(names[q : q + 1], floors[q : q + 1], ids[able], _products(own[q : q + 1], vectors[able]), k)
+            out += _best(names[q : q + 1], floors[q : q + 1], ids[able], copies[able], _products(own[q : q + 1], vectors[able]), k)
     return out
 
 
@@ -114,7 +117,7 @@ def _search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     def group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = search_chunk(left, right, k) if len(left) and len(right) else []
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype=np.int64)
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "copies"], dtype=np.int64)
 
     keys = ("class", "chunk", "block")
     return queries.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInPandas(group, _OUT)
@@ -126,7 +129,7 @@ def top_k(embeddings: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = K,
 
     `embeddings` has vec_id and embedding (array of numbers); more columns are ignored. See
     `integer_vectors` for rows that take no part; shorter vectors count as filled up with zeros, and rows
-    that share the query's vec_id are its own. Scores beyond a long saturate. An empty table gives no rows.
+    that share the query's vec_id are its own. Repeated rows are candidates each. Scores beyond a long saturate. An empty table gives no rows.
     """
     vectors = stored(integer_vectors(embeddings, scale))
     queries = stored(vectors.where(is_query))
@@ -162,5 +165,8 @@ def top_k(embeddings: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = K,
         able = F.filter(F.array(*rest), lambda c: F.col("floor").isNull() | (c["most"] * F.col("norm") * (1 + _SLACK) + _SLACK >= F.col("floor")))
         again = floored.withColumn("able", F.explode(able)).withColumn("class", F.col("able.class")).drop("able")
         found = first.union(_search(per_chunk(again), dealt.where(F.col("class") != longest), k))
-    ranked = found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+    leading = found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).drop("rank")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long"))))
+    single = leading.select("query_id", "vec_id", "score", each.alias("copy"))
+    ranked = single.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -224,12 +225,12 @@ def test_ngrams_and_filters_against_sets():
 
 
 def brute_top(rows, k=20):
-    able = {}
+    able = []
     for vec_id, v in rows:
         if vec_id is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            able.setdefault((vec_id, tuple(int(np.floor(64 * float(x))) for x in v)))
+            able.append((vec_id, tuple(int(np.floor(64 * float(x))) for x in v)))
     out = []
-    for q, a in able:
+    for q, a in dict.fromkeys(able):  # a query that is repeated is one
         if q % 20 == 0:
             scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in able if i != q)
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
@@ -255,6 +256,27 @@ def test_top_k_with_pruning_ties_and_faults(spark, scale, monkeypatch):
     assert Counter(map(tuple, topk.top_k(frame, k=7).collect())) == brute_top(rows, 7)
 
 
+def test_top_k_ranks_repeated_rows_each(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 5.0])] + [(3, [3.0, 0.0])] * 9 + [(20, [1.0, 1.0])] * 2
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (1, 4, 10, 30):
+        assert Counter(map(tuple, topk.top_k(frame, k=k).collect())) == brute_top(rows, k)
+
+
+def test_long_texts_take_linear_time():
+    def seconds(act, text):
+        start = time.process_time()
+        act(text)
+        return time.process_time() - start
+
+    model = pii.BoostedTrees()
+    model.trees, model.probability = [None], lambda x: np.zeros(len(x))
+    for act, unit in ((licenses.scan, "under the mit license "), (lambda t: pii.scan(t, model), "+1 (368) 555-0098 call. ")):
+        act(unit * 10)
+        short, long = unit * 8_000, unit * 32_000
+        assert seconds(act, long) < 12 * max(0.05, min(seconds(act, short) for _ in range(2)))
+
+
 def test_top_k_of_few_rows(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [-1.0])], "vec_id long, embedding array<float>")
     assert list(map(tuple, topk.top_k(frame).collect())) == [(0, 1, 1, -4096)]
