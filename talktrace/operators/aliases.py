@@ -13,6 +13,9 @@ from ..functions import text
 from ..functions.labels import short_label
 from ..session import local_table
 
+# The largest dictionary that becomes part of a plan.
+MOST_IN_PLAN = 50_000
+
 
 def alias_dictionary(wide: DataFrame, entity: str, alias_columns: Sequence[str], row_order: str) -> DataFrame:
     """Wide rows (entity and its aliases) to (alias, entity, alias_order).
@@ -73,11 +76,17 @@ class AliasBook:
 
     @classmethod
     def of(cls, aliases: DataFrame | AliasBook) -> AliasBook:
-        """The driver gets the dictionary, which has to fit there; `scan_mentions` says when it is needed."""
+        """The driver gets the dictionary, of at most MOST_IN_PLAN aliases; a larger one is refused, never cut.
+
+        `scan_mentions` says when it is needed: whole words are matched with dictionaries of any size.
+        """
         if isinstance(aliases, AliasBook):
             return aliases
         order = aliases.groupBy("alias").agg(F.min("alias_order").alias("alias_order"))
-        rows = unique_aliases(aliases).join(order, "alias").select("entity", "alias_order", "alias").collect()
+        wanted = unique_aliases(aliases).join(order, "alias").select("entity", "alias_order", "alias")
+        rows = wanted.limit(MOST_IN_PLAN + 1).collect()
+        if len(rows) > MOST_IN_PLAN:
+            raise ValueError(f"more than {MOST_IN_PLAN} aliases cannot be part of a plan; match them as whole words")
         return cls(tuple((r["alias"], r["entity"]) for r in sorted(rows)))
 
     def __len__(self) -> int:

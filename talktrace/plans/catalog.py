@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -25,11 +26,11 @@ from ..operators import (
     temporal,
     timeline,
 )
-from ..schemas import ColumnSpec, MESSAGE_COLUMNS, TableSpec, project_to
-from ..session import ensure_checkpoint_dir, local_table
+from ..schemas import ColumnSpec, MESSAGE_COLUMNS, MESSAGES, THREADS, TableSpec, project_to
+from ..session import checkpoint_folder, ensure_checkpoint_dir, local_table
 from ..sources import files, quality, store, submissions
 from ..streaming import state, windows
-from . import views
+from . import stored, views
 from .views import CREATED_SQL, FIRST, LAST, NOW, ORIGIN, TITLE_SQL, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -275,6 +276,134 @@ def load_quality(spark, sf_dir):
     return turns.withColumn("reason", quality.rejection(_TURNS, turns.columns))
 
 
+def _exported(frame: DataFrame) -> str:
+    """The frame as delimited files in the session's shared folder; their path."""
+    path = f"{checkpoint_folder(frame.sparkSession)}/{uuid.uuid4().hex}"
+    files.write_csv(frame, path)
+    return path
+
+
+def _message_export(spark: SparkSession, sf_dir: str) -> str:
+    none = F.lit(None).cast("string")
+    return _exported(views.messages(spark, sf_dir).select(
+        F.col("message_id").alias("CommentID"), F.col("thread_id").alias("PostID"), "permalink", none.alias("AuthorID"),
+        F.col("author").alias("AuthorName"), F.col("created_epoch").alias("createdDate"), "body", "score",
+        none.alias("parentID"), F.col("inserted_epoch").alias("insertionTimestamp"), "compound",
+    ))
+
+
+def _thread_export(spark: SparkSession, sf_dir: str) -> str:
+    return _exported(submissions.flatten_threads(views.submissions(spark, sf_dir), NOW).drop("isPoll"))
+
+
+def _roster_export(spark: SparkSession, sf_dir: str) -> str:
+    stints = roster.clean_roster(views.raw_roster(spark, sf_dir))
+    return _exported(stints.select(
+        F.col("entity").alias("Islander"), F.col("age").alias("Age"), F.col("hometown").alias("Hometown"),
+        F.col("entry_day").alias("ShowEntryDay"), F.col("leave_day").alias("ShowLeaveDay"),
+        F.col("leave_status").alias("OnLeaveStatus"), F.col("main_entry_day").alias("MainVillaEntryDay"),
+    ))
+
+
+def _timeline_export(spark: SparkSession, sf_dir: str) -> str:
+    """Events whose hour is 23 have a day that is not a number."""
+    unreadable = F.col("summary").endswith(" at 23")
+    return _exported(views.timeline(spark, sf_dir).select(
+        F.when(unreadable, F.lit("unknown")).otherwise(F.col("day").cast("string")).alias("Day"),
+        F.col("type").alias("Type"), F.col("summary").alias("Summary"), F.col("entity").alias("Islanders"),
+    ))
+
+
+@query(sql("messages", f"""
+    SELECT CAST(message_id AS VARCHAR) AS message_id, CAST(thread_id AS VARCHAR) AS thread_id, created_epoch, day, body,
+           author, score, compound, permalink, inserted_epoch, {_time_sql('created_epoch')} AS created
+    FROM messages"""))
+def load_messages_csv(spark, sf_dir):
+    loaded = files.load_messages(spark, _message_export(spark, sf_dir), ORIGIN)
+    return loaded.withColumn("created", _text_time("date")).drop("date", "author_id", "parent_id")
+
+
+@query(f"""
+    SELECT * EXCLUDE ("isPoll"), CASE WHEN title LIKE '%Daily Discussion%' THEN 'MID'
+                                      WHEN lower(title) LIKE '%post%' THEN 'POST' ELSE 'PRE' END AS type
+    FROM ({_THREAD_SQL})""")
+def load_threads_csv(spark, sf_dir):
+    return files.load_threads(spark, _thread_export(spark, sf_dir))
+
+
+@query(sql("raw_roster clean_roster", """
+    SELECT entity, age, hometown, entry_day, leave_day, leave_status, main_entry_day FROM clean_roster"""))
+def load_roster_csv(spark, sf_dir):
+    return files.load_roster(spark, _roster_export(spark, sf_dir))
+
+
+@query(sql("timeline", "SELECT day, type, summary, entity FROM timeline WHERE summary NOT LIKE '% at 23'"))
+def load_timeline_csv(spark, sf_dir):
+    return files.load_timeline(spark, _timeline_export(spark, sf_dir))
+
+
+@query(sql("raw_roster clean_roster dictionary timeline", """
+    SELECT 'messages' AS table_name, count(*) AS n FROM documents
+    UNION ALL SELECT 'threads', count(*) FROM documents
+    UNION ALL SELECT 'roster', count(*) FROM clean_roster
+    UNION ALL SELECT 'timeline', count(*) FROM timeline WHERE summary NOT LIKE '% at 23'
+    UNION ALL SELECT 'aliases', count(*) FROM dictionary
+    UNION ALL SELECT 'rejected timeline', count(*) FROM timeline WHERE summary LIKE '% at 23' HAVING count(*) > 0"""))
+def load_bundle(spark, sf_dir):
+    wide = views.wide_aliases(spark, sf_dir)
+    raw = files.load_raw(
+        spark, _message_export(spark, sf_dir), _thread_export(spark, sf_dir), _roster_export(spark, sf_dir),
+        _timeline_export(spark, sf_dir), _exported(wide.drop("row_no").withColumn("alias_4", F.lit(None).cast("string"))), ORIGIN,
+    )
+    tables = {"messages": raw.messages, "threads": raw.threads, "roster": raw.roster, "timeline": raw.timeline, "aliases": raw.aliases}
+    counts = raw.rejected.groupBy(F.concat(F.lit("rejected "), "table_name").alias("table_name")).agg(F.count("*").alias("n"))
+    for name, frame in tables.items():
+        counts = counts.unionByName(frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n"))
+    return counts
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> store.ArchiveStore:
+    """A new archive after two pulls, the second of the threads since a date, with a later insertion."""
+    archive = store.ArchiveStore(spark, f"archive_{uuid.uuid4().hex}")
+    archive.create_all()
+    nested = views.submissions(spark, sf_dir)
+    for pulled, now in ((nested, NOW), (submissions.created_since(nested, _SINCE), NOW + 60)):
+        archive.replace_into(THREADS, submissions.flatten_threads(pulled, now))
+        archive.replace_into(MESSAGES, submissions.flatten_messages(pulled, now))
+    return archive
+
+
+_LATER = f'CAST({NOW} + CASE WHEN "createdDate" >= {_SINCE} THEN 60 ELSE 0 END AS BIGINT) AS "insertionTimestamp"'
+
+
+@query(f"SELECT * REPLACE ({_LATER}) FROM ({_THREAD_SQL})")
+def archive_scan(spark, sf_dir):
+    return _archive(spark, sf_dir).scan(THREADS)
+
+
+@query("SELECT 't-' || doc_id AS \"PostID\" FROM documents")
+def archive_thread_ids(spark, sf_dir):
+    return _archive(spark, sf_dir).thread_ids()
+
+
+@query(sql("lines", f"""
+    SELECT * EXCLUDE (thread_created)
+             REPLACE (CAST({NOW} + CASE WHEN thread_created >= {_SINCE} THEN 60 ELSE 0 END AS BIGINT) AS "insertionTimestamp")
+    FROM ({_MESSAGE_SQL.replace('created + i AS "createdDate"', 'created AS thread_created, created + i AS "createdDate"')})
+    WHERE "createdDate" > {_SINCE - 86_400} AND "createdDate" < {_SINCE + 3 * 86_400}"""))
+def archive_between(spark, sf_dir):
+    return _archive(spark, sf_dir).created_between(MESSAGES, _SINCE - 86_400, _SINCE + 3 * 86_400)
+
+
+@query(sql("messages aliases mentions", """
+    SELECT day, entity, CAST(sum(n) AS BIGINT) AS n FROM mentions WHERE day BETWEEN 3 AND 26 GROUP BY day, entity"""))
+def stored_series(spark, sf_dir):
+    tables = store.Materialised(spark, f"analytics_{uuid.uuid4().hex}")
+    held = stored.StoredAnalytics(tables, views.messages(spark, sf_dir), views.book())
+    held.mention_sets()
+    return daily.daily_mentions(calendar.within_days(held.mention_rows(), 3, 26))
+
+
 # ---------------------------------------------------------------- derivations and roster
 
 
@@ -670,6 +799,13 @@ def day_digest(spark, sf_dir):
     return timeline.day_digest(views.timeline(spark, sf_dir), 1, 35)
 
 
+@query(sql("timeline", """
+    , spine AS (SELECT CAST(unnest(range(1, 36)) AS INTEGER) AS day)
+    SELECT DISTINCT day, type, summary FROM spine LEFT JOIN timeline USING (day)"""))
+def day_digest_rows(spark, sf_dir):
+    return timeline.day_digest_rows(views.timeline(spark, sf_dir), 1, 35)
+
+
 @query(sql(_STATS + " picked timeline", """
     , values AS (SELECT day, CAST(sum(n) AS BIGINT) AS value FROM dense
                  WHERE entity IN (SELECT entity FROM picked) GROUP BY day),
@@ -757,6 +893,13 @@ def moment_details(spark, sf_dir):
     return details.withColumns({c: F.array_join(c, ", ") for c in ("types", "entities")})
 
 
+@query(sql(_STATS + " picked timeline", _MENTION_BLOCKS + _EXTREMES + """
+    , placed_days AS (SELECT side, rank, unnest(days) AS day FROM moments)
+    SELECT DISTINCT side, rank, day, type, summary, entity FROM placed_days JOIN timeline USING (day)"""))
+def moment_records(spark, sf_dir):
+    return moments.moment_records(moments.extremes(_mention_blocks(spark, sf_dir)), views.timeline(spark, sf_dir))
+
+
 # The function's module of the same name is in use above, so this key is set by hand.
 for _registry in (QUERIES, ORACLES):
     _registry["moments"] = _registry.pop("top_moments")

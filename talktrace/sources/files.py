@@ -30,6 +30,16 @@ def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = Fal
     return split_unreadable(reader.csv(path))
 
 
+def write_csv(frame: DataFrame, path: str) -> None:
+    """Delimited files for `read_csv`: header, doubled quotes, outer blanks kept.
+
+    They come back unchanged, but for empty texts, which come back as null. Where texts hold line breaks they have to
+    be read with `multi_line`.
+    """
+    writer = frame.write.option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def with_day(messages: DataFrame, origin_epoch: int, epoch: str = "createdDate") -> DataFrame:
     """Add the UTC timestamp and the day index."""
     return messages.withColumns(

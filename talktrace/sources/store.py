@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -191,25 +192,34 @@ class ArchiveStore:
 
 
 class Materialised:
-    """Derived tables that are computed once, partitioned by day, and reloaded afterwards."""
+    """Derived tables that are computed once, partitioned by day, and reloaded afterwards.
 
-    def __init__(self, spark: SparkSession, database: str = "analytics"):
+    A name is a view of its newest version. The `previous` versions before it stay, so that plans which others
+    built on one of them still run after a recomputation.
+    """
+
+    def __init__(self, spark: SparkSession, database: str = "analytics", previous: int = 1):
         self.spark = spark
         self.database = database
+        self.previous = previous
         self._held: dict[str, DataFrame] = {}
 
+    def versions(self, name: str) -> list[str]:
+        """The stored versions of a table, oldest first: names carry their time."""
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database, f"{name}__*"))
+
     def replace(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """Compute and store, whether or not it exists."""
         self.release(name)
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
-        table, fresh = f"{self.database}.{name}", f"{name}__{uuid.uuid4().hex}"
+        table, fresh = f"{self.database}.{name}", f"{name}__{time.time_ns():020d}_{uuid.uuid4().hex}"
         # A busy day is split over several files instead of being written by one task.
         build().hint("rebalance", "day").write.partitionBy("day").saveAsTable(f"{self.database}.{fresh}")
-        # The name is a view that is switched once the new version is complete; then the others go.
+        # The name is a view that is switched once the new version is complete; then old ones go.
         self.spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {self.database}.{fresh}")
-        for version in self.spark.catalog.listTables(self.database, f"{name}__*"):
-            if version.name.lower() != fresh.lower():
-                self.spark.sql(f"DROP TABLE IF EXISTS {self.database}.{version.name}")
+        older = [v for v in self.versions(name) if v.lower() != fresh.lower()]
+        for version in older[: len(older) - self.previous]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.database}.{version}")
         return self.spark.table(table)
 
     def load(

@@ -249,3 +249,13 @@ def test_materialised(spark, rows):
         kept.load("t", lambda: 1 / 0, force=True)
     assert rows(kept.load("t", build(9)), "n") == {(4,)}
     assert "PartitionFilters: [isnotnull(day" in kept.load("t", build(5)).where("day = 1")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_files_are_read_back(spark, rows, tmp_path):
+    path = str(tmp_path / "out")
+    data = [(1, "t", ' "quoted", with, commas ', "", "x"), (2, "u", "two\nlines", "  kept  ", "y"), (3, "v", "end\\", "z", "w")]
+    frame = spark.createDataFrame(data, "Day int, Type string, Summary string, Islanders string, extra string").drop("extra")
+    files.write_csv(frame, path)
+    back = files.read_csv(spark, path, schemas.TIMELINE_CSV, multi_line=True)
+    assert rows(back.accepted, "Day", "Type", "Summary", "Islanders") == {tuple(v or None for v in row[:4]) for row in data}
+    assert back.rejected.isEmpty()

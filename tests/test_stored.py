@@ -40,3 +40,25 @@ def test_texts_are_only_read_when_forced(spark, rows):
 def test_unusable_dictionaries_are_refused(entries):
     with pytest.raises(ValueError):
         AliasBook(entries)
+
+
+def test_plans_on_the_version_before_still_run(spark, rows):
+    kept = Materialised(spark, "test_versions")
+
+    def build(value):
+        return lambda: spark.createDataFrame([(1, value)], "day int, n int")
+
+    before = kept.replace("t", build(1))
+    after = kept.replace("t", build(2))
+    assert rows(before, "n") == {(1,)} and rows(after, "n") == {(2,)}
+    kept.replace("t", build(3))
+    assert len(kept.versions("t")) == 2
+    assert rows(after, "n") == {(2,)} and rows(kept.load("t", build(4)), "n") == {(3,)}
+
+
+def test_dictionaries_too_large_for_a_plan_are_refused(spark, rows, monkeypatch):
+    monkeypatch.setattr("talktrace.operators.aliases.MOST_IN_PLAN", 2)
+    table = spark.createDataFrame([("a", "A", 1), ("b", "B", 2), ("c", "C", 3)], "alias string, entity string, alias_order int")
+    assert len(AliasBook.of(table.where("alias < 'c'"))) == 2
+    with pytest.raises(ValueError, match="more than 2"):
+        AliasBook.of(table)
