@@ -13,8 +13,11 @@ Many contents share one anchor word at the ends of a copied passage, so the cont
    send the hashes of the single strings of these runs through the same kind of index.
 4. Both answers go to the documents by doc_id, which remove what they cover.
 
-Arrays hold a content once for each batch, not for each document, and key ranges are of bounded size, so a
-passage in a third of all documents is no hot key. Texts are shuffled once, by doc_id, and used in 3 and 4.
+Arrays hold a content once for each batch, not for each document; what a batch decides by itself, its repeats and its
+crowded anchor words, is dealt to the key ranges in turn. An anchor word with more than CROWD contents in a batch is known
+to be shared: its entries go straight to step 3, and two of them, of the smallest and the largest document, stand
+for it in its key range. So a passage in a third of all documents, whose ends have a content for each of them, adds
+no more than CROWD entries of a batch to one group. Texts are shuffled once, by doc_id, and used in 3 and 4.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ K = 20
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 64
 BATCH_ENTRIES = 1 << 19
+CROWD = 16
 CHUNK_BYTES = 1 << 18
 SLICE_BYTES = 2 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -153,7 +157,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(out[0], dtype=np.uint64), out[1], out[2].astype(np.int64) + base
 
 
-def suffix_array(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[tuple, tuple]:
+def sorted_entries(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[tuple, tuple]:
     """Entries in order of their hashes (not of the bytes), each once with its smallest document; and those of its other documents."""
     order = np.lexsort((doc, b, a))
     a, b, doc = a[order], b[order], doc[order]
@@ -165,6 +169,29 @@ def suffix_array(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[tuple,
     return (a[new], b[new], doc[new]), (a[other], b[other], doc[other])
 
 
+def _anchors(a: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the sorted entries: its anchor word's number, entries, smallest and largest document."""
+    key = a >> _U(16)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(starts, append=len(key))
+    low, high = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
+    return tuple(np.repeat(column, sizes) for column in (np.arange(len(starts)), sizes, low, high))
+
+
+def crowded(a: np.ndarray, b: np.ndarray, doc: np.ndarray, crowd: int) -> tuple[tuple, tuple]:
+    """The entries that go to the key ranges; and those of anchor words with more than `crowd` entries of several documents,
+    which are known to be shared. Of these only one of the smallest and one of the largest document are among the former."""
+    if not len(a):
+        return (a, b, doc), (a, b, doc)
+    number, size, low, high = _anchors(a, doc)
+    known = (size > crowd) & (low < high)
+    keep = ~known
+    for end in (low, high):
+        at = np.flatnonzero(known & (doc == end))
+        keep[at[np.unique(number[at], return_index=True)[1]]] = True
+    return (a[keep], b[keep], doc[keep]), (a[known], b[known], doc[known])
+
+
 class LogIndex:
     """Sorted levels of geometrically falling size; an entry is in one level, with the smallest document so far."""
 
@@ -214,37 +241,38 @@ class LogIndex:
         if not self.levels:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         a, b, doc = self.levels[0]
-        key = a >> _U(16)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(starts, append=len(key))
-        mixed = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
-        keep = np.repeat(mixed, sizes)
+        _, _, low, high = _anchors(a, doc)
+        keep = low < high
         return a[keep], b[keep], doc[keep]
 
 
 # ---------------------------------------------------------------- the stages
 
 _REMOVED, _SHARED = 0, 1
-_BLOBS = "bucket int, batch long, data binary, repeats binary"
+_BLOBS = "bucket int, batch long, data binary, repeats binary, asked binary"
 _ANSWERS = "doc_id long, code long, kind int"
 
 
-def _blobs(entries: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pd.DataFrame]:
-    """Sorted arrays of a task's entries (a, b, doc_id), one for each of its batches, cut in key ranges."""
+def _blobs(entries: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, crowd: int | None = None) -> Iterator[pd.DataFrame]:
+    """Sorted arrays of a task's entries (a, b, doc_id), one for each of its batches, cut in key ranges.
+
+    What the batch has decided by itself needs no certain range: the parts are dealt to the ranges in turn.
+    """
     context = TaskContext.get()
     first = (context.partitionId() if context else 0) << 32
     for number, (a, b, doc) in enumerate(entries):
-        main, others = suffix_array(a, b, doc)
-        parts = []
-        for columns in (main, others):
-            of = ((columns[0] >> _U(32)) * _U(buckets)) >> _U(32)
-            parts.append((columns, np.searchsorted(of, np.arange(buckets + 1))))
+        main, others = sorted_entries(a, b, doc)
+        main, known = (main, tuple(c[:0] for c in main)) if crowd is None else crowded(*main, crowd)
+        turn = int(_mix(np.array([first + number], np.uint64))[0] % _U(buckets))
         rows = []
-        for bucket in range(buckets):
-            cut = [[c[at[bucket] : at[bucket + 1]] for c in columns] for columns, at in parts]
-            if len(cut[0][0]):
-                rows.append((bucket, first + number, _pack(*cut[0]), _pack(*cut[1])))
-        yield pd.DataFrame(rows, columns=["bucket", "batch", "data", "repeats"])
+        for place, columns in enumerate((main, others, known)):
+            of = ((columns[0] >> _U(32)) * _U(buckets)) >> _U(32)
+            at = np.searchsorted(of, np.arange(buckets + 1))
+            for bucket in np.flatnonzero(np.diff(at)).tolist():
+                packed = [None, None, None]
+                packed[place] = _pack(*(c[at[bucket] : at[bucket + 1]] for c in columns))
+                rows.append(((bucket + turn * (place > 0)) % buckets, first + number, *packed))
+        yield pd.DataFrame(rows, columns=["bucket", "batch", "data", "repeats", "asked"])
 
 
 def _batched(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int) -> Iterator[tuple]:
@@ -269,9 +297,10 @@ def _indexed(blobs: DataFrame, shared: bool) -> DataFrame:
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         index, rows = LogIndex(), []
-        for data, repeats in group.sort_values("batch")[["data", "repeats"]].itertuples(index=False):
-            rows.append((index.add(*_unpack(data)), _REMOVED))
-            rows.append((_unpack(repeats), _REMOVED))
+        for data, repeats, asked in group.sort_values("batch")[["data", "repeats", "asked"]].itertuples(index=False):
+            if data is not None:
+                rows.append((index.add(*_unpack(data)), _REMOVED))
+            rows += [(_unpack(part), kind) for part, kind in ((repeats, _REMOVED), (asked, _SHARED)) if part is not None]
         if shared:
             rows.append((index.shared_anchors(), _SHARED))
         return _answers(rows)
@@ -313,12 +342,13 @@ def _slices(texts: list[bytes]) -> Iterator[slice]:
             start, size = i + 1, 0
 
 
-def remove_repeated(docs: DataFrame, with_kept: bool = False) -> DataFrame:
+def remove_repeated(docs: DataFrame, with_kept: bool = False, batch: int = BATCH_ENTRIES, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of `docs`, and on demand kept, the bytes left.
 
     `docs` has doc_id and text; more columns are ignored. A byte is removed if a string of LENGTH bytes that covers
     it also starts in a document with a smaller doc_id, in the input. A null text is empty. Rows that share a
     doc_id are not earlier than each other; rows with a null doc_id are neither earlier nor later than any.
+    An empty table gives no rows. Results do not depend on `batch`, the entries of a sorted array, or `crowd`.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -332,7 +362,7 @@ def remove_repeated(docs: DataFrame, with_kept: bool = False) -> DataFrame:
                     first, _, a, b = chunk.runs()
                     yield a, b, ids[chunk.doc[first]]
 
-        yield from _blobs(_batched(parts(), BATCH_ENTRIES), buckets)
+        yield from _blobs(_batched(parts(), batch), buckets, crowd)
 
     arrays = keyed.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(run_arrays, _BLOBS)
     answers = stored(_indexed(arrays, shared=True))
@@ -352,7 +382,7 @@ def remove_repeated(docs: DataFrame, with_kept: bool = False) -> DataFrame:
                     asked = np.cumsum(inside)[at] > 0
                     yield wa[asked], wb[asked], ids[chunk.doc[at[asked]]]
 
-        yield from _blobs(_batched(parts(), BATCH_ENTRIES), buckets)
+        yield from _blobs(_batched(parts(), batch), buckets)
 
     def by_document(frame: DataFrame, *kinds: tuple[str, str]) -> DataFrame:
         lists = [F.collect_list(F.when(F.expr(kind), F.col("code"))).alias(name) for name, kind in kinds]  # a document's own

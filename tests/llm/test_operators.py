@@ -515,9 +515,31 @@ def test_repeated_strings_edges(spark, monkeypatch):
     docs = edge_docs(spark, rows, extra=("key", "codes", "runs", "n_bytes")).repartition(4)
     got = substrings.remove_repeated(docs, with_kept=True).collect()
     assert Counter(tuple(r)[:5] + (bytes(r.kept),) for r in got) == brute_repeats(rows)
+    for crowd in (1, 3):  # many batches, whose crowded anchor words skip the key ranges
+        got = substrings.remove_repeated(docs, with_kept=True, batch=100, crowd=crowd).collect()
+        assert Counter(tuple(r)[:5] + (bytes(r.kept),) for r in got) == brute_repeats(rows)
     assert substrings.remove_repeated(docs.limit(0)).count() == 0
 
 
+def test_a_crowded_anchor_word_adds_few_entries_of_a_batch():
+    rng = np.random.default_rng(5)
+    noise = lambda: bytes(rng.integers(97, 123, 60, dtype=np.uint8))
+    passage = bytes(rng.integers(97, 123, 300, dtype=np.uint8))
+    most = []
+    for documents in (500, 2_000):
+        texts, parts = [noise() + passage + noise() for _ in range(documents)], []
+        for chunk in substrings.chunks(texts):
+            first, _, a, b = chunk.runs()
+            parts.append((a, b, chunk.doc[first]))
+        main, _ = substrings.sorted_entries(*(np.concatenate(c) for c in zip(*parts)))
+        kept, known = substrings.crowded(*main, substrings.CROWD)
+        assert len(known[0]) >= documents  # at least an end has a content for each document
+        most.append(np.unique(kept[0] >> np.uint64(16), return_counts=True)[1].max())
+        rest = {(x, y) for x, y in zip(main[0], main[1])} - {(x, y) for x, y in zip(kept[0], kept[1])}
+        assert rest <= {(x, y) for x, y in zip(known[0], known[1])}
+    assert max(most) <= substrings.CROWD
+
+
 def test_runs_of_one_anchor_are_told_apart_by_their_content():
     rng = np.random.default_rng(8)
     texts = [bytes(rng.integers(97, 123, 200, dtype=np.uint8)) for _ in range(2_000)]
@@ -541,7 +563,7 @@ def test_levels_report_all_but_the_smallest_document():
         a, b, doc = rng.integers(0, 50, 30).astype(np.uint64), rng.integers(0, 2, 30).astype(np.uint16), rng.integers(0, 1_000, 30)
         for entry in zip(a.tolist(), b.tolist(), doc.tolist()):
             seen[entry[:2]].add(entry[2])
-        main, others = substrings.suffix_array(a, b, doc)
+        main, others = substrings.sorted_entries(a, b, doc)
         packed = substrings._unpack(substrings._pack(*main))
         reported += [*zip(*others), *zip(*index.add(*packed))]
     expected = {(a, b, d) for (a, b), docs in seen.items() for d in docs if d != min(docs)}
