@@ -14,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -55,11 +55,17 @@ class Page:
     pieces: list  # (node, text), or (node, None) at the bounds of blocks
 
 
-def parse(source: str) -> Page:
-    """The tree of a page, whatever its faults: unclosed elements end with their parent, stray ends are ignored."""
+def parse(source: str, marked: bool = False) -> Page:
+    """The tree of a page, whatever its faults: unclosed elements end with their parent, stray ends are ignored.
+
+    Open elements are found by their tag, so the time is in proportion to the page. Only with `marked`, for written
+    pages, do `data-main` attributes label elements.
+    """
     nodes = [Node("#page", frozenset(), -1, False)]
     pieces: list = [(0, None)]
     stack = [0]
+    open_at: dict[str, list] = defaultdict(list)  # tag to the places in the stack of its open elements
+    scopes: list = []  # those of elements beyond which nothing is closed without an end
 
     def text(value: str) -> None:
         if value:
@@ -70,10 +76,25 @@ def parse(source: str) -> Page:
 
     def close(count: int) -> None:
         for _ in range(count):
-            node = stack.pop()
-            if nodes[node].tag not in INLINE:
+            name = nodes[stack.pop()].tag
+            open_at[name].pop()
+            if name in _SCOPE:
+                scopes.pop()
+            if name not in INLINE:
                 pieces.append((stack[-1], None))
 
+    def close_open(tag: str) -> None:
+        """The elements that this tag's start ends."""
+        closing = _CLOSES.get(tag, {"p"})
+        while True:
+            depth = max((open_at[name][-1] for name in closing if open_at[name]), default=0)
+            barrier = next((place for place in reversed(scopes) if nodes[stack[place]].tag not in closing), 0)
+            if depth <= barrier:
+                return
+            close(len(stack) - depth)
+            if tag != "tr":
+                return
+
     at, end = 0, len(source)
     while at < end:
         token = _TOKEN.search(source, at)
@@ -86,20 +107,11 @@ def parse(source: str) -> Page:
             continue
         tag = token[2].lower()
         if token[1]:
-            open_tags = [nodes[n].tag for n in stack]
-            if tag in open_tags[1:]:
-                close(len(stack) - (len(open_tags) - 1 - open_tags[::-1].index(tag)))
+            if open_at[tag]:
+                close(len(stack) - open_at[tag][-1])
             continue
         if tag not in INLINE or tag in _CLOSES:
-            closing = _CLOSES.get(tag, {"p"})
-            for depth in range(len(stack) - 1, 0, -1):
-                name = nodes[stack[depth]].tag
-                if name in closing:
-                    close(len(stack) - depth)
-                    if tag != "tr":
-                        break
-                elif name in _SCOPE and name not in closing:
-                    break
+            close_open(tag)
         if tag == "br":
             pieces.append((stack[-1], " "))
         if tag in VOID:
@@ -111,13 +123,16 @@ def parse(source: str) -> Page:
         words = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower()
         hidden = nodes[parent].hidden or tag in HIDDEN or "hidden" in token[3].split()
         node = Node(tag, frozenset(_NAME_WORD.findall(words)), parent, hidden)
-        if "data-main" in attributes:
+        if marked and "data-main" in attributes:
             node.label = attributes["data-main"] == "1"
         nodes.append(node)
         if tag not in INLINE:
             pieces.append((parent, None))
         if token[3].rstrip().endswith("/") and tag in ("svg", "path"):
             continue
+        open_at[tag].append(len(stack))
+        if tag in _SCOPE:
+            scopes.append(len(stack))
         stack.append(len(nodes) - 1)
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.I).search(source, at)
@@ -359,7 +374,7 @@ def train(pages: DataFrame | None = None, sample_pages: int = SAMPLE_PAGES) -> P
     """Potentials from the written pages and at most about `sample_pages` rows of `pages`, chosen by hash."""
     model = TreeModel()
     for source in written_pages():
-        page = parse(source)
+        page = parse(source, marked=True)
         model.learn(page, labels_of(page), 10)
     if pages is not None:
         share = min(1.0, sample_pages / max(1, pages.count()))
@@ -380,7 +395,7 @@ def train(pages: DataFrame | None = None, sample_pages: int = SAMPLE_PAGES) -> P
         made = pages.where(draw).select("html").mapInPandas(counts, "what string, key string, parent string, label boolean, n long")
         totals = made.groupBy("what", "key", "parent", "label").agg(F.sum("n").alias("n"))
         # the corpus weighs as much as the written pages at most
-        rows = totals.orderBy(F.col("n").desc(), "what", "key", "parent", "label").limit(5_000).collect()
+        rows = totals.collect()  # of the sample's pages alone
         seen = sum(r["n"] for r in rows if r["what"] == "label")
         weight = min(1.0, sum(model.labels.values()) / seen) if seen else 0.0
         for r in rows:

@@ -275,6 +275,14 @@ def test_long_texts_take_linear_time():
         act(unit * 10)
         short, long = unit * 8_000, unit * 32_000
         assert seconds(act, long) < 12 * max(0.05, min(seconds(act, short) for _ in range(2)))
+    for start, middle, end in (("<i>", "", "<p>x"), ("<div>", "x", "</div>"), ("<li><td>", "", "</b></td>")):
+        short, long = (start * n + middle + end * n for n in (4_000, 16_000))
+        assert seconds(htmltext.parse, long) < 12 * max(0.05, min(seconds(htmltext.parse, short) for _ in range(2)))
+
+
+def test_pages_cannot_label_themselves():
+    source = '<div data-main="1">x</div>'
+    assert htmltext.parse(source).nodes[1].label is None and htmltext.parse(source, marked=True).nodes[1].label is True
 
 
 def test_top_k_of_few_rows(spark):
