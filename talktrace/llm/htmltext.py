@@ -6,7 +6,9 @@ edges. Sum-product messages go up and down the tree once and yield exact margina
 more likely content than not is kept.
 
 All potentials are estimated from labelled pages: a few written here, which show what real pages surround an
-article with, and a bounded sample of the corpus, labelled by its own article elements where it has one.
+article with, and a bounded sample of the corpus, labelled by its own article elements where it has one. The written
+pages are learned once as they are and once without names and meanings, so that an element's place, its share of the
+page's text and its controls have to tell what it is where names are foreign or missing.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 SAMPLE_PAGES = 500
 SMOOTHING = 0.5
+MAIN_SHARE = 0.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|$)|<[!?][^>]*(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME_WORD = re.compile(r"[a-z]+")
@@ -32,6 +35,8 @@ HIDDEN = frozenset("head script style title template noscript textarea select op
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 GENERIC = frozenset(("div", "span"))
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_CONTROLS = frozenset("button input select textarea label".split())
+_HOLDERS = frozenset("article aside div footer form header main nav ol section td ul".split())
 _SCOPE = frozenset("article aside body div footer form header html main nav ol section table td th tr ul blockquote".split())
 
 
@@ -47,6 +52,11 @@ class Node:
     linked: int = 0
     total: int = 0
     total_linked: int = 0
+    visible: int = 0
+    share: float = 0.0  # of the page's visible text
+    controls: int = 0  # buttons and fields inside
+    headed: bool = False  # has a first heading inside
+    outside: bool = False  # not in the innermost element, sections aside, that holds a first heading and most of the text
 
 
 @dataclass
@@ -141,10 +151,26 @@ def parse(source: str, marked: bool = False) -> Page:
             at = stop.end() if stop else end
     for node in reversed(nodes):  # children follow their parents
         node.total += node.chars
+        node.visible += 0 if node.hidden else node.chars
         node.total_linked += node.chars if node.tag == "a" else node.linked
         if node.parent >= 0:
-            nodes[node.parent].total += node.total
-            nodes[node.parent].linked += node.total_linked
+            above = nodes[node.parent]
+            above.total += node.total
+            above.linked += node.total_linked
+            above.visible += node.visible
+            above.controls += node.controls + (node.tag in _CONTROLS)
+            above.headed |= node.headed or node.tag == "h1"
+    main = 0
+    for i, node in enumerate(nodes):
+        node.share = node.visible / nodes[0].visible if nodes[0].visible else 0.0
+        if node.tag in _HOLDERS and node.tag != "section" and node.headed and node.share >= MAIN_SHARE:
+            main = i
+    above, at = set(), main
+    while at > 0:
+        at = nodes[at].parent
+        above.add(at)
+    for i, node in enumerate(nodes):
+        node.outside = i != main and i not in above and (node.parent in above or (i > 0 and nodes[node.parent].outside))
     return Page(nodes, pieces)
 
 
@@ -159,9 +185,17 @@ def features(node: Node) -> list[str]:
         f"links:{min(3, int(4 * density))}",
         *([f"text:{min(4, int(math.log10(node.total)))}"] if node.total >= 100 else []),
         *(f"name:{n}" for n in sorted(node.names)),
+        *(["outside"] if node.outside else []),
+        *(holder(node) if node.tag in _HOLDERS else []),
     ]
 
 
+def holder(node: Node) -> list[str]:
+    """What an element that holds blocks shows by its place in the page, whatever its names."""
+    share = 0 if node.share < 0.1 else 1 if node.share < 0.25 else 2 if node.share < 0.5 else 3
+    return [f"share:{share}{'/headed' if node.headed else ''}", *(["controls"] if node.controls and node.share < 0.5 else [])]
+
+
 def _kind(tag: str) -> str:
     return "inline" if tag in INLINE else tag if tag in _SCOPE else "block"
 
@@ -342,6 +376,12 @@ def written_pages() -> list[str]:
     return pages
 
 
+def unnamed(source: str) -> str:
+    """The page without the names and meanings of its elements: only structure is left to learn from."""
+    plain = re.sub(r"(</?)(?:article|aside|footer|header|main|nav|section)\b", r"\1div", source)
+    return re.sub(r' (?:class|id|role)="[^"]*"', "", plain)
+
+
 def labels_of(page: Page) -> list[bool] | None:
     """Every element's label: that of the nearest marked element above. What only holds content is content too."""
     nodes = page.nodes
@@ -374,8 +414,9 @@ def train(pages: DataFrame | None = None, sample_pages: int = SAMPLE_PAGES) -> P
     """Potentials from the written pages and at most about `sample_pages` rows of `pages`, chosen by hash."""
     model = TreeModel()
     for source in written_pages():
-        page = parse(source, marked=True)
-        model.learn(page, labels_of(page), 10)
+        for form in (source, unnamed(source)):
+            page = parse(form, marked=True)
+            model.learn(page, labels_of(page), 5)
     if pages is not None:
         share = min(1.0, sample_pages / max(1, pages.count()))
         draw = F.pmod(F.xxhash64(F.lit(2), "page_id"), F.lit(1 << 30)) < int(share * (1 << 30))
@@ -412,7 +453,7 @@ def train(pages: DataFrame | None = None, sample_pages: int = SAMPLE_PAGES) -> P
 def extract(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every row of `pages` (page_id, url, html; more columns are ignored).
 
-    A null or empty page has an empty text. Repeated rows are extracted each.
+    A null or empty page has an empty text. Repeated rows are extracted each. An empty table gives no rows.
     """
     model = pages.sparkSession.sparkContext.broadcast(train(pages, sample_pages))  # some kilobytes
 

@@ -144,6 +144,28 @@ def test_main_text_edges(spark):
     assert htmltext.extract(frame.limit(0)).count() == 0
 
 
+def test_main_text_without_articles_or_known_names():
+    words = "Officials confirmed the ferry timetable would change next month after residents along the shore complained".split()
+
+    def prose(n, k=0):
+        return " ".join(words[(k + 7 * i + i // 5) % len(words)] for i in range(n)) + "."
+
+    blocks = [prose(6), prose(60, 1), prose(70, 2), prose(45, 3)]
+    article = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+    frames = ['<div class="inhalt">{}</div>', "<div>{}</div>", "<main>{}</main>", '<div class="cuerpo"><div class="texto">{}</div></div>', "<table><tr><td>{}</td></tr></table>"]
+    before = f'<div id="cc-window"><p>{prose(22, 4)}</p><button>OK</button></div><div class="kopf"><a href="/">Start</a> <a href="/x">Sport</a></div>'
+    after = (
+        f'<div class="kommentare"><div class="k"><b>Ute</b><p>{prose(12, 3)}</p></div><div class="k"><b>Jan</b><p>{prose(14, 5)}</p></div></div>'
+        f'<div class="rechts"><h4>{prose(2)}</h4><ul><li><a href="/a">{prose(4)}</a></li></ul></div><div><p>{prose(12, 7)}</p></div>'
+    )
+    sections = f'<div class="z"><section><h1>{prose(5)}</h1><p>{prose(60, 1)}</p></section><section><h2>{prose(3, 2)}</h2><p>{prose(40, 4)}</p></section></div>'
+    model = htmltext.train()
+    for frame in frames:
+        assert htmltext.main_text(f"<html><body>{before}{frame.format(article)}{after}</body></html>", model) == "\n".join(blocks)
+    assert htmltext.main_text(f"<html><body>{sections}</body></html>", model) == "\n".join((prose(5), prose(60, 1), prose(3, 2), prose(40, 4)))
+    assert htmltext.main_text(f"<html><body>{article}</body></html>", model) == "\n".join(blocks)
+
+
 def test_marginals_match_enumeration():
     page = htmltext.parse("<div class=ad><p>some words here</p></div><article><h1>T</h1><p>x <a href=y>z</a></p></article>")
     model = htmltext.train()
