@@ -1184,6 +1184,23 @@ def ranked_threads(spark, sf_dir):
     return search.search(stored, asked, 20, "thread_id")
 
 
+_PULL_QUERY = "Daily Discussion post of the day"
+
+
+@query(sql("lines options", f""", best AS (WITH {_ranked_sql(
+        f"SELECT 't-' || doc_id AS id, concat_ws(' ', {TITLE_SQL}, text) AS body FROM documents WHERE {CREATED_SQL} >= {_SINCE}", "id",
+        f"SELECT CAST(0 AS BIGINT) AS query_id, '{_PULL_QUERY}' AS query", 20)}),
+    pulled AS (
+        SELECT 'thread' AS kind, * FROM ({_THREAD_SQL})
+        UNION ALL BY NAME SELECT 'message' AS kind, * FROM ({_MESSAGE_SQL})
+        UNION ALL BY NAME SELECT 'poll' AS kind, * FROM ({_POLL_SQL})
+        UNION ALL BY NAME SELECT 'option' AS kind, * FROM ({_OPTION_SQL}))
+    SELECT rank, pulled.* FROM pulled JOIN best ON "PostID" = id"""))
+def ranked_pull(spark, sf_dir):
+    """All four tables of the threads that suit a query text best, from one pass over the found threads' nested rows."""
+    return submissions.ranked_pull(views.submissions(spark, sf_dir), _PULL_QUERY, NOW, 20, _SINCE)
+
+
 # ---------------------------------------------------------------- windows and silences, the streams' batch forms
 
 

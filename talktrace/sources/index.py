@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.calendar import within_days
 from ..operators.search import postings, search, terms
+from ..session import written
 from .store import _only_touched_partitions
 
+# The partition of messages without a day.
+NO_DAY = -(1 << 30)
+
 
 class SearchIndex:
     """Postings of messages. An update rewrites the days that it touches; a search reads its terms and days.
@@ -25,13 +29,18 @@ class SearchIndex:
         )
 
     def postings(self, first: int | None = None, last: int | None = None) -> DataFrame:
+        """All postings, or those of a range of days."""
+        if first is None and last is not None:
+            first = NO_DAY + 1
         return within_days(self.spark.table(self.table), first, last)
 
     def update(self, messages: DataFrame) -> None:
         """Index new and changed messages (message_id, day, body), unique by id; others stay as they are.
 
-        A message that was indexed before, on whatever day, is replaced.
+        A message that was indexed before, on whatever day, is replaced; one that has lost its words leaves the index. Messages
+        without a day are kept under NO_DAY, outside of every range.
         """
+        messages = messages.withColumn("day", F.coalesce("day", F.lit(NO_DAY)))
         ids = messages.select("message_id")
         held = self.postings().where("lead").select("message_id", "day").join(ids, "message_id", "left_semi")
         days = {r[0] for r in held.select("day").union(messages.select("day")).distinct().collect()}  # the calendar's
@@ -39,15 +48,12 @@ class SearchIndex:
             return
         kept = self.postings().where(F.col("day").isin(sorted(days))).join(ids, "message_id", "left_anti")
         columns = ("term", "message_id", "tf", "length", "lead", "day")
-        merged = kept.select(*columns).unionByName(postings(messages).select(*columns))
-        ordered = merged.hint("rebalance", "day").sortWithinPartitions("day", "term")
+        fresh = written(postings(messages).select(*columns))
+        filled = {r[0] for r in kept.select("day").union(fresh.select("day")).distinct().collect()}
+        ordered = kept.select(*columns).unionByName(fresh).hint("rebalance", "day").sortWithinPartitions("day", "term")
         with _only_touched_partitions(self.spark):
             ordered.write.mode("overwrite").insertInto(self.table)
-        for day in sorted(days):  # a day that lost its last message was not written
-            left = self.spark.table(self.table).where(F.col("day") == day).select("message_id").distinct()
-            now = messages.where(F.col("day") == day).select("message_id")
-            if left.join(ids, "message_id", "left_semi").join(now, "message_id", "left_anti").isEmpty():
-                continue
+        for day in sorted(days - filled):  # days that have lost their last posting are not written above
             self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS PARTITION (day = {day})")
 
     def search(self, queries: DataFrame, k: int = 10, first: int | None = None, last: int | None = None) -> DataFrame:

@@ -6,13 +6,15 @@ rerun yields the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas
+from ..operators.search import postings, search
 from ..schemas import project_to
+from ..session import written
 
 # Fixed value: the kind of a placeholder for messages that were not fetched.
 PLACEHOLDER = "more"
@@ -116,9 +118,9 @@ def _element(kind: str, table: schemas.TableSpec, source: Callable[[str], Column
 _ALL_COLUMNS = {c.name: c.type for table in schemas.ALL_TABLES for c in table.columns}
 
 
-def flat_rows(submissions: DataFrame, now_epoch: int, include_messages: bool = True) -> DataFrame:
+def flat_rows(submissions: DataFrame, now_epoch: int, include_messages: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """All records of all four tables as rows of one: `kind` (thread, message, poll, option) and every table's columns, null
-    where a kind has none. The nested rows are read and parsed once.
+    where a kind has none, after the submission's columns to `carry`. The nested rows are read and parsed once.
     """
     now, thread = F.lit(now_epoch), F.col("id")
 
@@ -141,7 +143,7 @@ def flat_rows(submissions: DataFrame, now_epoch: int, include_messages: bool = T
         parts.append(F.transform(real, lambda c: _element("message", schemas.MESSAGES, lambda name: c[name], {**shared, **author(c)})))
     rows = F.concat(*[F.coalesce(p, none) for p in parts])
     # From a conditional Spark infers no filter that would build the array once more.
-    return submissions.select(F.inline(F.when(F.length(F.coalesce(thread, F.lit(""))) >= 0, rows)))
+    return submissions.select(*carry, F.inline(F.when(F.length(F.coalesce(thread, F.lit(""))) >= 0, rows)))
 
 
 def ingest_since(submissions: DataFrame, start_epoch: int, now_epoch: int) -> FlatTables:
@@ -157,6 +159,26 @@ def search_threads(submissions: DataFrame, query: str, start_epoch: int | None =
     return found if start_epoch is None else created_since(found, start_epoch)
 
 
+def ranked_pull(
+    submissions: DataFrame, query: str, now_epoch: int, k: int = 100, start_epoch: int | None = None, include_messages: bool = True
+) -> DataFrame:
+    """`rank` and the `flat_rows` of the k threads whose title and own text suit the query best, by BM25, ties to the smaller id.
+
+    Only threads created at or after the start are searched and counted, in contrast to a search whose results are
+    filtered by time afterwards. A thread without an id, a title or a text that the query's terms occur in is not found, nor is
+    any by a query without a term; submissions that share an id are ranked by all their texts and are all given.
+
+    Searching reads ids, titles and own texts; the nested rows are read for the k found alone, which are few enough to
+    broadcast whatever the number of threads.
+    """
+    able = submissions.where(F.col("id").isNotNull())
+    able = able if start_epoch is None else created_since(able, start_epoch)
+    texts = able.select("id", F.concat_ws(" ", "title", "selftext").alias("body"))
+    asked = submissions.sparkSession.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("query"))
+    ranked = written(search(written(postings(texts, "id", carry=())), asked, k, "id").select("id", "rank"))
+    return flat_rows(able.join(F.broadcast(ranked), "id"), now_epoch, include_messages, carry=["rank"])
+
+
 def thread_by_id(
     submissions: DataFrame, thread_id: str, now_epoch: int, include_messages: bool = True
 ) -> FlatTables:

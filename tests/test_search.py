@@ -70,6 +70,19 @@ def test_index_updates_equal_a_rebuild(spark, rows):
     assert got == {r[:3] for r in brute(list(now.values()), 5)}
 
 
+def test_days_that_lose_their_words_and_messages_without_a_day(spark, rows):
+    index = SearchIndex(spark, "search_days")
+    columns = ("term", "message_id", "day", "tf", "length", "lead")
+    index.update(messages(spark, [(1, 1, "one cat"), (2, 2, "two cats"), (3, None, "a cat of no day")]))
+    index.update(messages(spark, [(1, 1, "..."), (4, None, "another cat")]))
+    assert index.postings(1, 1).count() == 0
+    assert {r[0] for r in rows(index.find("cat"), "message_id")} == {3, 4}
+    assert {r[0] for r in rows(index.postings(None, 5), "message_id")} == {2}
+    index.update(messages(spark, [(3, 2, "found its day"), (4, None, None)]))
+    assert rows(index.postings(), *columns) == rows(
+        search.postings(messages(spark, [(2, 2, "two cats"), (3, 2, "found its day")])), *columns)
+
+
 def test_a_search_reads_terms_and_days_only(spark, rows):
     index = SearchIndex(spark, "search_reads")
     index.update(messages(spark, BODIES))

@@ -131,6 +131,22 @@ def test_pulls_searches_and_lookups(nested, rows):
     assert submissions.thread_by_url(nested, "u2", 9).messages.count() == 0
 
 
+def test_ranked_pull_gives_all_tables_of_the_best_threads(spark, nested, rows):
+    found = submissions.ranked_pull(nested, "daily DISCUSSION of cats", 9)
+    assert rows(found, "rank", "kind", "PostID") == {(1, "thread", "p2")}
+    both = submissions.ranked_pull(nested.withColumn("selftext", F.lit("cats")), "daily cats", 9)
+    assert rows(both, "rank", "kind", "CommentID", "PollOptionID") == {
+        (1, "thread", None, None), (2, "thread", None, None), (2, "message", "c1", None), (2, "message", "c2", None),
+        (2, "poll", None, None), (2, "option", None, "o1"), (2, "option", None, "o2"),
+    }
+    assert rows(submissions.ranked_pull(nested.withColumn("selftext", F.lit("cats")), "cats", 9, 1, 60, False), "kind") == {("thread",), ("poll",), ("option",)}
+    for nothing in ("*", "", "absent"):
+        assert submissions.ranked_pull(nested, nothing, 9).count() == 0
+    assert submissions.ranked_pull(nested.limit(0), "daily", 9).count() == 0
+    unnamed = nested.withColumn("id", F.lit(None).cast("string"))
+    assert submissions.ranked_pull(unnamed, "daily", 9).count() == 0
+
+
 def _options(spark, *data):
     return spark.createDataFrame(
         list(data), "PollOptionID string, PostID string, text string, voteCount long, insertionTimestamp long"
