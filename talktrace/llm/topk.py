@@ -7,7 +7,9 @@ turns into a local cosine threshold. Where this is high, vectors are pruned by t
 whose share in one of the query's largest coordinates is x has cosine a x + sqrt((1 - a^2)(1 - x^2)) at most.
 Where it is low, they are pruned by length. What is left is verified by integer products.
 
-Queries are dealt in blocks, so a task holds one chunk and one block, whatever the number of either.
+Queries are dealt in blocks, so a task holds one chunk and one block, whatever the number of either. After the longest
+class the blocks are ranges of the length that a vector needs to reach its query's score, so the blocks that a class can
+still serve are the first ones, and its vectors are sent to those alone.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ K = 20
 SCALE = 64
 CLASSES = 32
 LEAST_CLASS = 256
-CHUNK_ROWS = 4096
-BLOCK_ROWS = 2048
+CHUNK_ROWS = 16384
+BLOCK_ROWS = 8192
 COORDINATE_COSINE = 0.4
 FOCUS = 3
 _SLACK = 1e-9
@@ -123,6 +125,29 @@ def _search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return queries.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInPandas(group, _OUT)
 
 
+def by_need(floored: DataFrame, blocks: int) -> DataFrame:
+    """Queries (vec_id, norm, floor, ...) with `need`, the length below which no vector reaches the floor (null: any may), and
+    `block`, from 0, which are ranges of it, of like size. Equal needs are split by the query's id."""
+    need = F.when(F.col("norm") > 0, (F.col("floor") - _SLACK) / (F.col("norm") * (1 + _SLACK)))
+    dealt = floored.withColumn("need", need).repartitionByRange(blocks, F.col("need").asc_nulls_first(), F.xxhash64("vec_id"))
+    return dealt.withColumn("block", F.spark_partition_id())
+
+
+def blocks_served(floored: DataFrame, lengths: dict[int, float]) -> dict[int, int]:
+    """For each class, by its greatest length, how many of the first blocks hold a query that it can serve."""
+    served = [F.max(F.when(F.col("need").isNull() | (F.col("need") <= most), F.col("block"))).alias(str(c)) for c, most in lengths.items()]
+    last = floored.agg(*served).first()  # one number for each class
+    return {c: 0 if last[str(c)] is None else last[str(c)] + 1 for c in lengths}
+
+
+def _sent(chunked: DataFrame, served: dict[int, int]) -> DataFrame:
+    """The vectors of the given classes, once for each of the first blocks that their class serves."""
+    able = {c: n for c, n in served.items() if n > 0}
+    number = F.coalesce(*[F.when(F.col("class") == c, F.lit(n)) for c, n in able.items()], F.lit(0))
+    sent = chunked.where(F.col("class").isin(list(able)))
+    return sent.withColumn("block", F.explode(F.when(number > 0, F.sequence(F.lit(0), number - 1))))
+
+
 def top_k(embeddings: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row that `is_query` selects, the k other rows with the
     highest inner products, ties to the smaller vec_id; all others if there are fewer.
@@ -145,26 +170,27 @@ def top_k(embeddings: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = K,
     chunks = [-(-measured[c]["n"] // CHUNK_ROWS) if c in measured else 1 for c in range(classes)]
     blocks = max(1, -(-asked // BLOCK_ROWS))
     salt = F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*map(F.lit, chunks)), F.col("class") + 1))
-    dealt = classed.withColumn("chunk", salt).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked_of = queries.withColumn("block", row_salt(blocks, "vec_id").cast("int"))
+    chunked = classed.withColumn("chunk", salt)
+    longest = min(measured)
 
     def per_chunk(frame: DataFrame) -> DataFrame:
         wide = F.sequence(F.lit(0).cast("long"), F.element_at(F.array(*map(F.lit, chunks)), F.col("class") + 1) - F.lit(1).cast("long"))
         return frame.withColumn("chunk", F.explode(wide))
 
-    longest = min(measured)
-    first_asked = per_chunk(asked_of.withColumns({"class": F.lit(longest), "floor": F.lit(None).cast("double")}))
-    first = stored(_search(first_asked, dealt.where(F.col("class") == longest), k))
+    asked_first = queries.withColumns({
+        "block": row_salt(blocks, "vec_id").cast("int"), "class": F.lit(longest), "floor": F.lit(None).cast("double")})
+    first = stored(_search(per_chunk(asked_first), _sent(chunked, {longest: blocks}), k))
     by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     kth = first.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k)
     floors = kth.select(F.col("query_id").alias("of"), F.col("score").cast("double").alias("floor"))
-    floored = asked_of.join(floors, F.col("vec_id") == F.col("of"), "left").drop("of")
-    rest = [F.struct(F.lit(c).alias("class"), F.lit(measured[c]["most"]).alias("most")) for c in sorted(measured) if c != longest]
+    rest = {c: measured[c]["most"] for c in sorted(measured) if c != longest}
     found = first
     if rest:
-        able = F.filter(F.array(*rest), lambda c: F.col("floor").isNull() | (c["most"] * F.col("norm") * (1 + _SLACK) + _SLACK >= F.col("floor")))
-        again = floored.withColumn("able", F.explode(able)).withColumn("class", F.col("able.class")).drop("able")
-        found = first.union(_search(per_chunk(again), dealt.where(F.col("class") != longest), k))
+        floored = stored(by_need(queries.join(floors, F.col("vec_id") == F.col("of"), "left").drop("of"), blocks))
+        lengths = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(most).alias("most")) for c, most in rest.items()])
+        able = F.filter(lengths, lambda c: F.col("need").isNull() | (c["most"] >= F.col("need")))
+        again = floored.withColumn("able", F.explode(able)).withColumn("class", F.col("able.class")).drop("able", "need")
+        found = first.union(_search(per_chunk(again), _sent(chunked, blocks_served(floored, rest)), k))
     leading = found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).drop("rank")
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long"))))
     single = leading.select("query_id", "vec_id", "score", each.alias("copy"))

@@ -278,6 +278,27 @@ def test_top_k_with_pruning_ties_and_faults(spark, scale, monkeypatch):
     assert Counter(map(tuple, topk.top_k(frame, k=7).collect())) == brute_top(rows, 7)
 
 
+def test_vectors_go_to_the_blocks_that_their_class_can_serve(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(n), None if i % 50 == 0 else float(f)) for i, (n, f) in enumerate(zip(rng.uniform(0, 9, 400), rng.uniform(-5, 90, 400)))]
+    rows += [(1000 + i, 2.0, 8.0) for i in range(300)] + [(2000, 0.0, 0.0)]  # a hot need, a vector of zeros
+    floored = topk.by_need(spark.createDataFrame(rows, "vec_id long, norm double, floor double"), 7).persist()
+    got = floored.collect()
+    assert {r.vec_id for r in got} == {r[0] for r in rows} and len(got) == len(rows)
+    sizes, lengths = Counter(r.block for r in got), {0: 50.0, 3: 7.0, 5: 4.5, 6: 0.5, 8: 0.0}
+    assert max(sizes.values()) <= 2 * len(rows) / 7
+    ranges = {b: [(-np.inf if r.need is None else r.need) for r in got if r.block == b] for b in sizes}
+    assert all(max(ranges[b]) <= min(ranges[b + 1]) for b in range(max(sizes)) if b in ranges and b + 1 in ranges)
+    served = topk.blocks_served(floored, lengths)
+    for c, most in lengths.items():
+        able = {r.block for r in got if r.floor is None or most * r.norm >= r.floor - 1e-9}
+        assert served[c] == max(able, default=-1) + 1
+    assert served[8] < served[5] <= served[3] <= served[0] == 7
+    vectors = spark.createDataFrame([(i, c) for i, c in enumerate([0, 3, 5, 8] * 3)], "vec_id long, class int")
+    sent = Counter((r.vec_id, r.block) for r in topk._sent(vectors, served | {5: 0}).collect())
+    assert sent == Counter((i, b) for i, c in enumerate([0, 3, 5, 8] * 3) if c != 5 for b in range(served[c]))
+
+
 def test_top_k_ranks_repeated_rows_each(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 5.0])] + [(3, [3.0, 0.0])] * 9 + [(20, [1.0, 1.0])] * 2
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
