@@ -10,8 +10,9 @@
    disjoint from those of other shards.
 4. Rows are shuffled within their shard by a seeded hash.
 
-A source is never gathered: a group has at most BLOCKS rows, and rows meet their block by (source, block),
-so a source that holds a third of all rows is spread over all its blocks.
+The numbers of shards and blocks follow from the words, so a shard, which is one task's, has about SHARD_WORDS words at any
+size of the corpus. A source's rows are never gathered: a group has its blocks, as numbers, and rows meet their block by
+(source, block), so a source that holds a third of all rows is spread over all its blocks.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from .common import stored
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2
-BLOCKS = 1024
-SHARDS = 64
+BLOCKS = 1024  # of each source, at least
+SHARD_WORDS = 1 << 22
+SHARD_BLOCKS = 16  # of each source, for each shard
 FANOUT = 16
 SWAPS = 8
 SEED = 20
@@ -82,16 +84,21 @@ def _draw(blocks: pd.DataFrame) -> pd.DataFrame:
         drawn, left = np.flatnonzero(copies > whole), np.flatnonzero(copies == whole)
         if not len(drawn) or not len(left):
             break
-        gaps = np.abs(rest - (words[left][:, None] - words[drawn][None, :]))
-        i, j = np.unravel_index(gaps.argmin(), gaps.shape)
-        if gaps[i, j] >= abs(rest):
+        left = left[np.argsort(words[left], kind="stable")]
+        wanted = rest + words[drawn]  # of each drawn block's place
+        after = np.searchsorted(words[left], wanted)
+        near = np.clip(np.stack([after - 1, after]), 0, len(left) - 1)
+        gaps = np.abs(wanted - words[left[near]])
+        side, j = np.unravel_index(gaps.argmin(), gaps.shape)
+        if gaps[side, j] >= abs(rest):
             break
+        i = near[side, j]
         rest -= words[left[i]] - words[drawn[j]]
         copies[left[i]], copies[drawn[j]] = whole + 1, whole
     return blocks[["source", "block"]].assign(copies=copies)
 
 
-def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """source, shard, n: the block draws of each source in each shard; `quotas` has source, n.
 
     A level of the tree is a shuffle by node; a node's rows are its sources. Every task divides its node in
@@ -125,61 +132,76 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
     return nodes.select("source", F.col("first").alias("shard"), "n")
 
 
-def block_of(blocks: int = BLOCKS, seed: int = SEED) -> Column:
+def block_of(blocks: int, seed: int = SEED) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(blocks)).cast("int")
 
 
-def draws(sized: DataFrame, shards: int = SHARDS, seed: int = SEED, **targets) -> DataFrame:
-    """source, block, source_size, target, shards (one for each time the block is drawn).
+def draws(
+    sized: DataFrame, shards: int | None = None, blocks: int | None = None, seed: int = SEED, shard_words: int = SHARD_WORDS, **targets
+) -> tuple[DataFrame, int, int]:
+    """source, block, source_size, target, shards (one for each time the block is drawn); and the numbers of blocks and shards.
 
-    `sized` has source, block, size for every row of the corpus.
+    `sized` has doc_id, source, size for every row of the corpus; it is read twice, so it should be stored. Where they are not
+    given, there are so many shards that each has about `shard_words` words, and SHARD_BLOCKS blocks for each of them.
     """
-    blocks = stored(sized.groupBy("source", "block").agg(F.sum("size").alias("words")))
-    sources = stored(source_targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), **targets))
+    sources = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **targets))
+    if shards is None:
+        words = sources.agg(F.sum("target")).first()[0]
+        shards = max(1, -(-int(words or 0) // shard_words))
+    blocks = blocks or max(BLOCKS, SHARD_BLOCKS * shards)
+    counted = stored(sized.groupBy("source", block_of(blocks, seed).alias("block")).agg(F.sum("size").alias("words")))
     named = sources.withColumnRenamed("source", "name")
-    aimed = blocks.join(named, blocks.source.eqNullSafe(named.name))
+    aimed = counted.join(named, counted.source.eqNullSafe(named.name))
     drawn = stored(aimed.groupBy("source").applyInPandas(_draw, "source string, block int, copies int"))
     quotas = drawn.groupBy("source").agg(F.sum("copies").alias("n"))
     ends = F.sum("n").over(Window.partitionBy("source").orderBy("shard"))
-    split = stored(split_quotas(quotas, shards, seed).select("source", "shard", ends.alias("end")))
-    ranges = split.groupBy(F.col("source").alias("owner")).agg(
-        F.array_sort(F.collect_list(F.struct("shard", "end"))).alias("ranges")  # one for each shard
-    )
+    split = split_quotas(quotas, shards, seed).select(F.col("source").alias("owner"), "shard", "n", ends.alias("end")).where("n > 0")
+    owned_places = split.select("owner", "shard", F.explode(F.sequence(F.col("end") - F.col("n") + 1, "end")).alias("at"))
     permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "block", "copy"), "block", "copy")
     single = drawn.where("copies > 0").select("source", "block", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    ranked = single.withColumn("place", F.row_number().over(permuted))
-    owner = F.filter("ranges", lambda r: r["end"] >= F.col("place"))[0]["shard"]
+    ranked = single.withColumn("place", F.row_number().over(permuted).cast("long"))
     owned = (
-        ranked.join(ranges, F.col("source").eqNullSafe(F.col("owner"))).select("source", "block", owner.alias("shard"))
+        ranked.join(owned_places, F.col("source").eqNullSafe(F.col("owner")) & (F.col("place") == F.col("at")))
         .groupBy(F.col("source").alias("of"), F.col("block").alias("no")).agg(F.sort_array(F.collect_list("shard")).alias("shards"))
     )
     joined = aimed.join(owned, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("no")), "left")
-    return joined.select(
+    found = joined.select(
         "source", "block", "source_size", "target", F.coalesce("shards", F.array().cast("array<int>")).alias("shards")
     )
+    return stored(found), blocks, shards
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_in_words().alias("size")))
 
 
-def allocate(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED, **targets) -> DataFrame:
+def allocate(docs: DataFrame, **layout) -> DataFrame:
     """doc_id, size, source_size, target and shards for every row of `docs` (doc_id, source, text).
 
     `shards` lists the output shards that get the row, once for each time it is taken. Null texts have
     size 0 and are taken with their block; null sources are one source, last in order; rows with a
-    null doc_id share a block. Repeated rows count and are taken each. More columns are ignored.
+    null doc_id share a block. Repeated rows count and are taken each. More columns are ignored. An empty table gives
+    no rows. `layout` goes to `draws`.
     """
-    sized = stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"),
-                               size_in_words().alias("size")).withColumn("block", block_of(blocks, seed)))
-    drawn = stored(draws(sized, shards, seed, **targets)).withColumnsRenamed({"source": "of", "block": "no"})
+    sized = _sized(docs)
+    drawn, blocks, _ = draws(sized, **layout)
+    placed = sized.withColumn("block", block_of(blocks, layout.get("seed", SEED)))
+    named = drawn.withColumnsRenamed({"source": "of", "block": "no"})
     met = F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("no"))
-    return sized.join(drawn, met).select("doc_id", "size", "source_size", "target", "shards")
+    return placed.join(named, met).select("doc_id", "size", "source_size", "target", "shards")
 
 
-def mix(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED, **targets) -> DataFrame:
-    """The mixture: rows of `docs` with their columns as `row`, as often as they are taken, by shard, shuffled there."""
+def mix(docs: DataFrame, **layout) -> DataFrame:
+    """The mixture: rows of `docs` with their columns as `row`, as often as they are taken, by shard, shuffled there.
+
+    Each shard is one task's. Null, empty and repeated rows are taken as in `allocate`; an empty table gives no rows.
+    """
+    seed = layout.get("seed", SEED)
+    drawn, blocks, shards = draws(_sized(docs), **layout)
     key = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"),
                       F.col("source").cast("string"), block_of(blocks, seed).alias("block"))
-    sized = docs.select(F.col("source").cast("string"), size_in_words().alias("size"), block_of(blocks, seed).alias("block"))
-    drawn = stored(draws(sized, shards, seed, **targets)).withColumnsRenamed({"source": "of", "block": "no"})
+    named = drawn.where(F.size("shards") > 0).withColumnsRenamed({"source": "of", "block": "no"})
     met = F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("no"))
-    taken = key.join(drawn.where(F.size("shards") > 0), met).select("row", "doc_id", F.posexplode("shards").alias("copy", "shard"))
+    taken = key.join(named, met).select("row", "doc_id", F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64(F.lit(seed + 1), "doc_id", "copy")
-    return taken.repartition(shards, "shard").sortWithinPartitions("shard", order).select("row", "shard")
+    return taken.repartitionById(shards, "shard").sortWithinPartitions("shard", order).select("row", "shard")

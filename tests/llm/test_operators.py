@@ -13,8 +13,10 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -381,6 +383,31 @@ def test_mixture_rows_and_shards(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.allocate(docs.limit(0)).count() == 0
 
 
+def test_shards_and_blocks_grow_with_the_words(spark):
+    docs = edge_docs(spark, documents())
+    words = sum(len(WORD.findall(r.text or "")) for r in docs.collect())
+    for shard_words in (words // 3, words // 90):
+        sized = mixing._sized(docs)
+        drawn, blocks, shards = mixing.draws(sized, shard_words=shard_words)
+        target = sum(r.target for r in drawn.select("source", "target").distinct().collect())
+        assert shards == -(-int(target) // shard_words) and blocks == max(mixing.BLOCKS, 16 * shards)
+        mixed = mixing.mix(docs, shard_words=shard_words)
+        assert mixed.rdd.getNumPartitions() == shards
+        parts = mixed.select("shard", F.spark_partition_id().alias("part")).distinct().collect()
+        assert len({r.shard for r in parts}) == len(parts) and all(r.shard == r.part for r in parts)
+        allocated = mixing.allocate(docs, shard_words=shard_words)
+        assert mixed.count() == allocated.select(F.sum(F.size("shards"))).first()[0]
+
+
+def test_draws_come_near_their_target():
+    rng = np.random.default_rng(4)
+    for n, target in ((1, 5.0), (40, 900.0), (3000, 77_777.5), (3000, 250_000.0)):
+        words = rng.integers(0, 100, n)
+        drawn = mixing._draw(pd.DataFrame({"source": "a", "block": range(n), "words": words, "target": target}))
+        taken, most = int((words * drawn["copies"]).sum()), int(words.max())
+        assert drawn["copies"].max() - drawn["copies"].min() <= 1 and abs(taken - target) <= (most if n < 3000 else 1)
+
+
 def test_splitting_tree_is_exact(spark):
     quotas = {"a": 700, "b": 31, None: 5, "c": 0}
     split = mixing.split_quotas(spark.createDataFrame(list(quotas.items()), "source string, n long"), 37).collect()
