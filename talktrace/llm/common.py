@@ -13,14 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """The frame, computed once and written as a table to the folder that all executors share.
+def stored_at(frame: DataFrame) -> tuple[DataFrame, str]:
+    """The frame, computed once and written as a table to the folder that all executors share; and the table's path.
 
     Later plans start from its files, so lost executors cost no recomputation of what came before.
     """
     path = f"{checkpoint_folder(frame.sparkSession)}/{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path), path
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    return stored_at(frame)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that no plan will read again; one that is gone already is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def row_salt(salts: int, *columns: str) -> Column:

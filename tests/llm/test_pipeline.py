@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import corpus_pipeline  # noqa: E402
 from corpora import EDGE_TEXTS, SF, edge_docs  # noqa: E402
 from talktrace.llm import pii, simhash  # noqa: E402
-from talktrace.llm.common import stored  # noqa: E402
+from talktrace.llm.common import stored, stored_at  # noqa: E402
 from test_operators import brute_components, brute_fingerprint, brute_spans, check_packing  # noqa: E402
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -50,7 +50,7 @@ def test_stages(spark, edge):
     assert used <= 1.02 * least + 1
 
 
-def test_run_and_registration(spark):
+def test_run_and_registration(spark, monkeypatch):
     import __spark_entry__
 
     queries = __spark_entry__.queries()
@@ -59,7 +59,16 @@ def test_run_and_registration(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF))
+    paths = []
+
+    def noted(frame):
+        result, path = stored_at(frame)
+        paths.append(path.removeprefix("file:"))
+        return result, path
+
+    monkeypatch.setattr(corpus_pipeline, "stored_at", noted)
     assert Counter(corpus_pipeline.run(spark, SF).collect()) == Counter(docs.collect())
+    assert [os.path.isdir(p) for p in paths] == [False, False, False, True]
 
 
 def test_stages_stand_empty_tables(spark):
