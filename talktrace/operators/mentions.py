@@ -8,15 +8,25 @@ entities of a message need no shuffle, and only their aggregates by day or entit
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import text
+from ..session import written
+from . import aliases as dictionaries
 from .aliases import AliasBook, unique_aliases
 
-# A literal map is searched from its start, so it serves small dictionaries; larger ones are joined.
-# Which way is taken changes the plan, not the rows.
+# A literal map is searched from its start, so it serves small dictionaries; larger ones are looked up by tasks
+# or joined. Which way is taken changes the plan, not the rows.
 IN_ROW_ALIASES = 512
+# Parts of texts that a task looks up at a time.
+CHUNK_PARTS = 1 << 19
+_FOUND = ArrayType(StructType([StructField("entity", StringType()), StructField("n", LongType())]))
 
 
 def _unless_empty(array: str) -> Column:
@@ -45,32 +55,127 @@ def _named(hits: DataFrame, aliases: DataFrame, keys: Sequence[str]) -> DataFram
 
     One row per message and distinct alias is joined. A row without an alias keeps messages without a hit.
     """
-    counts = F.transform(
-        F.array_distinct("hits"),
-        lambda a: F.struct(a.alias("alias"), F.size(F.filter("hits", lambda h: h == a)).cast("bigint").alias("k")),
-    )
-    keep = F.array(F.struct(F.lit(None).cast("string").alias("alias"), F.lit(0).cast("bigint").alias("k")))
-    counted = hits.select(*keys, F.inline(F.concat(keep, F.coalesce(counts, F.array().cast("array<struct<alias: string, k: bigint>>")))))
-    return _folded(counted.join(aliases.select("alias", "entity"), "alias", "left"), keys)
-
-
-def _folded(named: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per message the name-sorted (entity, n) of rows (keys, entity or null, k)."""
-    merged = named.groupBy(*keys).agg(
-        F.collect_list(F.when(F.col("entity").isNotNull(), F.struct("entity", "k"))).alias("parts")
-    )
-    found = F.transform(
-        F.sort_array(F.array_distinct(F.col("parts.entity"))),
-        lambda e: F.struct(
-            e.alias("entity"),
-            F.aggregate(
-                F.filter("parts", lambda p: p["entity"] == e),
-                F.lit(0).cast("bigint"),
-                lambda total, p: total + p["k"],
-            ).alias("n"),
-        ),
-    )
-    return merged.select(*keys, found.alias("found"))
+    each = hits.select(*keys, F.explode_outer("hits").alias("alias"))
+    counted = each.groupBy(*keys, "alias").agg(F.count("alias").alias("k"))
+    named = counted.join(aliases.select("alias", "entity"), "alias", "left").groupBy(*keys, "entity").agg(F.sum("k").alias("n"))
+    mention = F.when(F.col("entity").isNotNull(), F.struct("entity", "n"))
+    return named.groupBy(*keys).agg(F.sort_array(F.collect_list(mention)).alias("found"))
+
+
+def _gathered(messages: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys and `bodies`, one row per message. Only the texts of rows that share their keys are shuffled."""
+    repeated = written(messages.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
+    alone = messages.select(*keys, F.array("body").alias("bodies"))
+    if repeated.isEmpty():
+        return alone
+    same = reduce(Column.__and__, [F.col(f"m.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+    shared = messages.select(*keys, "body").alias("m").join(repeated.alias("r"), same, "left_semi")
+    alone = alone.alias("m").join(repeated.alias("r"), same, "left_anti")
+    return alone.unionByName(shared.groupBy(*keys).agg(F.collect_list("body").alias("bodies")))
+
+
+def _taken(message: np.ndarray, at: np.ndarray, stop: np.ndarray, entity: np.ndarray) -> np.ndarray:
+    """Places of the hits that a scan of each message from its start takes: at each place the longest, without overlaps."""
+    order = np.lexsort((entity, -stop, at, message))
+    taken, current, upto = [], -1, 0
+    for i, m, begin, end in zip(order.tolist(), message[order].tolist(), at[order].tolist(), stop[order].tolist()):
+        if m != current:
+            current, upto = m, 0
+        if begin >= upto:
+            taken.append(i)
+            upto = end
+    return np.array(taken, dtype=np.int64)
+
+
+def _found(message: np.ndarray, entity: np.ndarray, rows: int, names: pa.Array) -> pa.Array:
+    """For each of so many messages the (entity, n) of its hits, by `names`, which are sorted."""
+    cells, counts = np.unique(message * max(1, len(names)) + entity, return_counts=True)
+    ends = np.searchsorted(cells, np.arange(rows + 1) * max(1, len(names))).astype(np.int32)
+    entities = names.take(pa.array(cells % max(1, len(names))))
+    pairs = pa.StructArray.from_arrays([entities, pa.array(counts.astype(np.int64))], ["entity", "n"])
+    return pa.ListArray.from_arrays(pa.array(ends), pairs)
+
+
+def _with_found(keys: Sequence[str], schema: StructType) -> StructType:
+    return StructType([*(schema[k] for k in keys), StructField("found", _FOUND)])
+
+
+def _by_lookup(cut: DataFrame, entries: Sequence[tuple[str, str, int, str]], keys: Sequence[str], whole: bool) -> DataFrame:
+    """Per message `found`, for a dictionary that a task holds: (alias, entity, number of parts, first part).
+
+    `cut` has the keys and `texts`, the parts of each text of a message and whether the first is a word. A text's
+    parts, and with longer aliases every sequence of parts that begins like one, are looked up by arrays. With `whole`
+    sequences must begin and end at words' edges, and hits that overlap are settled. CHUNK_PARTS parts are handled at a time.
+    """
+    names = sorted({entity for _, entity, _, _ in entries})
+    code = {name: i for i, name in enumerate(names)}
+    sized = {}
+    for alias, entity, size, first in sorted(entries, key=lambda e: e[2]):
+        sized.setdefault(size, []).append((alias, first, code[entity]))
+    shared = cut.sparkSession.sparkContext.broadcast((names, sized))  # at most MOST_IN_PLAN aliases
+
+    def find(batches):
+        names, sized = shared.value
+        names = pa.array(names, pa.string())
+        tables = None
+        for batch in batches:
+            texts = batch.column(len(keys))
+            rows = texts.flatten()
+            parts, starts = rows.field(0), rows.field(1).to_numpy(zero_copy_only=False).astype(bool)
+            closes = texts.offsets.to_numpy().astype(np.int64)
+            of_message, closes = np.repeat(np.arange(len(texts)), np.diff(closes)), closes - closes[0]
+            ends = parts.offsets.to_numpy().astype(np.int64)
+            ends, values = ends - ends[0], parts.flatten()
+            if tables is None:
+                tables = [
+                    (size, pa.array([a for a, _, _ in own], values.type), pa.array(sorted({f for _, f, _ in own}), values.type),
+                     np.array([c for _, _, c in own], dtype=np.int64))
+                    for size, own in sized.items()
+                ]
+            alone = not whole or max(sized, default=1) == 1 and len(rows) == len(texts)
+            hits, low, reached = [(np.zeros(0, np.int64),) * 2], 0, ends[closes]
+            while low < len(texts):
+                high = max(low + 1, int(np.searchsorted(reached, reached[low] + CHUNK_PARTS, side="right")) - 1)
+                one, other = closes[low], closes[high]
+                message, at, stop, entity = _hits(values, ends[one : other + 1], starts[one:other], tables, whole)
+                message = of_message[one:other][message]
+                taken = slice(None) if alone else _taken(message, at, stop, entity)
+                hits.append((message[taken], entity[taken]))
+                low = high
+            message, entity = (np.concatenate(c) for c in zip(*hits))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], _found(message, entity, len(texts), names)], [*keys, "found"])
+
+    return cut.select(*keys, "texts").mapInArrow(find, _with_found(keys, cut.schema))
+
+
+def _hits(values: pa.Array, ends: np.ndarray, starts: np.ndarray, tables: list, whole: bool) -> tuple[np.ndarray, ...]:
+    """text, place, end and entity of the sequences of parts that are aliases, for texts whose parts lie between `ends`."""
+    own = values.slice(ends[0], ends[-1] - ends[0])
+    ends = ends - ends[0]
+    sizes = np.diff(ends)
+    closed = starts == (sizes % 2 == 1)  # words and others alternate
+    found = [(np.zeros(0, np.int64),) * 4]
+    for size, aliases, firsts, entities in tables:
+        if size == 1:
+            index = pc.fill_null(pc.index_in(own, aliases), -1).to_numpy()
+            place = np.flatnonzero(index >= 0)
+            text_of = np.searchsorted(ends, place, side="right") - 1
+        else:
+            place = np.flatnonzero(pc.is_in(own, firsts).to_numpy(zero_copy_only=False))
+            text_of = np.searchsorted(ends, place, side="right") - 1
+            inside = place + size <= ends[text_of + 1]
+            place, text_of = place[inside], text_of[inside]
+            joined = pc.binary_join_element_wise(*[own.take(pa.array(place + i)) for i in range(size)], pa.scalar("", own.type))
+            index = pc.fill_null(pc.index_in(joined, aliases), -1).to_numpy()
+            place, text_of, index = place[index >= 0], text_of[index >= 0], index[index >= 0]
+        entity = entities[index[place] if size == 1 else index]
+        if whole:
+            begins, stops = place == ends[text_of], place + size == ends[text_of + 1]
+            good = (~begins | starts[text_of]) & (~stops | closed[text_of])
+            place, text_of, entity = place[good], text_of[good], entity[good]
+        at = place - ends[text_of]
+        found.append((text_of, at, at + size, entity))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _whole_words_by_join(messages: DataFrame, aliases: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -84,32 +189,50 @@ def _whole_words_by_join(messages: DataFrame, aliases: DataFrame, keys: Sequence
     sized = aliases.select("alias", "entity", F.size(text.runs(F.col("alias"))).alias("runs"))
     longest = sized.agg(F.max("runs")).first()[0]
     if longest is None:
-        return messages.select(*keys, F.array().cast("array<struct<entity: string, n: bigint>>").alias("found"))
+        return messages.select(*keys, F.array().cast(_FOUND).alias("found"))
     cut = messages.select(*keys, text.runs(F.col("body")).alias("runs"))
     last = F.size("runs")
-    sequences = F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), last - F.col("at"))),
-        lambda n: F.struct((F.col("at") + n).alias("stop"), F.concat_ws("", F.slice("runs", F.col("at") + 1, n)).alias("alias")),
-    )
-    starts = F.when(last > 0, F.sequence(F.lit(0), last - 1))
-    placed = cut.select(*keys, "runs", F.explode_outer(starts).alias("at"))
-    candidates = placed.select(*keys, "at", F.size("runs").alias("last"), F.inline_outer(sequences))
+    sequences = F.flatten(F.transform(
+        F.when(last > 0, F.sequence(F.lit(0), last - 1)),
+        lambda at: F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(longest), last - at)),
+            lambda n: F.struct(at.alias("at"), (at + n).alias("stop"), last.alias("last"), F.concat_ws("", F.slice("runs", at + 1, n)).alias("alias")),
+        ),
+    ))
+    candidates = cut.select(*keys, F.inline(sequences))
     edge = (F.col("at") == 0) & ~text.starts_as_word(F.col("alias")) | (F.col("stop") == F.col("last")) & ~text.ends_as_word(F.col("alias"))
-    hits = candidates.where(~edge).join(sized.select("alias", "entity"), "alias").select(
-        *keys, F.struct("at", (-F.col("stop")).alias("stop"), "entity").alias("hit")
-    )
+    hits = candidates.where(~edge).join(sized.select("alias", "entity"), "alias").select(*keys, F.struct("at", "stop", "entity").alias("hit"))
     nothing = messages.select(*keys, F.lit(None).cast("struct<at: int, stop: int, entity: string>").alias("hit"))
-    gathered = hits.unionByName(nothing).groupBy(*keys).agg(F.sort_array(F.collect_list("hit")).alias("hits"))
-    state = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("names"))
-    taken = F.aggregate(
-        "hits", state,
-        lambda s, h: F.when(
-            h["at"] >= s["upto"],
-            F.struct((-h["stop"]).alias("upto"), F.array_append(s["names"], h["entity"]).alias("names")),
-        ).otherwise(s),
-    )
-    named = gathered.select(*keys, taken["names"].alias("names"))
-    return named.select(*keys, _tally("names").alias("found"))
+    gathered = hits.unionByName(nothing).groupBy(*keys).agg(F.collect_list("hit").alias("hits"))
+
+    def settle(batches):
+        for batch in batches:
+            lists = batch.column(len(keys))
+            message = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            at, stop, entity = (lists.flatten().field(i) for i in range(3))
+            names = pa.array(sorted(entity.unique().to_pylist()), entity.type)
+            code = pc.index_in(entity, names).to_numpy().astype(np.int64)
+            taken = _taken(message, at.to_numpy(), stop.to_numpy(), code)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(keys)], _found(message[taken], code[taken], len(lists), names)], [*keys, "found"])
+
+    return gathered.mapInArrow(settle, _with_found(keys, gathered.schema))
+
+
+def _entries(aliases: DataFrame) -> list[tuple[str, str, int, str]] | None:
+    """The dictionary for a lookup in tasks, or none if it has more than MOST_IN_PLAN aliases."""
+    cut = text.runs(F.col("alias"))
+    rows = aliases.select("alias", "entity", F.size(cut), cut[0]).limit(dictionaries.MOST_IN_PLAN + 1).collect()
+    return None if len(rows) > dictionaries.MOST_IN_PLAN else [tuple(r) for r in rows]
+
+
+def _whole_words(messages: DataFrame, aliases: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`found` of whole words: tasks look aliases up, or join them if they are too many to be held."""
+    entries = _entries(aliases)
+    if entries is None:
+        return _whole_words_by_join(messages, aliases, keys)
+    texts = F.transform("bodies", lambda b: F.struct(text.runs(b).alias("parts"), text.starts_as_word(b).alias("starts")))
+    return _by_lookup(_gathered(messages, keys).select(*keys, texts.alias("texts")), entries, keys, True)
 
 
 def scan_mentions(
@@ -130,7 +253,7 @@ def scan_mentions(
     messages = messages.withColumn("body", F.coalesce("body", F.lit("")))
     if boundary == "word" and not _fits_in_row(aliases):
         table = aliases.table(messages.sparkSession) if isinstance(aliases, AliasBook) else unique_aliases(aliases)
-        return _whole_words_by_join(messages, table, keys)
+        return _whole_words(messages, table, keys)
     book = AliasBook.of(aliases)
     hits = messages.select(
         *keys,

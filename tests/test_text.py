@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -89,6 +91,36 @@ def test_rows_do_not_depend_on_the_dictionary_size(spark, monkeypatch, name):
     assert silent == {i for i, t in enumerate(TEXTS) if t and re.search(r"\w", t)}
 
 
+@pytest.mark.parametrize("chunk", [1, 1 << 19])
+def test_a_joined_dictionary_gives_the_rows_of_one_looked_up(spark, monkeypatch, chunk):
+    """Rows that share their keys are one message; long texts and messages are handled in parts."""
+    monkeypatch.setattr(mentions, "IN_ROW_ALIASES", 0)
+    monkeypatch.setattr(mentions, "CHUNK_PARTS", chunk)
+    data = [(i, 1, t) for i, t in enumerate(TEXTS)] + [(0, 1, TEXTS[0]), (None, None, "an old an"), (None, None, "old hat, Mira"), (3, 2, "an old hat")]
+    bodies = spark.createDataFrame(data, "message_id long, day int, body string")
+    for entries in DICTIONARIES.values():
+        table = spark.createDataFrame([(a, e, i) for i, (a, e) in enumerate(entries)], "alias string, entity string, alias_order int")
+        for scan in (mentions.scan_mentions, mentions.count_whole_tokens):
+            held = sorted(map(repr, scan(bodies, table).collect()))
+            with monkeypatch.context() as patch:
+                patch.setattr(aliases, "MOST_IN_PLAN", 0)
+                joined = sorted(map(repr, scan(bodies, table).collect()))
+            assert held == joined
+
+
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_a_long_text_takes_time_in_proportion(spark, monkeypatch, most):
+    """Work and memory used to grow with the square of a text's words."""
+    monkeypatch.setattr(mentions, "IN_ROW_ALIASES", 0)
+    monkeypatch.setattr(aliases, "MOST_IN_PLAN", most)
+    table = spark.createDataFrame([(f"w{i}", f"E{i % 7}", i) for i in range(0, 30_000, 2)], "alias string, entity string, alias_order int")
+    body = frame(spark, " ".join(f"w{i}" for i in range(60_000)))
+    for scan in (lambda: mentions.mention_rows(mentions.scan_mentions(body, table)), lambda: mentions.count_whole_tokens(body, table)):
+        start = time.monotonic()
+        assert {r.entity: r.n for r in scan().collect()} == Counter(f"E{i % 7}" for i in range(0, 30_000, 2))
+        assert time.monotonic() - start < 30
+
+
 def test_book_and_table_agree(spark, monkeypatch):
     monkeypatch.setattr(mentions, "IN_ROW_ALIASES", 0)
     table = spark.createDataFrame([(a, e, i) for i, (a, e) in enumerate(NAMES.entries)], "alias string, entity string, alias_order int")
