@@ -326,8 +326,15 @@ def count_whole_tokens(
         rows = F.when(F.size("names") > 0, _tally("names")).when(F.col("has_token"), nothing)
         return names.select(*keys, F.inline(rows))
     table = aliases.table(messages.sparkSession) if isinstance(aliases, AliasBook) else unique_aliases(aliases)
-    tokens = messages.select(*keys, text.plain_tokens(F.col("body")).alias("hits"))
-    found = _named(tokens.where(F.size("hits") > 0), table, keys)
+    entries = _entries(table)
+    if entries is None:
+        tokens = messages.select(*keys, text.plain_tokens(F.col("body")).alias("hits"))
+        found = _named(tokens.where(F.size("hits") > 0), table, keys)
+    else:
+        spoken = messages.where(text.has_token(F.col("body")))
+        texts = F.transform("bodies", lambda b: F.struct(text.plain_tokens(b).alias("parts"), F.lit(True).alias("starts")))
+        words = [(alias, entity, 1, alias) for alias, entity, _, _ in entries]
+        found = _by_lookup(_gathered(spoken, keys).select(*keys, texts.alias("texts")), words, keys, False)
     return found.select(*keys, F.inline(F.when(F.size("found") > 0, F.col("found")).otherwise(nothing)))
 
 
