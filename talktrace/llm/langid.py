@@ -5,7 +5,8 @@ hold a bit for each language, so the slots of an n-gram, combined by AND, give a
 it at once. A text's popcounts by language are corrected for the false positives that the fill of each
 filter lets expect, and the language with the largest corrected count is chosen.
 
-The filters are trained on at most SAMPLE_ROWS documents of each language, chosen by hash; the table's size is fixed.
+The filters are trained on all documents with a language. What is typical is judged by rates, so that the table's fixed
+size serves a corpus of any size.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SIZES = (3, 4)
 SLOTS = 1 << 20
 HASHES = 3
-SAMPLE_ROWS = 2000
+COUNTED_ROWS = 2000
 LEAST_COUNT = 3
 LEAST_SHARE = 0.5
 LONG_ENOUGH = 50
 UNKNOWN = "und"
 _BLOCK = 1 << 20
+_HELD = 1 << 20
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _folded: np.ndarray | None = None
@@ -103,11 +105,48 @@ def fold_of(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(labeled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilters:
-    """Filters from `labeled` (doc_id, text, lang); rows with a null text or language are left out.
+def tally(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, with the sum of its counts."""
+    distinct, place = np.unique(np.concatenate(codes), return_inverse=True)
+    return distinct, np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
 
-    An n-gram belongs to a language in which it occurs LEAST_COUNT times or more and, relative to all n-grams,
-    at least LEAST_SHARE times as often as in the language where it is most frequent.
+
+class _Counts:
+    """N-grams by language; texts wait until they have _HELD n-grams, which bounds what a task holds besides the distinct ones."""
+
+    def __init__(self) -> None:
+        self.waiting: dict[str, list[np.ndarray]] = {}
+        self.sizes: dict[str, int] = {}
+        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, lang: str, codes: np.ndarray) -> None:
+        self.waiting.setdefault(lang, []).append(codes)
+        self.sizes[lang] = self.sizes.get(lang, 0) + len(codes)
+        if self.sizes[lang] >= _HELD:
+            self.fold(lang)
+
+    def fold(self, lang: str) -> None:
+        fresh = np.unique(np.concatenate(self.waiting.pop(lang)), return_counts=True)
+        self.sizes[lang] = 0
+        self.known[lang] = tally(*zip(self.known[lang], fresh)) if lang in self.known else fresh
+
+    def full(self) -> bool:
+        return sum(len(codes) for codes, _ in self.known.values()) >= _HELD
+
+    def drain(self):
+        for lang in list(self.waiting):
+            self.fold(lang)
+        for lang, (codes, counts) in self.known.items():
+            yield pd.DataFrame({"lang": lang, "code": codes.view(np.int64), "n": counts})
+        self.known = {}
+
+
+def train(labeled: DataFrame) -> LanguageFilters:
+    """Filters from all of `labeled` (doc_id, text, lang); rows with a null text or language are left out.
+
+    An n-gram belongs to a language in which it occurs LEAST_COUNT times or more, in a language of more than COUNTED_ROWS
+    documents as often for each so many of them, and, relative to all n-grams, at least LEAST_SHARE times as often as in the
+    language where it is most frequent.
     """
     labeled = labeled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string"))
     rows = {r["lang"]: r["n"] for r in labeled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one for each language
@@ -116,21 +155,22 @@ def train(labeled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilters
     table = np.zeros((SLOTS, width), dtype=np.uint8)
     if not names:
         return LanguageFilters(names, table)
-    draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30))
-    share = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(int(min(1.0, sample_rows / rows[n]) * (1 << 30))))])
-    sample = labeled.where(draw < share[F.col("lang")])
+    least = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(LEAST_COUNT * max(1.0, rows[n] / COUNTED_ROWS)))])
 
     def grams(frames):
+        counts = _Counts()
         for frame in frames:
-            for lang, texts in frame.groupby("lang")["text"]:
-                codes, counts = np.unique(np.concatenate([ngrams(t) for t in texts]), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "code": codes.view(np.int64), "n": counts})
+            for lang, text in zip(frame["lang"], frame["text"]):
+                counts.add(lang, ngrams(text))
+                if counts.full():
+                    yield from counts.drain()
+        yield from counts.drain()
 
-    counted = sample.select("lang", "text").mapInPandas(grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = labeled.select("lang", "text").mapInPandas(grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rate = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
     rated = counted.withColumn("rate", rate)
     typical = rated.withColumn("most", F.max("rate").over(Window.partitionBy("code"))).where(
-        (F.col("n") >= LEAST_COUNT) & (F.col("rate") >= LEAST_SHARE * F.col("most"))
+        (F.col("n") >= least[F.col("lang")]) & (F.col("rate") >= LEAST_SHARE * F.col("most"))
     )
 
     def places(frames):
@@ -146,13 +186,13 @@ def train(labeled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilters
     return LanguageFilters(names, table)
 
 
-def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of `docs` (doc_id, text, lang; more columns are ignored).
 
     Trained on rows that are not held out; predictions use the text alone. A null text, or one without a
     letter, gets the unknown language and score 0, as does every row if no language can be learned.
     """
-    filters = docs.sparkSession.sparkContext.broadcast(train(docs.where(~fold_of()), sample_rows))  # SLOTS bytes for 8 languages
+    filters = docs.sparkSession.sparkContext.broadcast(train(docs.where(~fold_of())))  # SLOTS bytes for 8 languages
 
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([filters.value.predict(t) for t in texts], columns=["lang_pred", "score"])
@@ -168,30 +208,26 @@ def evidence(filters: LanguageFilters, text: str) -> tuple[int, float]:
     return len(codes), float(corrected.max(initial=0)) / max(1, len(codes))
 
 
-def least_evidence(labeled: DataFrame, filters: LanguageFilters, sample_rows: int = SAMPLE_ROWS) -> float:
+def least_evidence(labeled: DataFrame, filters: LanguageFilters) -> float:
     """The share of known n-grams below which a text is in no learned language.
 
-    Half of what all but one in a thousand of the training documents have, of those long enough to tell. The
-    documents are drawn by hash, about `sample_rows` for each language.
+    Half of what all but one in a thousand of the training documents have, of those long enough to tell.
     """
     able = labeled.where("lang IS NOT NULL AND text IS NOT NULL")
-    rows = able.count()
-    if not rows or not filters.names:
+    if not filters.names:
         return 0.0
-    share = min(1.0, sample_rows * len(filters.names) / rows)
-    drawn = able.where(F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     @F.pandas_udf("double")
     def shares(texts: pd.Series) -> pd.Series:
         found = [evidence(filters, t) for t in texts]
         return pd.Series([s if n >= LONG_ENOUGH else None for n, s in found], dtype=float)
 
-    low = drawn.select(shares("text").alias("share")).where("share IS NOT NULL AND NOT isnan(share)").agg(
+    low = able.select(shares("text").alias("share")).where("share IS NOT NULL AND NOT isnan(share)").agg(
         F.percentile_approx("share", 0.001, 10_000)).first()[0]
     return 0.5 * (low or 0.0)
 
 
-def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that are in a language, unchanged.
 
     Null texts and texts without a letter go. So do texts of which no n-gram is known beyond what false
@@ -199,8 +235,8 @@ def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFram
     can be learned, all texts with a letter stay. Repeated rows are judged alike; an empty table gives no rows.
     """
     labeled = docs.where(~fold_of())
-    learned = train(labeled, sample_rows)
-    least = least_evidence(labeled, learned, sample_rows)
+    learned = train(labeled)
+    least = least_evidence(labeled, learned)
     filters = docs.sparkSession.sparkContext.broadcast(learned)
 
     def told(text: str | None) -> bool:

@@ -228,6 +228,30 @@ def test_language_stage_rejects_what_is_in_no_language(spark):
     assert max(kept.values()) == 1
 
 
+def test_languages_are_learned_from_all_documents(spark):
+    """Filters and threshold used to come from about 2,000 documents of a language."""
+    rare = [f"q{a}{b}z" for a in "abcdef" for b in "ghijk"]
+    rows = [(i, " ".join([f"{'abcdefghij'[i % 10] * 3}{'klmnopqrst'[i // 10 % 10] * 3} {'uvw'[i % 3] * 4}"] * 8)
+             + (" " + " ".join(rare) if i % 600 == 5 else "") + f" {chr(0x4E00 + i)}" * (i % 1777), "x") for i in range(4900)]
+    labeled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.train(labeled)
+    grams = np.concatenate([langid.ngrams(w) for w in rare])
+    assert filters.contained(grams)[0] == len(grams)
+    shares = sorted(s for n, s in (langid.evidence(filters, t) for _, t, _ in rows) if n >= langid.LONG_ENOUGH)
+    assert langid.least_evidence(labeled, filters) == 0.5 * shares[-(-len(shares) // 1000) - 1]
+
+
+def test_ngrams_are_counted_in_parts(monkeypatch):
+    counts, texts = langid._Counts(), ["abc abd", "", "abc", "x abc"]
+    monkeypatch.setattr(langid, "_HELD", 4)
+    for text in texts:
+        counts.add("x", langid.ngrams(text))
+    assert counts.full()
+    (frame,) = counts.drain()
+    whole = Counter(c for text in texts for c in langid.ngrams(text).view(np.int64).tolist())
+    assert dict(zip(frame["code"], frame["n"])) == whole and not list(counts.drain())
+
+
 def test_ngrams_and_filters_against_sets():
     text = "Hello wörld, abc de x1y. The end"
     folded = "".join(c.lower() if c.isalpha() else " " for c in f" {text} ")
