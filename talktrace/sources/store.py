@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.calendar import after_and_before
 from ..schemas import ALL_TABLES, CORRUPT, MESSAGES, THREADS, TableSpec
+from ..session import written
 from .quality import CheckedRows, check_rows
 
 BUCKET, DAY, DAY_SECONDS, NO_DAY = "bucket", "created_day", 86_400, -(1 << 40)
@@ -26,9 +27,19 @@ def latest_rows(rows: DataFrame, key: str, sequence: str) -> DataFrame:
     Written as an aggregate rather than a ranking, so that a key loaded without end is folded
     where it is read instead of being sorted in one task.
     """
+    first = [F.col(c) for c in (sequence, "createdDate") if c in rows.columns]
     values = F.struct(*[F.col(c) for c in rows.columns])
-    first = [c for c in (sequence, "createdDate") if c in rows.columns]
-    return rows.groupBy(key).agg(F.max_by(values, F.struct(*first, values)).alias("row")).select("row.*")
+    places = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(first)], values.alias("row"))
+    return rows.groupBy(key).agg(F.max(places).alias("last")).select("last.row.*")
+
+
+def _latest_of_repeated(rows: DataFrame, key: str, sequence: str) -> DataFrame:
+    """`latest_rows`, for keys that seldom repeat: keys are counted first, and only rows of repeated ones are shuffled."""
+    repeated = written(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    if repeated.isEmpty():
+        return rows
+    shared = latest_rows(rows.join(repeated, key, "left_semi"), key, sequence)
+    return rows.join(repeated, key, "left_anti").unionByName(shared)
 
 
 def upsert_latest(
@@ -131,7 +142,13 @@ class ArchiveStore:
             held = stored.select(table.key, column).join(F.broadcast(keys) if few_keys else keys, table.key, "left_semi")
             touched |= {r[0] for r in held.select(column).distinct().collect()}
         base = stored.where(F.col(column).isin(sorted(touched)))
-        merged = upsert_latest(base, delta, table.key, sequence, few_keys).select(*table.column_names, column)
+        changed = _latest_of_repeated(delta, table.key, sequence)
+        if few_keys:
+            kept = base.join(F.broadcast(delta.select(table.key)), table.key, "left_anti")
+        else:  # keys alone are shuffled; of days that are pulled anew few rows stay
+            staying = base.select(table.key).join(delta.select(table.key), table.key, "left_anti")
+            kept = base.join(written(staying), table.key, "left_semi")
+        merged = kept.unionByName(changed).select(*table.column_names, column)
         order = ["createdDate"] if column == DAY else [table.key]
         # Rebalancing splits a partition that is too large for one file and joins those that are small.
         ordered = merged.hint("rebalance", column).sortWithinPartitions(column, *order)

@@ -275,3 +275,36 @@ def test_written_files_are_read_back(spark, rows, tmp_path):
     back = files.read_csv(spark, path, schemas.TIMELINE_CSV, multi_line=True)
     assert rows(back.accepted, "Day", "Type", "Summary", "Islanders") == {tuple(v or None for v in row[:4]) for row in data}
     assert back.rejected.isEmpty()
+
+
+def test_rows_are_shuffled_for_repeated_keys_alone(spark, rows):
+    """All rows used to be, with their values twice."""
+    columns = ("k", "seq", "v")
+    once = spark.createDataFrame([("a", 1, "x"), ("b", 1, None)], "k string, seq long, v string")
+    same = store._latest_of_repeated(once, "k", "seq")
+    assert "Exchange" not in same._jdf.queryExecution().executedPlan().toString()
+    assert rows(same, *columns) == {("a", 1, "x"), ("b", 1, None)}
+    more = once.union(spark.createDataFrame([("a", 2, None), ("a", 2, "y"), ("a", None, "z"), ("c", None, None)], once.schema))
+    assert rows(store._latest_of_repeated(more, "k", "seq"), *columns) == {("a", 2, "y"), ("b", 1, None), ("c", None, None)}
+    assert rows(store.latest_rows(more, "k", "seq"), *columns) == {("a", 2, "y"), ("b", 1, None), ("c", None, None)}
+
+
+@pytest.mark.parametrize("most", [0, 1 << 27])
+def test_pulls_give_the_same_archive_whether_keys_are_broadcast_or_not(spark, rows, monkeypatch, most):
+    monkeypatch.setattr(store, "MAX_BROADCAST_BYTES", most)
+    archive = store.ArchiveStore(spark, f"keys_{most}")
+    archive.create(schemas.THREADS)
+
+    def pull(now, *threads):
+        data = [(i, created, title, now) for i, created, title in threads]
+        frame = spark.createDataFrame(data, "PostID string, createdDate long, title string, insertionTimestamp long")
+        for c in schemas.THREADS.columns:
+            if c.name not in frame.columns:
+                frame = frame.withColumn(c.name, F.lit(None).cast(c.type))
+        archive.replace_into(schemas.THREADS, frame)
+
+    pull(1, ("a", 10, "one"), ("b", 20, "two"), ("c", 90_000, "three"), ("a", 10, "onf"))
+    pull(2, ("b", 20, "new"), ("d", 30, "four"), ("c", 200_000, "moved"))
+    assert rows(archive.scan(schemas.THREADS), "PostID", "createdDate", "title", "insertionTimestamp") == {
+        ("a", 10, "onf", 1), ("b", 20, "new", 2), ("d", 30, "four", 2), ("c", 200_000, "moved", 2)}
+    archive.drop(schemas.THREADS)
