@@ -20,14 +20,19 @@ def terms(text: str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_']+"), F.lit(0))
 
 
-def postings(texts: DataFrame, key: str = "message_id", text: str = "body", carry: Sequence[str] = ("day",)) -> DataFrame:
+def postings(
+    texts: DataFrame, key: str = "message_id", text: str = "body", carry: Sequence[str] = ("day",), only: Sequence[str] | None = None
+) -> DataFrame:
     """term, key, carried columns, tf, length, lead of every distinct term of every text.
 
-    `key` and the carried columns identify a text; texts without a term have no posting.
+    `key` and the carried columns identify a text; texts without a term have no posting. With `only`, postings of
+    other terms are left out unless they lead, which is all that a search for these terms reads.
     """
     cut = texts.select(key, *carry, terms(text).alias("terms"))
     own = F.when(F.size("terms") > 0, F.col("terms"))
     placed = cut.select(key, *carry, F.size("terms").alias("length"), F.array_min("terms").alias("least"), F.explode(own).alias("term"))
+    if only is not None:
+        placed = placed.where(F.col("term").isin(list(only)) | (F.col("term") == F.col("least")))
     counted = placed.groupBy("term", key, *carry, "length", "least").agg(F.count("*").alias("tf"))
     return counted.select("term", key, *carry, "tf", F.col("length").cast("bigint").alias("length"), (F.col("term") == F.col("least")).alias("lead"))
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas
-from ..operators.search import postings, search
+from ..operators.search import postings, search, terms
 from ..schemas import project_to
 from ..session import written
 
@@ -168,14 +168,15 @@ def ranked_pull(
     filtered by time afterwards. A thread without an id, a title or a text that the query's terms occur in is not found, nor is
     any by a query without a term; submissions that share an id are ranked by all their texts and are all given.
 
-    Searching reads ids, titles and own texts; the nested rows are read for the k found alone, which are few enough to
+    Searching reads ids, titles and own texts, and keeps the postings of the query's terms; the nested rows are read for the k found alone, which are few enough to
     broadcast whatever the number of threads.
     """
     able = submissions.where(F.col("id").isNotNull())
     able = able if start_epoch is None else created_since(able, start_epoch)
     texts = able.select("id", F.concat_ws(" ", "title", "selftext").alias("body"))
     asked = submissions.sparkSession.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("query"))
-    ranked = written(search(written(postings(texts, "id", carry=())), asked, k, "id").select("id", "rank"))
+    words = asked.select(terms("query")).first()[0]
+    ranked = written(search(written(postings(texts, "id", carry=(), only=words)), asked, k, "id").select("id", "rank"))
     return flat_rows(able.join(F.broadcast(ranked), "id"), now_epoch, include_messages, carry=["rank"])
 
 

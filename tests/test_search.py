@@ -52,6 +52,15 @@ def test_search_against_brute_force(spark, rows, k):
     assert search.search(found.limit(0), asked(spark), k).count() == 0
 
 
+def test_postings_of_some_terms_serve_a_search_for_them(spark, rows):
+    columns = ("term", "message_id", "tf", "length", "lead")
+    whole, some = search.postings(messages(spark, BODIES)), search.postings(messages(spark, BODIES), only=["cat", "absent"])
+    assert rows(some, *columns) == {r for r in rows(whole, *columns) if r[0] == "cat" or r[4]} < rows(whole, *columns)
+    cats = spark.createDataFrame([(1, "Cat absent")], "query_id bigint, query string")
+    ranked = ("query_id", "rank", "message_id", "score")
+    assert rows(search.search(some, cats), *ranked) == rows(search.search(whole, cats), *ranked)
+
+
 def test_index_updates_equal_a_rebuild(spark, rows):
     index = SearchIndex(spark, "search_updates")
     columns = ("term", "message_id", "day", "tf", "length", "lead")
