@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import written
+
 # Fixed values of the published ranking: saturation of counts, share of the length normalisation.
 SATURATION, LENGTH_SHARE = 1.2, 0.75
 DIGITS = 6
@@ -29,8 +31,10 @@ def postings(
     other terms are left out unless they lead, which is all that a search for these terms reads.
     """
     cut = texts.select(key, *carry, terms(text).alias("terms"))
+    # Spark computes what stands beside a generator for each of its rows, so a text's length and least term come first.
+    sized = cut.select(key, *carry, "terms", F.size("terms").alias("length"), F.array_min("terms").alias("least"))
     own = F.when(F.size("terms") > 0, F.col("terms"))
-    placed = cut.select(key, *carry, F.size("terms").alias("length"), F.array_min("terms").alias("least"), F.explode(own).alias("term"))
+    placed = sized.select(key, *carry, "length", "least", F.explode(own).alias("term"))
     if only is not None:
         placed = placed.where(F.col("term").isin(list(only)) | (F.col("term") == F.col("least")))
     counted = placed.groupBy("term", key, *carry, "length", "least").agg(F.count("*").alias("tf"))
@@ -41,8 +45,9 @@ def search(found: DataFrame, queries: DataFrame, k: int = 10, key: str = "messag
     """query_id, rank, key, score: the k texts that suit each query (query_id, query) best, by BM25.
 
     `found` are postings. Scores are rounded, equal ones go to the smaller key. Terms of a query count once.
-    The queries' terms are the small side: postings of other terms are dropped where they are read, the rest is
-    summed per query and text, and each task keeps no more than its k best of a query.
+    The queries' terms are the small side: they are weighed and stored first, and postings of other terms are dropped where
+    they are read. The rest is shuffled once, by text, before a posting is multiplied by the queries that hold its term: so
+    scores are summed where they arise, and each task keeps no more than its k best of a query.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms("query"))).alias("term"))
     wanted = found.join(asked.select("term").distinct(), "term", "left_semi")
@@ -53,8 +58,9 @@ def search(found: DataFrame, queries: DataFrame, k: int = 10, key: str = "messag
     tf = F.col("tf").cast("double")
     full = tf + SATURATION * (1 - LENGTH_SHARE + LENGTH_SHARE * F.col("length") / mean)
     gain = rarity * tf * (SATURATION + 1) / full
-    weighed = asked.join(frequency, "term")
-    scored = found.join(weighed, "term").groupBy("query_id", key).agg(F.round(F.sum(gain), DIGITS).alias("score"))
+    weighed = written(asked.join(frequency, "term"))
+    by_text = found.select("term", key, "tf", "length").join(weighed.select("term").distinct(), "term", "left_semi").repartition(key)
+    scored = by_text.join(weighed, "term").groupBy("query_id", key).agg(F.round(F.sum(gain), DIGITS).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", key, "score")

@@ -27,7 +27,7 @@ from ..operators import (
     timeline,
 )
 from ..schemas import ColumnSpec, MESSAGE_COLUMNS, MESSAGES, THREADS, TableSpec, project_to
-from ..session import checkpoint_folder, ensure_checkpoint_dir, local_table
+from ..session import checkpoint_folder, ensure_checkpoint_dir, local_table, written
 from ..sources import files, quality, store, submissions
 from ..streaming import state, windows
 from . import stored, views
@@ -1162,8 +1162,7 @@ def _ranked_sql(texts: str, key: str, queries: str, k: int = 10) -> str:
 @query(sql("messages", "," + _ranked_sql("SELECT message_id, body FROM messages", "message_id", "SELECT item_id AS query_id, text AS query FROM benchmark")))
 def ranked_messages(spark, sf_dir):
     """The messages that suit each benchmark passage best, from postings that are stored once."""
-    ensure_checkpoint_dir(spark)
-    stored = search.postings(views.messages(spark, sf_dir)).checkpoint()
+    stored = written(search.postings(views.messages(spark, sf_dir)))
     asked = views.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return search.search(stored, asked)
 

@@ -61,6 +61,21 @@ def test_postings_of_some_terms_serve_a_search_for_them(spark, rows):
     assert rows(search.search(some, cats), *ranked) == rows(search.search(whole, cats), *ranked)
 
 
+def test_the_least_term_is_found_once_for_a_text(spark):
+    """It used to be found for each of a text's terms, by looking at all of them."""
+    plan = search.postings(messages(spark, BODIES))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min") == 1 and plan.index("Generate") < plan.index("array_min")
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_postings_are_shuffled_before_queries_multiply_them(spark):
+    """Each posting used to be shuffled once for every query that holds its term."""
+    found = search.search(search.postings(messages(spark, BODIES)), asked(spark))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(message_id#", plan)
+    assert not re.search(r"Exchange hashpartitioning\(query_id#\d+L?, message_id", plan)
+
+
 def test_index_updates_equal_a_rebuild(spark, rows):
     index = SearchIndex(spark, "search_updates")
     columns = ("term", "message_id", "day", "tf", "length", "lead")
