@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from talktrace.llm import langid, mixing, packing, pii, simhash
-from talktrace.llm.common import discard, stored_at, table
+from talktrace.llm.common import discard, short_batches, stored_at, table
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +48,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on `documents`; each result is written as Parquet and read again by the next stage.
 
     A result is deleted once the next one is written whole, so a run holds two copies of its corpus at most and leaves one, which
-    the places of the last stage are read from.
+    the places of the last stage are read from. Texts go to Python in short batches.
     """
     docs, before = table(spark, sf_dir, "documents"), None
     for number, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES):
-            docs, path = stored_at(docs)
+        with short_batches(spark):
+            docs = stage(spark, docs, sf_dir)
+            stored = stored_at(docs) if number < len(STAGES) else None
+        if stored is not None:
+            docs, path = stored
             if before is not None:
                 discard(spark, before)
             before = path

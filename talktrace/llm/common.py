@@ -3,16 +3,33 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint_folder
 
+# Rows that are sent to a Python worker at once where whole texts are; workers and executors hold a batch each.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside send at most BATCH_ROWS rows at once to Python workers, which keeps what they and the executors hold small."""
+    before = spark.conf.get(BATCH_SETTING)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def stored_at(frame: DataFrame) -> tuple[DataFrame, str]:
     """The frame, computed once and written as a table to the folder that all executors share; and the table's path.
 

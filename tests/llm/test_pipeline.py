@@ -6,6 +6,7 @@ import os
 import sys
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -13,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import corpus_pipeline  # noqa: E402
 from corpora import EDGE_TEXTS, SF, edge_docs  # noqa: E402
 from talktrace.llm import pii, simhash  # noqa: E402
-from talktrace.llm.common import stored, stored_at  # noqa: E402
+from talktrace.llm.common import BATCH_ROWS, BATCH_SETTING, short_batches, stored, stored_at  # noqa: E402
 from test_operators import brute_components, brute_fingerprint, brute_spans, check_packing  # noqa: E402
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -71,6 +72,15 @@ def test_run_and_registration(spark, monkeypatch):
     assert [os.path.isdir(p) for p in paths] == [False, False, False, True]
 
 
+def test_texts_go_to_python_in_short_batches(spark):
+    """Batches of 10,000 texts, the default, made the executors' memory run out."""
+    largest = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+    rows, before = spark.range(0, 5000, 1, 1), spark.conf.get(BATCH_SETTING)
+    with short_batches(spark):
+        assert max(r.n for r in rows.mapInArrow(largest, "n long").collect()) == BATCH_ROWS
+    assert spark.conf.get(BATCH_SETTING) == before
+
+
 def test_stages_stand_empty_tables(spark):
     docs = edge_docs(spark).limit(0)
     for name, stage in corpus_pipeline.STAGES:
