@@ -12,6 +12,7 @@ from ..session import checkpoint_folder
 
 # Rows that are sent to a Python worker at once where whole texts are; workers and executors hold a batch each.
 BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,17 @@ def short_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH_SETTING, before)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a step that is stored inside go as soon as it is stored, not when the driver next collects its garbage."""
+    before = spark.conf.get(CLEANUP_SETTING, "false")
+    spark.conf.set(CLEANUP_SETTING, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP_SETTING, before)
+
+
 def stored_at(frame: DataFrame) -> tuple[DataFrame, str]:
     """The frame, computed once and written as a table to the folder that all executors share; and the table's path.
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from corpora import EDGE_TEXTS, SF, documents, edge_docs  # noqa: E402
-from talktrace.llm import catalog, htmltext, langid, licenses, mixing, packing, pii, quality, simhash, substrings, tokens, topk  # noqa: E402
+from talktrace.llm import catalog, common, htmltext, langid, licenses, mixing, packing, pii, quality, simhash, substrings, tokens, topk  # noqa: E402
 from talktrace.llm.common import connected_components, stored  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -674,6 +674,57 @@ def test_levels_report_all_but_the_smallest_document():
     assert all(x > y for x, y in zip(sizes, sizes[1:]))
 
 
+def test_small_arrays_are_joined_before_they_are_looked_up(monkeypatch):
+    rng = np.random.default_rng(9)
+    calls, add, seen, rows = [], substrings.LogIndex.add, defaultdict(set), []
+    monkeypatch.setattr(substrings.LogIndex, "add", lambda self, *entries: calls.append(len(entries[0])) or add(self, *entries))
+    for batch in range(300):  # as many batches as some GB of text have, a few entries of each in this key range
+        a, b, doc = rng.integers(0, 9_000, 40).astype(np.uint64), np.zeros(40, np.uint64), rng.integers(0, 10**6, 40)
+        for x, d in zip(a.tolist(), doc.tolist()):
+            seen[x].add(d)
+        main, others = substrings.sorted_entries(a, b, doc)
+        rows.append((batch, substrings._pack(*main), substrings._pack(*others), None))
+    group = pd.DataFrame(rows, columns=["batch", "data", "repeats", "asked"])
+    got = substrings._looked_up(group, shared=False)
+    assert len(calls) <= 300 * 40 // substrings.INDEX_ENTRIES + 1
+    code = {x: int(substrings.code(np.array([x], np.uint64), np.zeros(1, np.uint64))[0]) for x in seen}
+    assert {(r.doc_id, r.code) for r in got.itertuples()} == {(d, code[x]) for x, docs in seen.items() for d in docs if d != min(docs)}
+    empty = group.assign(data=None, repeats=None)
+    assert len(substrings._looked_up(empty, shared=True)) == 0
+
+
+def test_arrays_are_not_cut_finer_as_the_input_grows():
+    for gigabytes in (1, 6, 10, 30, 100):  # of text
+        buckets, entries = substrings._extent(gigabytes << 30, substrings.BATCH_ENTRIES)
+        assert entries / buckets >= 500
+    assert substrings._extent(0, 100) == (substrings.LEAST_BUCKETS, 100)
+    rng = np.random.default_rng(10)
+    a, doc = rng.integers(0, 1 << 63, 10_000).astype(np.uint64), np.arange(20_000)
+    (frame,) = substrings._blobs(iter([(np.tile(a, 2), np.tile(a, 2) >> np.uint64(16), doc)]), 4_096, substrings.CROWD)
+    parts = [substrings._unpack(p) for p in frame["repeats"].dropna()]  # decided by the batch: no part for each key range
+    assert len(parts) <= 10_000 // substrings.PART_ENTRIES + 1
+    assert sorted(np.concatenate([p[2] for p in parts]).tolist()) == list(range(10_000, 20_000))
+    assert sum(len(substrings._unpack(p)[0]) for p in frame["data"].dropna()) == 10_000
+
+
+def test_shuffles_of_a_stored_step_are_dropped(spark):
+    before = spark.conf.get(common.CLEANUP_SETTING)
+    with common.shuffles_dropped(spark):
+        assert spark.conf.get(common.CLEANUP_SETTING) == "true"
+        got = stored(spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert spark.conf.get(common.CLEANUP_SETTING) == before
+    assert sorted(map(tuple, got.collect())) == [(k, len(range(k, 1_000, 7))) for k in range(7)]
+
+
+def test_marks_are_those_of_the_own_list():
+    rng = np.random.default_rng(11)
+    doc, codes = np.sort(rng.integers(3, 40, 5_000)), rng.integers(-20, 20, 5_000) << 58
+    wanted = [rng.integers(-20, 20, rng.integers(0, 6)) << 58 for _ in range(45)]
+    expected = [c in set(wanted[d].tolist()) for d, c in zip(doc.tolist(), codes.tolist())]
+    assert substrings._marks(doc, codes, wanted).tolist() == expected
+    assert substrings._marks(doc, codes, [w[:0] for w in wanted]).sum() == 0 == len(substrings._marks(doc[:0], codes[:0], wanted))
+
+
 # ---------------------------------------------------------------- op9
 
 
